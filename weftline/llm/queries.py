@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, secrets, sharding
+from . import exact_dedup, line_dedup, mixing, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_histogram_sort_shards, op5_exact_dedup, op7_quality_rules, op8_mixing)
+    f.__name__: f for f in (op1_secret_scan, op4_histogram_sort_shards, op5_exact_dedup, op7_quality_rules, op8_mixing, op9_line_dedup)
 }
 ORACLES: dict[str, str] = {}
