@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, quality, secrets, sharding
+from . import exact_dedup, line_dedup, mixing, packing, quality, secrets, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE; the path is the operators' parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_histogram_sort_shards, op5_exact_dedup, op7_quality_rules, op8_mixing, op9_line_dedup)
+    f.__name__: f for f in (op1_secret_scan, op4_histogram_sort_shards, op5_exact_dedup, op6_best_two_fit_packing, op7_quality_rules, op8_mixing, op9_line_dedup, op10_huffman_token_files)
 }
 ORACLES: dict[str, str] = {}
