@@ -39,6 +39,15 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of keys up to this many rows are broadcast (some 40 bytes a row); beyond, the join shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Hint for a staged table of keys: broadcast when its counted rows stay below the bound, else build a shuffled hash."""
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df.hint("shuffle_hash")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -23,19 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged, text_or_empty
+from .common import SPACE, small_side, staged, text_or_empty
 
 MIN_CHARS = 10
-#: Keys up to this number are broadcast (16 bytes each); beyond, the join shuffles.
-BROADCAST_KEYS = 1_000_000
 HALVES = ("p0", "s0", "p1", "s1")
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """Hint for a staged table of keys: broadcast when its counted rows stay below the bound, else build a shuffled hash."""
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df.hint("shuffle_hash")
-
-
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
     return rows.where(F.regexp_replace("line", SPACE + "+", "") != "")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, line_dedup, mixing, packing, quality, secrets, sharding, token_files
+from . import exact_dedup, jaccard_join, language, line_dedup, mixing, packing, quality, secrets, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.train_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(table(spark, sf_dir, "documents"))
+
+
 def op4_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -57,6 +61,6 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_cross_parsing_language, op4_histogram_sort_shards, op5_exact_dedup, op6_best_two_fit_packing, op7_quality_rules, op8_mixing, op9_line_dedup, op10_huffman_token_files)
+    f.__name__: f for f in (op1_secret_scan, op2_cross_parsing_language, op3_chosen_path_join, op4_histogram_sort_shards, op5_exact_dedup, op6_best_two_fit_packing, op7_quality_rules, op8_mixing, op9_line_dedup, op10_huffman_token_files)
 }
 ORACLES: dict[str, str] = {}
