@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged, text_or_empty
+from .common import fresh_path, small_side, staged, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -93,17 +93,18 @@ class BlobLedger:
         names = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in self.rules])
         joined = blobs.join(known, "blob_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
         wanted = F.filter(F.transform(names, lambda n, i: F.when(~F.array_contains(F.col("known"), n), i)), lambda i: i.isNotNull())
-        return joined.select("blob_id", "first", wanted.alias("due")).where(F.size("due") > 0)
+        return joined.select("first", "h", wanted.alias("due")).where(F.size("due") > 0)
 
     def scan(self, versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-        """One row per version: path, blob_id. Afterwards the ledger holds every pair of its blobs and the current rules."""
+        """One row per version: path, blob_id, h. Afterwards the ledger holds every pair of its blobs and the current rules."""
         body = text_or_empty(text)
-        paths = staged(versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob_id")), "blob-paths")
-        blobs = paths.groupBy("blob_id").agg(F.min("path").alias("first"))
-        due = self.due(blobs).select(F.col("blob_id").alias("_blob"), "first", "due")
-        # The small side is built, the text streams past it unsorted; one text per blob goes on.
-        rows = versions.select(F.col(path).alias("_path"), body.alias("_text")).withColumn("_sha", F.sha2("_text", 256))
-        unseen = rows.join(due.hint("shuffle_hash"), rows["_path"].eqNullSafe(due["first"]) & (rows["_sha"] == due["_blob"]))
+        # A short hash with the path finds the row again; the blob id always comes from the text itself.
+        paths = staged(versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob_id"), F.xxhash64(body).alias("h")), "blob-paths")
+        blobs = paths.groupBy("blob_id").agg(F.min("path").alias("first"), F.min("h").alias("h"))
+        due = staged(self.due(blobs), "blob-due")
+        # One text per blob goes on. No text moves while the keys of the due blobs are few enough to broadcast; beyond, it streams past them unsorted.
+        rows = versions.select(F.col(path).alias("_path"), body.alias("_text")).withColumn("_h", F.xxhash64("_text"))
+        unseen = rows.join(small_side(due), rows["_path"].eqNullSafe(due["first"]) & (rows["_h"] == due["h"])).withColumn("_blob", F.sha2("_text", 256))
         found = unseen.select("_blob", F.explode(scanner(self.rules)("_text", "due")).alias("f"))
         found = found.select(F.col("_blob").alias("blob_id"), "f.kind", "f.version", "f.spans")
         # Repeated rows of one path and text were scanned alike: one entry each.
