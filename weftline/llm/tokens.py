@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memory of pieces already encoded.
 
-A byte-level BPE with the usual pattern never joins a non-space character and a single space that follows it when
-another non-space character comes next. Cutting there gives pieces that encode alone as they do in the text, so each
-distinct piece is encoded once and looked up afterwards. Any other kind of tokenizer encodes whole texts.
+A byte-level BPE with the usual pattern never joins a non-space character with a single space or line break that
+follows it, when another non-space character comes next. Cutting there gives pieces that encode alone as they do in the
+text, so each distinct piece is encoded once and looked up afterwards. A piece that is a word of letters, perhaps with one mark
+after it, is one pre-token and that mark: such words go to the library's BPE many at a time, one per line, already in
+its byte alphabet. Any other piece goes to the tokenizer as it is, and so do whole texts if the tokenizer is of another kind.
 """
 
 from __future__ import annotations
@@ -15,12 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces held before the memory starts anew, and characters encoded at a time.
-MOST_PIECES = 250_000
+#: Pieces held before the memory starts anew (some 150 bytes each), and characters encoded at a time.
+MOST_PIECES = 500_000
 CHARS_AT_ONCE = 2_000_000
 
 UNEVEN = re.compile(r"\s\s")
 EDGE = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ".,!?;:|"
+
+
+def byte_alphabet() -> dict[int, int]:
+    """Code point that stands for each byte: printable bytes for themselves, the others from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+
 #: Marks the piece that starts a text; a lone surrogate can't occur in one.
 HEAD = "\ud800"
 
@@ -48,34 +60,65 @@ class Encoder:
         step = said.get("pre_tokenizer") or {}
         usual = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.by_piece = bool(usual and not said.get("normalizer") and said["model"].get("type") == "BPE")
-        self.newline = self.plain(["\n"])[0] if self.by_piece else None
-        self.by_piece = self.by_piece and len(self.newline) == 1
+        if self.by_piece:
+            from tokenizers import pre_tokenizers
+
+            self.alphabet = byte_alphabet()
+            self.by_line = Tokenizer.from_file(path)
+            self.by_line.pre_tokenizer = pre_tokenizers.Split(chr(self.alphabet[10]), "isolated")
         self.clear()
 
     def clear(self) -> None:
-        self.pieces, self.ids, self.ends = Pieces(), array("i"), array("q", [0])
+        """Entries hold ids; a piece is up to three entries: line break, word, mark."""
+        self.pieces, self.ids, self.ends = Pieces(), array("i"), array("q")
+        self.parts = [array("i"), array("i"), array("i")]
+        self.words: dict[str, int] = {}
+        self.entry([])
+        if self.by_piece:
+            newline, *marks = self.plain(["\n", *MARKS])
+            self.newline, self.break_entry = newline, self.entry(newline)
+            self.marks = {m: self.entry(ids) for m, ids in zip(MARKS, marks, strict=True)}
+
+    def entry(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return len(self.ends) - 1
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn_words(self, new: list[str]) -> None:
+        """Words of letters, with or without a space before them, one per line."""
+        lines = "\n".join(new).encode().decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.by_line.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == self.newline[0])
+        kept = np.delete(ids, cuts)
+        ends = np.r_[cuts, len(ids)] - np.arange(len(cuts) + 1) + len(self.ids)
+        first = len(self.ends)
+        self.ids.frombytes(kept.tobytes())
+        self.ends.frombytes(ends.astype(np.int64).tobytes())
+        self.words |= zip(new, range(first, first + len(new)), strict=True)
+
     def learn(self) -> None:
-        """Encodes the pieces that wait; those without line breaks go as one text of lines, which no token crosses."""
+        """Finds the entries of the pieces that wait."""
         new, self.pieces.new = self.pieces.new, []
-        full = [p[1:] if p[0:1] == HEAD else " " + p for p in new]
-        joined = [i for i, p in enumerate(full) if p[:1] == " " and len(p) > 1 and not any(c.isspace() for c in p[1:])]
-        found: list = [None] * len(full)
-        if joined:
-            flat = np.array(self.plain(["\n".join(full[i] for i in joined)])[0], np.int32)
-            cuts = np.flatnonzero(flat == self.newline[0])
-            if len(cuts) == len(joined) - 1:
-                for i, a, b in zip(joined, np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(flat)].tolist(), strict=True):
-                    found[i] = flat[a:b].tolist()
-        left = [i for i, f in enumerate(found) if f is None]
-        for i, ids in zip(left, self.plain([full[i] for i in left]), strict=True):
-            found[i] = ids
-        for ids in found:
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
+        if not new:
+            return
+        breaks = [self.break_entry if p[:1] == "\n" else 0 for p in new]
+        full = [p[1:] if p[:1] == HEAD or b else " " + p for p, b in zip(new, breaks, strict=True)]
+        find = self.marks.get
+        marks = [find(p[-1:], 0) for p in full]
+        stems = [p[:-1] if m else p for p, m in zip(full, marks, strict=True)]
+        known = self.words.get
+        words = [known(x, -1) if (x[1:] if x[:1] == " " else x).isalpha() else -2 for x in stems]
+        if unknown := list(dict.fromkeys(x for x, w in zip(stems, words, strict=True) if w == -1)):
+            self.learn_words(unknown)
+            words = [known(x) if w == -1 else w for x, w in zip(stems, words, strict=True)]
+        odd = [i for i, w in enumerate(words) if w == -2]
+        for i, ids in zip(odd, self.plain([full[i] for i in odd]), strict=True):
+            words[i], marks[i] = self.entry(ids), 0
+        for held, found in zip(self.parts, (breaks, words, marks), strict=True):
+            held.extend(found)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends in them."""
@@ -88,19 +131,25 @@ class Encoder:
         counts = []
         for text in texts:
             uneven = UNEVEN.search(text) or text[:1].isspace() or text[-1:].isspace()
-            cut = EDGE.split(text) if uneven else text.split(" ")
+            cut = EDGE.split(text) if uneven else text.replace("\n", " \n").split(" ")
             cut[0] = HEAD + cut[0]
             flat += cut
             counts.append(len(cut))
         codes = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, len(flat))
         self.learn()
         ids, ends = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64)
-        starts, lengths = ends[codes], ends[codes + 1] - ends[codes]
+        entries = np.stack([np.frombuffer(p, np.int32) for p in self.parts], axis=1)[codes].reshape(-1)
+        entries = entries[entries > 0]
+        width = np.zeros(len(self.parts[0]), np.int64)
+        for p in self.parts:
+            at = np.frombuffer(p, np.int32)
+            width += ends[at] - np.where(at > 0, ends[at - 1], 0)
+        starts, lengths = ends[entries - 1], ends[entries] - ends[entries - 1]
         done = np.cumsum(lengths)
         total = int(done[-1]) if len(done) else 0
         out = ids[np.repeat(starts - (done - lengths), lengths) + np.arange(total)]
-        at = np.cumsum(counts) - 1
-        return out, done[at] if len(at) else np.zeros(0, np.int64)
+        texts_end = np.cumsum(width[codes])[np.cumsum(counts) - 1] if len(codes) else np.zeros(0, np.int64)
+        return out, texts_end
 
 
 _held: dict[str, Encoder] = {}

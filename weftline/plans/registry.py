@@ -1,10 +1,559 @@
-"""All queries of the engine and the SQL that states them independently."""
+"""All queries of the engine and the SQL that states them independently.
+
+A query takes (spark, sf_dir). Doubles are rounded alike on both sides. ``query`` registers a callable under its name,
+with its SQL where SQL can state it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import parsing as P
+from ..functions import reference as R
+from ..functions import similarity
+from ..operators import anomalies, fill, footprint, ledger, mart, profiling, review
+from ..operators import materialize as M
+from ..sources import files
+from ..sources.workload import RAW, bom_lines, second_period
+from . import oracles as O
+from . import pipeline
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def rounded(digits: int, *names: str) -> list[Column]:
+    return [F.round(F.coalesce(F.nanvl(F.col(n), F.lit(None)), F.lit(None)), digits).alias(n) for n in names]
+
+
+def raw(s: SparkSession, d: str) -> DataFrame:
+    return bom_lines(s, d)
+
+
+def cells(s: SparkSession, d: str) -> DataFrame:
+    return M.cells(M.materialize(bom_lines(s, d)))
+
+
+def filled(s: SparkSession, d: str) -> DataFrame:
+    return fill.fill(cells(s, d))
+
+
+def costed(s: SparkSession, d: str, version: str = "v1") -> DataFrame:
+    return footprint.components(filled(s, d), version)
+
+
+def lines(s: SparkSession, d: str) -> DataFrame:
+    """Production lines of both periods."""
+    later = footprint.components(fill.fill(M.cells(M.materialize(second_period(bom_lines(s, d))))), "v2")
+    return mart.footprint_lines(costed(s, d), "v1").unionByName(mart.footprint_lines(later, "v2"))
+
+
+def built_mart(s: SparkSession, d: str) -> DataFrame:
+    return mart.models(s, lines(s, d))["mart"]
+
+
+# ---- scalars and lookups
+
+
+@query(O.q(*O.NORM, select="SELECT id, strftime(order_date, '%Y-%m-%d') AS order_date FROM norm"))
+def parse_date(s, d):
+    return cells(s, d).select("id", F.col("order_date").cast("string").alias("order_date"))
+
+
+@query(O.q(*O.NORM, select="SELECT id, round(component_weight_g, 6) AS grams FROM norm"))
+def parse_weight(s, d):
+    return cells(s, d).select("id", F.round("component_weight_g", 6).alias("grams"))
+
+
+@query(O.q(*O.NORM, select="SELECT id, composition IS NOT NULL AS parsed, round(composition_total, 6) AS total FROM norm"))
+def parse_composition(s, d):
+    return cells(s, d).select("id", F.col("composition").isNotNull().alias("parsed"), F.round("composition_total", 6).alias("total"))
+
+
+@query(O.q(*O.NORM, select="SELECT id, composition FROM norm"))
+def format_composition(s, d):
+    return cells(s, d).select("id", "composition")
+
+
+@query(O.q(*O.NORM, select="SELECT id, quantity, CASE WHEN isnan(unit_price) THEN NULL ELSE round(unit_price, 6) END AS unit_price, coalesce(isnan(unit_price), false) AS is_nan FROM norm"))
+def coerce_amounts(s, d):
+    return cells(s, d).select("id", "quantity", F.when(~F.isnan("unit_price"), F.round("unit_price", 6)).alias("unit_price"), F.coalesce(F.isnan("unit_price"), F.lit(False)).alias("is_nan"))
+
+
+@query(O.q(*O.NORM, select="SELECT category, count(*) AS n FROM norm GROUP BY category"))
+def derive_category(s, d):
+    return M.materialize(raw(s, d)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(O.q(*O.NORM, select="SELECT id, CASE WHEN component_weight_g = floor(component_weight_g) THEN CAST(CAST(component_weight_g AS BIGINT) AS VARCHAR) ELSE CAST(component_weight_g AS VARCHAR) END AS grams_text FROM norm WHERE component_weight_g IS NOT NULL"))
+def weight_event_text(s, d):
+    return cells(s, d).where("component_weight_g is not null").select("id", P.number_text(F.col("component_weight_g")).alias("grams_text"))
+
+
+@query(O.q(O.BOM, select="SELECT id, substr(sha256(concat_ws(':', sha256(sku), 'v1:v1')), 1, 16) AS run_id FROM bom"))
+def run_id(s, d):
+    return raw(s, d).select("id", P.run_id(F.sha2("sku", 256), F.lit("v1:v1")).alias("run_id"))
+
+
+@query(O.q(*O.NORM, select="SELECT raw_country, factory_country_iso, count(*) AS n FROM norm GROUP BY 1, 2"))
+def resolve_country(s, d):
+    return cells(s, d).groupBy("raw_country", "factory_country_iso").agg(F.count("*").alias("n"))
+
+
+@query(O.q(*O.NORM, select="SELECT material_raw, material_normalized, count(*) AS n FROM norm GROUP BY 1, 2"))
+def resolve_material_exact(s, d):
+    return cells(s, d).groupBy("material_raw", "material_normalized").agg(F.count("*").alias("n"))
+
+
+@query(O.q(O.BOM, select=f"SELECT supplier AS supplier_raw, canonical AS supplier_normalized, ratio, count(*) AS n FROM bom LEFT JOIN {O.values(O.SUPPLIER_MATCHES, 'spelling, canonical, ratio')} ON spelling = supplier GROUP BY 1, 2, 3"))
+def resolve_supplier_fuzzy(s, d):
+    rows = raw(s, d).select(F.col("supplier").alias("supplier_raw"))
+    found = similarity.matched_spellings(rows, "supplier_raw", R.SUPPLIERS, R.SUPPLIER_CUTOFF, "supplier_normalized")
+    counts = rows.groupBy("supplier_raw").agg(F.count("*").alias("n"))
+    return counts.join(found, "supplier_raw", "left").select("supplier_raw", "supplier_normalized", F.round("supplier_normalized_ratio", 4).alias("ratio"), "n")
+
+
+@query(O.q(*O.NORM, select=f"SELECT material_raw, proposal AS material_proposal, ratio, count(*) AS n FROM norm JOIN {O.values(O.PROPOSALS, 'spelling, proposal, ratio')} ON spelling = material_raw WHERE material_normalized IS NULL GROUP BY 1, 2, 3"))
+def propose_material_fuzzy(s, d):
+    rows = cells(s, d).where("material_normalized is null").select("material_raw")
+    found = similarity.matched_spellings(rows, "material_raw", [n for n, _, _ in R.MATERIALS], R.MATERIAL_CUTOFF, "material_proposal").where("material_proposal is not null")
+    return rows.join(found, "material_raw").groupBy("material_raw", "material_proposal", F.round("material_proposal_ratio", 4).alias("ratio")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 'v1' AS version, material, factor FROM {O.values(R.FACTORS['v1'], 'material, factor')} UNION ALL SELECT 'v2', material, factor FROM {O.values(R.FACTORS['v2'], 'material, factor')}")
+def ref_factors(s, d):
+    return R.factor_frame(s, "v1").select(F.lit("v1").alias("version"), "material", "factor").unionByName(R.factor_frame(s, "v2").select(F.lit("v2").alias("version"), "material", "factor"))
+
+
+@query(f"SELECT component, CAST(ref_g AS DOUBLE) AS ref_g, CAST(lo AS DOUBLE) AS band_low, CAST(hi AS DOUBLE) AS band_high FROM {O.values(R.WEIGHTS, 'component, ref_g, lo, hi')}")
+def ref_weights(s, d):
+    return R.weight_frame(s)
+
+
+# ---- ingest, profile, drift
+
+
+def profile_sql() -> str:
+    per = " UNION ALL ".join(f"SELECT {i} AS pos, '{c}' AS name, {c} AS v FROM bom" for i, c in enumerate(RAW))
+    kind = f"""CASE WHEN count(*) FILTER (WHERE trim(v) <> '') = 0 THEN 'empty' WHEN bool_and(regexp_full_match(trim(v), '[+-]?[0-9]+')) FILTER (WHERE trim(v) <> '') THEN 'integer'
+ WHEN bool_and(regexp_full_match(trim(v), '{O.FLOAT}')) FILTER (WHERE trim(v) <> '') THEN 'float'
+ WHEN bool_and((regexp_full_match(trim(v), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR regexp_full_match(trim(v), '[0-9]{{8}}')) AND try_cast(trim(v) AS DATE) IS NOT NULL) FILTER (WHERE trim(v) <> '') THEN 'date' ELSE 'string' END"""
+    return f"c_ AS ({per}), prof AS (SELECT pos, name, {kind} AS dtype, round(avg(CASE WHEN trim(v) = '' THEN 1.0 ELSE 0.0 END), 6) AS null_rate, count(DISTINCT CASE WHEN trim(v) <> '' THEN v END) AS cardinality, array_to_string(list_slice(list_sort(list_distinct(list(v) FILTER (WHERE trim(v) <> ''))), 1, 5), '|') AS samples FROM c_ GROUP BY pos, name)"
+
+
+@query(O.q(O.BOM, profile_sql(), select="SELECT pos, name, null_rate, cardinality, samples FROM prof"))
+def profile_columns(s, d):
+    return profiling.profile(raw(s, d), RAW).select("pos", "name", "null_rate", "cardinality", F.array_join("samples", "|").alias("samples"))
+
+
+@query(O.q(O.BOM, profile_sql(), select="SELECT name, dtype FROM prof"))
+def profile_types(s, d):
+    return profiling.profile(raw(s, d), RAW).select("name", "dtype")
+
+
+EXPECTED = O.values([(n, t) for n, t in R.SOURCE_SCHEMA], "name, expected")
+DIFF = f"diff AS (SELECT name, CASE WHEN expected IS NULL THEN 'added' WHEN dtype IS NULL THEN 'removed' WHEN dtype <> expected AND dtype <> 'empty' THEN 'type_changed' END AS change FROM (SELECT CASE name WHEN 'supplier' THEN 'vendor' ELSE name END AS name, dtype FROM prof) p FULL JOIN {EXPECTED} USING (name))"
+
+
+def observed_diff(s: SparkSession, d: str) -> DataFrame:
+    """The workload with a renamed header against the expected schema."""
+    rows = raw(s, d).withColumnRenamed("supplier", "vendor")
+    return profiling.schema_diff(profiling.profile(rows, [("vendor" if c == "supplier" else c) for c in RAW]), profiling.expected_schema(s))
+
+
+@query(O.q(O.BOM, profile_sql(), DIFF, select="SELECT name, change FROM diff WHERE change IS NOT NULL"))
+def schema_diff(s, d):
+    return observed_diff(s, d).select("name", "change")
+
+
+@query(O.q(O.BOM, profile_sql(), DIFF, select="SELECT count(change) AS changes, CASE WHEN count(change) > 0 THEN 'review_required' ELSE 'accepted' END AS status FROM diff"))
+def schema_gate(s, d):
+    return profiling.gate(observed_diff(s, d))
+
+
+@query("SELECT 'vendor' AS source, 'supplier' AS target")
+def schema_propose(s, d):
+    named = {k: [r["name"] for r in observed_diff(s, d).where(F.col("change") == k).collect()] for k in ("added", "removed")}
+    return s.createDataFrame(list(profiling.propose_mapping(**named)[0].items()), "source string, target string")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def src_content_hash(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", files.content_hash(F.col("text").cast("binary")).alias("content_hash"))
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract(html, '^([^\\r\\n]*)', 1) AS line FROM pages)
+SELECT page_id, CASE WHEN length(line) - length(replace(line, ';', '')) > length(line) - length(replace(line, ',', '')) THEN ';' ELSE ',' END AS sep FROM h""")
+def src_delimiter(s, d):
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", files.delimiter(files.first_line(F.col("html"))).alias("sep"))
+
+
+@query("""SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id < d.doc_id AND k.text = d.text)""")
+def src_registry_dedupe(s, d):
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "content_hash")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS source_row_id, p_type || '-' || CAST(p_partkey AS VARCHAR) AS style_id, split_part(p_name, ' ', 2) AS component, split_part(p_name, ' ', 1) AS material, CAST(p_size AS VARCHAR) || ' g' AS net_weight FROM part""")
+def map_external_file(s, d):
+    parts = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("pos"), F.col("p_type").alias("category"), F.substring_index("p_name", " ", -1).alias("component"), F.substring_index("p_name", " ", 1).alias("material"), F.col("p_size").alias("weight_g"), F.lit(None).cast("string").alias("country"))
+    return files.map_external(parts).select("source_row_id", "style_id", "component", "material", "net_weight")
+
+
+@query(O.q(*O.NORM, select="SELECT record_id, source_row_id, style_id, category, sku, component, material_raw FROM norm"))
+def materialize(s, d):
+    renamed = raw(s, d).withColumnRenamed("material", "fibre")
+    return M.materialize(renamed, {"fibre": "material"}).select("record_id", "source_row_id", "style_id", "category", "sku", "component", F.col("material").alias("material_raw"))
+
+
+@query("""SELECT doc_id, 'csv' AS format, 'utf-8' AS encoding FROM documents""")
+def src_detect_format(s, d):
+    content = F.col("text").cast("binary")
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", files.file_format(content).alias("format"), files.encoding(content).alias("encoding"))
+
+
+@query("SELECT doc_id, md5(text) AS decoded_md5 FROM documents")
+def src_decode(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(files.decoded(F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary")))).alias("decoded_md5"))
+
+
+# ---- normalize
+
+
+NORMALIZED = ["id", "record_id", "category", "material_raw", "material_normalized", "composition", "grams", "supplier_normalized", "factory_country_iso", "order_date", "quantity"]
+
+
+@query(O.q(*O.NORM, select=f"SELECT id, record_id, category, material_raw, material_normalized, composition, round(component_weight_g, 6) AS grams, canonical AS supplier_normalized, factory_country_iso, strftime(order_date, '%Y-%m-%d') AS order_date, quantity FROM norm LEFT JOIN {O.values(O.SUPPLIER_MATCHES, 'spelling, canonical, ratio')} ON spelling = supplier_raw"))
+def normalize_all(s, d):
+    rows = M.similar(cells(s, d)).withColumns({"grams": F.round("component_weight_g", 6), "order_date": F.col("order_date").cast("string")})
+    return rows.select(*NORMALIZED)
+
+
+@query(O.q(*O.NORM, select=f"""SELECT rule_id, col AS column_name, count(*) AS n, count(*) FILTER (WHERE before = '') AS blank_before FROM (
+  SELECT 'amount_coerce' AS rule_id, 'quantity' AS col, raw_quantity AS before FROM norm WHERE quantity IS NOT NULL UNION ALL SELECT 'amount_coerce', 'unit_price', raw_unit_price FROM norm WHERE unit_price IS NOT NULL
+  UNION ALL SELECT 'weight_to_grams', 'component_weight_g', raw_net_weight FROM norm WHERE component_weight_g IS NOT NULL UNION ALL SELECT 'composition_parse', 'composition', raw_composition FROM norm WHERE composition IS NOT NULL
+  UNION ALL SELECT 'date_iso', 'order_date', raw_order_date FROM norm WHERE order_date IS NOT NULL UNION ALL SELECT 'country_iso', 'factory_country_iso', raw_country FROM norm WHERE factory_country_iso IS NOT NULL
+  UNION ALL SELECT 'supplier_fuzzy', 'supplier_normalized', supplier_raw FROM norm JOIN {O.values(O.SUPPLIER_MATCHES, 'spelling, canonical, ratio')} ON spelling = supplier_raw WHERE canonical IS NOT NULL
+  UNION ALL SELECT 'material_vocab', 'material_normalized', material_raw FROM norm WHERE material_normalized IS NOT NULL) GROUP BY 1, 2"""))
+def events_normalize(s, d):
+    return ledger.normalize_events(M.similar(cells(s, d))).groupBy("rule_id", F.col("column").alias("column_name")).agg(F.count("*").alias("n"), F.count_if("is_original_null").alias("blank_before"))
+
+
+@query(O.q(*O.FOOT, select="SELECT record_id, category, component, material_normalized, round(weight_g, 6) AS component_weight_g, quantity, quality_status, round(est, 6) AS estimated_kgco2e FROM foot"))
+def canonical_frame(s, d):
+    rows = costed(s, d)
+    return rows.select("record_id", "category", "component", "material_normalized", F.round("weight_g", 6).alias("component_weight_g"), "quantity", "quality_status", F.round("estimated_kgco2e", 6).alias("estimated_kgco2e"))
+
+
+# ---- findings
+
+
+def all_findings(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.run(raw(s, d)).findings
+
+
+def findings_of(category: str, stages: str) -> Query:
+    def found(s, d):
+        rows = M.similar(cells(s, d))
+        return anomalies.detect(rows).where(F.col("category") == category).select("id", "finding_id", F.col("column").alias("column_name"), "severity")
+
+    found.__name__ = f"findings_{category}"
+    return query(O.q(*O.FINDINGS, select=f"SELECT id, finding_id, col AS column_name, severity FROM items WHERE category = '{category}' AND stage IN ({stages})"))(found)
+
+
+for _category, _stages in (("validity", "1"), ("completeness", "2"), ("duplicate_key", "3"), ("cross_field", "4"), ("distribution", "5, 6")):
+    findings_of(_category, _stages)
+
+
+@query(O.q(*O.NORM, O.bounds("component_weight_g", "w"), select=O.outlier_rows("component_weight_g", "w")))
+def outliers_weight(s, d):
+    return anomalies.outliers(cells(s, d), "component_weight_g").select("id", "record_id", "value")
+
+
+@query(O.q(*O.NORM, O.bounds("unit_price", "p"), select=O.outlier_rows("unit_price", "p")))
+def outliers_price(s, d):
+    return anomalies.outliers(cells(s, d), "unit_price").select("id", "record_id", "value")
+
+
+@query(O.q(*O.NORM, select="SELECT id, nth FROM (SELECT id, row_number() OVER (PARTITION BY style_id, sku, component ORDER BY id) AS nth FROM norm) WHERE nth > 1"))
+def duplicate_keys(s, d):
+    return M.materialize(raw(s, d)).select("id", anomalies.occurrence().cast("bigint").alias("nth")).where("nth > 1")
+
+
+@query(O.q(*O.FINDINGS, select="SELECT severity, count(*) AS n FROM items GROUP BY severity"))
+def findings_by_severity(s, d):
+    return all_findings(s, d).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query(O.q(*O.FINDINGS, select="SELECT id, finding_id, category, severity, proposed AS proposed_value FROM items"))
+def findings_all(s, d):
+    return all_findings(s, d).select("id", "finding_id", "category", "severity", "proposed_value")
+
+
+# ---- fill
+
+
+@query(O.q(*O.FILLED, select="SELECT 1 AS level, fm AS fill_material, component, category, n, round(med, 6) AS median, round(mad, 6) AS mad FROM s1 UNION ALL SELECT 2, NULL, component, category, n, round(med, 6), round(mad, 6) FROM s2 UNION ALL SELECT 3, NULL, NULL, category, n, round(med, 6), round(mad, 6) FROM s3"))
+def fill_group_stats(s, d):
+    return fill.all_stats(cells(s, d)).select("level", "fill_material", "component", "category", "n", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+@query(O.q(*O.FILLED, select="SELECT id, tier, CASE WHEN tier = 'grouped_median' THEN p_level END AS fill_level, round(weight_g, 6) AS weight_g, round(fill_low, 6) AS fill_low, round(fill_high, 6) AS fill_high FROM filled WHERE tier IS NOT NULL"))
+def fill_ladder(s, d):
+    return filled(s, d).where("tier is not null").select("id", "tier", F.col("pick.level").alias("fill_level"), *rounded(6, "weight_g", "fill_low", "fill_high"))
+
+
+@query(O.q(*O.FILLED, select="SELECT id, record_id, component_weight_g AS value, lo AS band_low, hi AS band_high FROM filled WHERE quality_status = 'flagged'"))
+def plausibility_flags(s, d):
+    return filled(s, d).where("quality_status = 'flagged'").select("id", "record_id", F.col("component_weight_g").alias("value"), "band_low", "band_high")
+
+
+@query(O.q(*O.FILLED, select="SELECT id, record_id, component FROM filled WHERE quality_status = 'action_required'"))
+def action_required(s, d):
+    return filled(s, d).where("quality_status = 'action_required'").select("id", "record_id", "component")
+
+
+@query(O.q(*O.FILLED, "e_ AS (SELECT tier, abs(weight_g - true_weight) AS e, CASE WHEN true_weight <> 0 THEN abs(weight_g - true_weight) / abs(true_weight) END AS p FROM filled WHERE tier IS NOT NULL)", select="SELECT tier, count(*) AS n, round(avg(e), 3) AS mae, round(avg(p), 3) AS mape FROM e_ GROUP BY tier UNION ALL SELECT 'overall', count(*), round(coalesce(avg(e), 0), 3), round(coalesce(avg(p), 0), 3) FROM e_"))
+def fill_accuracy(s, d):
+    source = bom_lines(s, d)
+    out = fill.accuracy(filled(s, d).drop("true_weight"), source.select("id", "true_weight"))
+    return out.select("tier", "n", F.round("mae", 3).alias("mae"), F.round("mape", 3).alias("mape"))
+
+
+# ---- footprint
+
+SUMS = "round(sum(est), 4) AS total_kgco2e, round(sum(coalesce(low, est)), 4) AS low_kgco2e, round(sum(coalesce(high, est)), 4) AS high_kgco2e, round(sum(CASE WHEN weight_source = 'observed' THEN est ELSE 0 END) / sum(est), 6) AS observed_share"
+
+
+def shown(totals: DataFrame, *more: str) -> DataFrame:
+    return totals.select(*more, *rounded(4, "total_kgco2e", "low_kgco2e", "high_kgco2e"), *rounded(6, "observed_share"))
+
+
+@query(O.q(*O.FOOT, select="SELECT id, material_normalized, round(factor, 6) AS factor, weight_source, round(est, 6) AS estimated_kgco2e, round(low, 6) AS low, round(high, 6) AS high, status FROM foot"))
+def footprint_components(s, d):
+    return costed(s, d).select("id", "material_normalized", *rounded(6, "factor"), "weight_source", *rounded(6, "estimated_kgco2e", "low", "high"), "status")
+
+
+@query(O.q(*O.FOOT, select=f"SELECT {SUMS}, (SELECT count(*) FROM foot WHERE status = 'costed') AS costed_n, (SELECT count(*) FROM foot WHERE status = 'flagged') AS flagged_n, (SELECT count(*) FROM foot WHERE status = 'unmapped') AS unmapped_n, (SELECT count(*) FROM foot WHERE status = 'no_weight') AS no_weight_n FROM foot WHERE status = 'costed'"))
+def footprint_summary(s, d):
+    return shown(footprint.summary(costed(s, d)), "costed_n", "flagged_n", "unmapped_n", "no_weight_n")
+
+
+@query(O.q(*O.FOOT, select="SELECT status, count(*) AS n, round(sum(weight_g), 4) AS grams FROM foot WHERE status = 'costed' GROUP BY status"))
+def costed_lines(s, d):
+    return costed(s, d).where("status = 'costed'").groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("weight_g"), 4).alias("grams"))
+
+
+def breakdown_query(name: str, by: Callable[[DataFrame], DataFrame], key: str) -> None:
+    def found(s, d):
+        return shown(by(costed(s, d)), "key", "n")
+
+    found.__name__ = name
+    query(O.q(*O.FOOT, select=f"SELECT {key} AS key, count(*) AS n, {SUMS} FROM foot WHERE status = 'costed' GROUP BY 1"))(found)
+
+
+breakdown_query("by_material", footprint.by_material, "coalesce(material_normalized, 'unmapped')")
+breakdown_query("by_category", footprint.by_category, "category")
+breakdown_query("by_product", footprint.by_product, "style_id")
+breakdown_query("by_country", footprint.by_country, "coalesce(factory_country_iso, 'unknown')")
+
+
+@query(O.q(*O.FOOT, O.foot("foot2", "filled", "v2"), select="""SELECT a.material, a.factor AS factor_from, b.factor AS factor_to, round(a.t, 4) AS total_from, round(b.t, 4) AS total_to, round(b.t - a.t, 4) AS delta_kgco2e
+FROM (SELECT material_normalized AS material, min(factor) AS factor, sum(est) AS t FROM foot WHERE status = 'costed' GROUP BY 1) a JOIN (SELECT material_normalized AS material, min(factor) AS factor, sum(est) AS t FROM foot2 WHERE status = 'costed' GROUP BY 1) b USING (material) WHERE a.factor <> b.factor"""))
+def factor_diff(s, d):
+    return footprint.factor_diff(filled(s, d)).select("material", "factor_from", "factor_to", *rounded(4, "total_from", "total_to", "delta_kgco2e"))
+
+
+@query(O.q(*O.FOOT, select="SELECT id, record_id, round(est, 6) AS estimated_kgco2e, row_number() OVER (ORDER BY est DESC, id) AS place FROM foot WHERE est IS NOT NULL ORDER BY place LIMIT 100"))
+def components_ranked(s, d):
+    # A top-k report: each task keeps its best 100, so ranking needs no global sort of all rows.
+
+
+    best = costed(s, d).where("estimated_kgco2e is not null").select("id", "record_id", "estimated_kgco2e").orderBy(F.desc("estimated_kgco2e"), "id").limit(100)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("estimated_kgco2e"), "id")).cast("bigint")).select("id", "record_id", *rounded(6, "estimated_kgco2e"), "place")
+
+
+@query(O.q(*O.FOOT, select="SELECT count(*) AS total_rows, count(*) FILTER (WHERE status IN ('costed', 'flagged')) AS weighted, count(*) FILTER (WHERE material_normalized IS NOT NULL) AS mapped, count(*) FILTER (WHERE factory_country_iso IS NOT NULL) AS with_country FROM foot"))
+def readiness_coverage(s, d):
+    return costed(s, d).agg(F.count("*").alias("total_rows"), F.count_if(F.col("status").isin("costed", "flagged")).alias("weighted"), F.count("material_normalized").alias("mapped"), F.count("factory_country_iso").alias("with_country"))
+
+
+# ---- review
+
+
+def example_decisions(found: DataFrame) -> DataFrame:
+    """Every seventh proposal approved, the next rejected, some approvals taken back later."""
+    items = found.where("stage = 0 and category = 'mapping'")
+    row = lambda seq, status: F.struct(seq.alias("seq"), status.alias("status"))
+    first = F.when(F.col("id") % 7 <= 1, row(2 * F.col("id"), F.when(F.col("id") % 7 == 0, "approved").otherwise("rejected")))
+    second = F.when(F.col("id") % 49 == 0, row(2 * F.col("id") + 1, F.lit("rejected")))
+    each = items.select("finding_id", F.explode(F.filter(F.array(first, second), lambda x: x.isNotNull())).alias("x"))
+    return each.select("x.seq", "finding_id", "x.status", F.lit("reviewer").alias("actor"), F.lit("").alias("note"), F.lit("2024-06-01").alias("at"))
+
+
+def net(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, findings of the anomaly net before filling, example decisions."""
+    rows = M.similar(cells(s, d))
+    found = anomalies.detect(rows)
+    return rows, found, example_decisions(anomalies.emitted(rows, anomalies.row_checks()[:1]))
+
+
+@query(O.q(*O.FINDINGS, O.DECIDED, select="SELECT finding_id, severity FROM items WHERE stage < 7 AND finding_id NOT IN (SELECT finding_id FROM decisions)"))
+def review_pending(s, d):
+    _, found, decisions = net(s, d)
+    return review.pending(found, decisions).select("finding_id", "severity")
+
+
+@query(O.q(*O.FINDINGS, O.DECIDED, select="SELECT finding_id, coalesce(status, 'pending') AS status, coalesce(n_decisions, 0) AS n_decisions FROM items LEFT JOIN latest USING (finding_id) WHERE stage < 7"))
+def review_current_status(s, d):
+    _, found, decisions = net(s, d)
+    latest = review.current(found, decisions)
+    return latest.select("finding_id", "status", F.coalesce("n_decisions", F.lit(0)).cast("bigint").alias("n_decisions"))
+
+
+@query(O.q(*O.FINDINGS, O.DECIDED, select="SELECT seq, finding_id, status FROM decisions"))
+def review_replay(s, d):
+    _, found, decisions = net(s, d)
+    mapping = found.where("stage = 0")
+    return review.replay(review.decisions_jsonl(mapping, decisions)).select("seq", "finding_id", "status")
+
+
+@query(O.q(*O.FINDINGS, select="SELECT finding_id, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS severity_rank FROM items WHERE stage < 7"))
+def review_ranked(s, d):
+    return review.ranked(net(s, d)[1]).select("finding_id", "severity_rank")
+
+
+@query(O.q(*O.FINDINGS, O.DECIDED, select="SELECT 'alias:' || evidence AS rule_id, record_id, proposed AS value, evidence AS key FROM items JOIN latest USING (finding_id) WHERE status = 'approved' AND stage = 0"))
+def approved_rules(s, d):
+    _, found, decisions = net(s, d)
+    return review.approved_rules(found, decisions).select("rule_id", "record_id", "value", "key")
+
+
+@query(O.q(*O.NORM, select=f"SELECT id, coalesce(material_normalized, {O.TYPO}) AS material_normalized, {O.TYPO} IS NOT NULL AS aliased FROM norm"))
+def apply_alias_approvals(s, d):
+    rows, found, decisions = net(s, d)
+    out = review.applied(rows, review.approved_rules(found, decisions))
+    return out.select("id", "material_normalized", F.col("_alias").isNotNull().alias("aliased"))
+
+
+@query(O.q(*O.NORM, select="SELECT id, CASE WHEN factory_country_iso IS NULL AND id % 3 = 0 THEN 'PT' ELSE factory_country_iso END AS factory_country_iso, factory_country_iso IS NULL AND id % 3 = 0 AS corrected FROM norm"))
+def apply_cell_approvals(s, d):
+    rows = cells(s, d)
+    found = anomalies.emitted(rows, anomalies.row_checks()[3:4]).where("id % 3 = 0").withColumn("proposed_value", F.lit("PT"))
+    log = found.select(F.col("id").alias("seq"), "finding_id", F.lit("approved").alias("status"), F.lit("reviewer").alias("actor"), F.lit("").alias("note"), F.lit("").alias("at"))
+    out = review.applied(rows, review.approved_rules(found, log))
+    return out.select("id", "factory_country_iso", (F.size("_cells") > 0).alias("corrected"))
+
+
+@query(O.q(*O.FINDINGS, select=f"SELECT finding_id, stage = 0 AND {O.TYPO} IS NOT NULL AS resolved FROM items JOIN (SELECT id, material_normalized, material_raw FROM norm) USING (id) WHERE stage < 7"))
+def review_status_flags(s, d):
+    rows, found, decisions = net(s, d)
+    cells_ = review.resolved_cells(review.applied(rows, review.approved_rules(found, decisions))).select("id", "column", F.lit(True).alias("resolved"))
+    return found.join(cells_, ["id", "column"], "left").select("finding_id", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+# ---- provenance
+
+
+def all_events(s: SparkSession, d: str) -> DataFrame:
+    rows = M.similar(cells(s, d))
+    done = fill.fill(rows)
+    return ledger.normalize_events(rows).unionByName(ledger.fill_events(done)).unionByName(ledger.footprint_events(footprint.components(done)))
+
+
+@query()
+def ledger_jsonl(s, d):
+    return ledger.jsonl(ledger.entries(all_events(s, d), "workload", "v1:v1", "2024-06-01"))
+
+
+@query()
+def cell_lineage(s, d):
+    rows, found, decisions = net(s, d)
+    out = review.applied(rows, review.approved_rules(found, decisions))
+    events = ledger.normalize_events(rows).unionByName(review.approval_events(out))
+    heads = ledger.lineage(events).select("id", "record_id", F.explode("data_lineage").alias("column_name", "head"))
+    return heads.select("id", "record_id", "column_name", "head.rule_id", "head.source_type", F.coalesce(F.size("head.lineage"), F.lit(1)).alias("n_rules"))
+
+
+@query(O.q(*O.FOOT, select="""SELECT id, (quantity IS NOT NULL)::BIGINT + (unit_price IS NOT NULL)::BIGINT + (component_weight_g IS NOT NULL)::BIGINT + (composition IS NOT NULL)::BIGINT + (order_date IS NOT NULL)::BIGINT + (factory_country_iso IS NOT NULL)::BIGINT
+ + (supplier_raw <> 'Zeta Holdings')::BIGINT + (material_normalized IS NOT NULL)::BIGINT + (tier IS NOT NULL)::BIGINT + (est IS NOT NULL)::BIGINT AS n_events, CASE WHEN est IS NOT NULL THEN 'footprint' END AS last_rule FROM foot WHERE est IS NOT NULL"""))
+def trace_record(s, d):
+    traced = all_events(s, d).groupBy("id").agg(F.count("*").alias("n_events"), F.max_by("rule_id", F.struct(*ledger.ORDER)).alias("last_rule"))
+    return traced.where("last_rule = 'footprint'")
+
+
+# ---- mart and decomposition
+
+
+@query(O.q(O.BOM, O.SECOND, select="SELECT id, material, quantity FROM bom2"))
+def vintage_transform(s, d):
+    return second_period(raw(s, d)).select("id", "material", "quantity")
+
+
+@query(O.q(*O.LINES, select="SELECT vintage, record_id, material, quantity, round(weight_kg, 9) AS weight_kg, factor, round(mass_kg, 6) AS mass_kg, round(footprint_kgco2e, 6) AS footprint_kgco2e FROM lines"))
+def footprint_lines(s, d):
+    return lines(s, d).select("vintage", "record_id", "material", "quantity", *rounded(9, "weight_kg"), "factor", *rounded(6, "mass_kg", "footprint_kgco2e"))
+
+
+@query(O.q(*O.LINES, select="SELECT vintage, count(*) AS n, round(sum(mass_kg), 4) AS mass_kg, round(sum(footprint_kgco2e), 4) AS footprint_kgco2e FROM lines GROUP BY vintage"))
+def mart_staging(s, d):
+    return mart.models(s, lines(s, d))["staging"].groupBy("vintage").agg(F.count("*").alias("n"), F.round(F.sum("mass_kg"), 4).alias("mass_kg"), F.round(F.sum("footprint_kgco2e"), 4).alias("footprint_kgco2e"))
+
+
+@query(O.q(*O.LINES, select="SELECT vintage, record_id, material, round(mass_kg, 6) AS mass_kg, factor, round(footprint_kgco2e, 6) AS footprint_kgco2e FROM lines WHERE mass_kg >= 0"))
+def mart_core(s, d):
+    return mart.models(s, lines(s, d))["core"].select("vintage", "record_id", "material", *rounded(6, "mass_kg"), "factor", *rounded(6, "footprint_kgco2e"))
+
+
+@query(O.q(*O.LINES, select="SELECT vintage, material, round(mass_kg, 4) AS mass_kg, factor, round(footprint_kgco2e, 4) AS footprint_kgco2e FROM mart"))
+def mart_footprint_by_material(s, d):
+    return built_mart(s, d).select("vintage", "material", *rounded(4, "mass_kg"), "factor", *rounded(4, "footprint_kgco2e"))
+
+
+@query(O.q(*O.LINES, O.EFFECTS, select="SELECT material, round(intensity, 4) AS intensity_effect, round(f_to - f_from - intensity, 4) AS volume_mix_effect FROM effects"))
+def decompose_by_material(s, d):
+    return mart.decompose_by_material(built_mart(s, d)).select("material", *rounded(4, "intensity_effect", "volume_mix_effect"))
+
+
+@query(O.q(*O.LINES, O.EFFECTS, select="SELECT round(sum(f_from), 3) AS f_from, round(sum(f_to), 3) AS f_to, round(sum(f_to - f_from), 3) AS observed_delta, round(sum(intensity), 3) AS intensity_effect, round(sum(f_to - f_from - intensity), 3) AS volume_mix_effect, true AS reconciles FROM effects"))
+def decompose_total(s, d):
+    return mart.decompose(built_mart(s, d)).select(*rounded(3, "f_from", "f_to", "observed_delta", "intensity_effect", "volume_mix_effect"), "reconciles")
+
+
+@query(O.q(*O.LINES, O.EFFECTS, select="SELECT material, round(intensity, 4) AS intensity_effect FROM effects WHERE material = 'polyester'"))
+def intensity_effect(s, d):
+    return mart.intensity_from_factor_change(built_mart(s, d), "polyester").select("material", *rounded(4, "intensity_effect"))
+
+
+TRUTH = "true_ AS (SELECT coalesce(material_normalized, {typo}) AS material, sum(quantity * true_weight) / 1000.0 AS mass_kg FROM (SELECT *, row_number() OVER (PARTITION BY style_id, sku, component ORDER BY id) AS nth FROM norm) WHERE nth = 1 AND quantity >= 0 AND coalesce(material_normalized, {typo}) IS NOT NULL GROUP BY 1)".replace("{typo}", O.TYPO)
+
+
+def true_mass(s: SparkSession, d: str) -> DataFrame:
+    rows = cells(s, d).withColumn("nth", anomalies.occurrence()).where("nth = 1 and quantity >= 0")
+    named = F.coalesce("material_normalized", F.when(F.col("material_raw") == "Organic cottn", "organic cotton"))
+    return mart.truth_basis(rows.select(named.alias("material"), "quantity", "true_weight").where("material is not null"))
+
+
+@query(O.q(*O.NORM, TRUTH, select="SELECT material, round(mass_kg, 4) AS mass_kg FROM true_"))
+def truth_basis(s, d):
+    return true_mass(s, d).select("material", *rounded(4, "mass_kg"))
+
+
+@query(O.q(*O.LINES, TRUTH, select="SELECT material, round(abs(m.mass_kg - t.mass_kg) / greatest(abs(t.mass_kg), 1), 6) AS gap FROM mart m JOIN true_ t USING (material) WHERE vintage = 'v1'"))
+def truth_gap(s, d):
+    truth = true_mass(s, d).withColumnRenamed("mass_kg", "true_kg")
+    return built_mart(s, d).where("vintage = 'v1'").join(truth, "material").select("material", F.round(mart.gap(F.col("mass_kg"), F.col("true_kg")), 6).alias("gap"))
