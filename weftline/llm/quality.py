@@ -144,14 +144,11 @@ def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delt
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns kept. Two reads of the text, no shuffle of it."""
-    m = F.col("_m")
-    judged = with_measures(docs.select("doc_id", "text", stratum().alias("stratum"))).select("doc_id", "stratum", failed_levels(m).alias("failed"))
-    levels = staged(certify(staged(judged, "quality-judged"), labels, alpha, delta), "quality-levels")
-    levels = levels.select(F.col("stratum").alias("_stratum"), F.col("level").alias("_level"))
+    """The documents that pass, all columns kept. Texts are measured once: rows are staged with what the verdict needs."""
     rows = docs.withColumn("_s", stratum()).withColumn("_m", measures(text_or_empty()))
-    rows = rows.withColumn("_bad", F.struct(failed_levels(m).alias("failed"), base_failed(m).alias("base"))).drop("_m")
+    rows = rows.withColumn("_bad", F.struct(failed_levels(F.col("_m")).alias("failed"), base_failed(F.col("_m")).alias("base"))).drop("_m")
+    rows = staged(rows, "quality-judged")
+    judged = rows.select("doc_id", F.col("_s").alias("stratum"), F.col("_bad.failed").alias("failed"))
+    levels = staged(certify(judged, labels, alpha, delta), "quality-levels").select(F.col("stratum").alias("_stratum"), F.col("level").alias("_level"))
     kept = rows.join(levels, rows["_s"] == levels["_stratum"], "left").where(verdict(F.col("_bad")["failed"], F.col("_level"), F.col("_bad")["base"]))
-    return kept.select(*[docs[c] for c in docs.columns])
-
-
+    return kept.select(docs.columns)
