@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged, text_or_empty
+from .common import bounded_batches, fresh_path, staged, text_or_empty
 
 BUCKET_BYTES = 32 << 20
 MAX_DEPTH = 16
@@ -149,6 +149,7 @@ def classes(docs: DataFrame, path: str | None = None, hash_bits: int = 64, bucke
     ``path`` is where the index files go; ``hash_bits`` below 64 forces collisions (tests).
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     index = path or fresh_path(spark, "dedup-index")
     body = text_or_empty()
     key = F.shiftleft(F.shiftright(F.xxhash64(body), 64 - hash_bits), 64 - hash_bits) if hash_bits < 64 else F.xxhash64(body)

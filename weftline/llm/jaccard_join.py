@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small_side, staged, text_or_empty, words_of
+from .common import bounded_batches, let, small_side, staged, text_or_empty, words_of
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -291,6 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
     """Staged rows, and per set: s1, s2, class_id, copy_id, n_links, n_copies."""
+    bounded_batches(docs.sparkSession)
     runs = runs_for(recall)
     rows = records(docs, runs)
     sets = staged(distinct_sets(rows), "jaccard-distinct")

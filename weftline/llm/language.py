@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Bound of the training sample per language, and the number of languages one model may have.
 SAMPLE_CHARS = 60_000
 MOST_LANGUAGES = 256
@@ -213,6 +215,7 @@ def predictor(shared):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: some 20 MB a language
     return rows.mapInArrow(predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_char double")

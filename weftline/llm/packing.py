@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import bounded_batches, staged, text_or_empty
 from .tokens import encoded
 
 CAPACITY = 2048
@@ -114,6 +114,7 @@ def best_two_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+    bounded_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     pieces = rows.mapInArrow(cutter(tokenizer_path, capacity, end_id, with_ids), schema)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged, text_or_empty
+from .common import bounded_batches, fresh_path, staged, text_or_empty
 from .tokens import encoded
 
 MAX_BITS = 18
@@ -190,6 +190,7 @@ def block_writer(ids: np.ndarray, lengths: np.ndarray):
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     stage = staged(rows.mapInArrow(ids_stager(tokenizer_path, end_id), STAGE), "token-ids")
     # One row per id of the vocabulary reaches the driver.

@@ -18,8 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces held before the memory starts anew (some 150 bytes each), and characters encoded at a time.
-MOST_PIECES = 500_000
-CHARS_AT_ONCE = 2_000_000
+MOST_PIECES = 150_000
+CHARS_AT_ONCE = 500_000
 
 UNEVEN = re.compile(r"\s\s")
 EDGE = re.compile(r"(?<=\S) (?=\S)")
