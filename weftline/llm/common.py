@@ -39,6 +39,12 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a staged folder of this run that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Tables of keys up to this many rows are broadcast (some 40 bytes a row); beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 

@@ -316,4 +316,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARG
     """One document of each group, the one with the least doc_id; all columns kept."""
     report = join_report(docs, threshold, recall)
     stays = staged(report.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct(), "jaccard-kept")
-    return docs.join(stays.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stays["_keep"]), "left_semi")
+    return docs.join(small_side(stays), docs["doc_id"].eqNullSafe(stays["_keep"]), "left_semi")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, staged, text_or_empty, words_of
+from .common import SPACE, let, small_side, staged, text_or_empty, words_of
 
 #: The ladder, lenient to strict: a document is rejected when a rate lies above its cutoff.
 #: Columns: share of symbols, of capitals, of repeated lines, of words in repeated windows.
@@ -144,11 +144,16 @@ def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delt
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns kept. Texts are measured once: rows are staged with what the verdict needs."""
-    rows = docs.withColumn("_s", stratum()).withColumn("_m", measures(text_or_empty()))
-    rows = rows.withColumn("_bad", F.struct(failed_levels(F.col("_m")).alias("failed"), base_failed(F.col("_m")).alias("base"))).drop("_m")
-    rows = staged(rows, "quality-judged")
-    judged = rows.select("doc_id", F.col("_s").alias("stratum"), F.col("_bad.failed").alias("failed"))
-    levels = staged(certify(judged, labels, alpha, delta), "quality-levels").select(F.col("stratum").alias("_stratum"), F.col("level").alias("_level"))
-    kept = rows.join(levels, rows["_s"] == levels["_stratum"], "left").where(verdict(F.col("_bad")["failed"], F.col("_level"), F.col("_bad")["base"]))
-    return kept.select(docs.columns)
+    """The documents that pass, all columns kept. Texts are measured once; only keys and verdicts are staged.
+
+    Rows with equal doc_id, text and language get one verdict, so these keys find the rows again.
+    """
+    m, key = F.col("_m"), F.xxhash64(text_or_empty())
+    rows = with_measures(docs.select("doc_id", "text", "lang", key.alias("h")))
+    judged = rows.select("doc_id", "lang", "h", stratum().alias("stratum"), failed_levels(m).alias("failed"), base_failed(m).alias("base"))
+    judged = staged(judged, "quality-judged")
+    levels = staged(certify(judged, labels, alpha, delta), "quality-levels")
+    passed = judged.join(levels, "stratum", "left").where(verdict(F.col("failed"), F.col("level"), F.col("base")))
+    passed = staged(passed.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"), F.col("h").alias("_key")), "quality-passed")
+    same = docs["doc_id"].eqNullSafe(passed["_doc"]) & docs["lang"].eqNullSafe(passed["_lang"]) & (key == passed["_key"])
+    return docs.join(small_side(passed), same, "left_semi")
