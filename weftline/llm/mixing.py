@@ -4,17 +4,18 @@ Targets: sources in code-point order (null last) weigh 1, 2, 3 and again; togeth
 as the corpus has. A target stops at ``cap`` times its source's words; the excess is shared again by weight
 until none is above.
 
-Drawing: a source's documents are permuted by a seeded hash and fall, in that order, into blocks of nearly
-equal words. A target of e whole passes and a rest takes every block e times, then blocks of one more
+Drawing: in every pass a source's documents are permuted anew by a seeded hash and fall, in that order, into blocks of
+nearly equal words. A target of e whole passes and a rest takes every block of e permutations, then blocks of one more
 permutation until the rest is met; in the last block and a few after it documents are
 taken in permuted order as far as they fit, and one more document, of all that are left, closes what is missing if that brings the sum nearer. Whole documents only.
 
 Output shards: the exact block quotas of all sources are split in two at every node of a binary tree by a
 multivariate hypergeometric draw; a leaf's quota says which run of each source's permuted blocks its shard
-gets. Runs are disjoint and cover every drawn block. Inside a shard, rows are ordered by a seeded hash.
+gets. Runs are disjoint and cover every drawn block. Inside a shard, rows are ordered by a seeded hash. ``report``
+counts the copies that the shards got; ``mix`` sends each copy to its shard and sorts there.
 
 Edge cases: null text has 0 words; null source is a source of its own, last in order; documents without words
-are never taken; repeated rows are drawn each for itself (rows equal in everything share a place in the
+are never taken; repeated rows are drawn each for itself (rows equal in doc_id and text share a place in the
 permutation and go in or out in row-number order); an empty table gives an empty result; further columns pass
 through ``mix``.
 """
@@ -22,10 +23,10 @@ through ``mix``.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty, words_of
+from .common import small_side, staged, text_or_empty, words_of
 
 #: Words a block should have, and the most blocks a source gets.
 BLOCK_WORDS = 20_000
@@ -77,12 +78,18 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
-    """Rows with size, source facts, place in the permutation (h) and block."""
+def in_pass(seed: int, number: Column) -> tuple[Column, Column]:
+    """Place in the permutation of a pass, and block there."""
+    h = F.xxhash64(F.lit(seed), number.cast("int"), "doc_id", "crc")
+    return h, F.floor(F.shiftrightunsigned(h, 33) * F.col("blocks") / F.lit(2.0**31)).cast("int")
+
+
+def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = None) -> DataFrame:
+    """Rows with size, source facts, place in the last pass's permutation (h) and block; ``rid``: the column of row ids, if there is one."""
     spark = docs.sparkSession
     size = F.size(words_of(text_or_empty())).cast("long")
     # Order of null last: sources sort by (is null, code points).
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"), size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("crc"))
+    rows = docs.select("doc_id", (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"), size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("crc"))
     rows = staged(rows, "mix-rows")
     found = sorted(rows.groupBy("src").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect(), key=lambda r: (r["src"]["none"], r["src"]["name"]))
     if len(found) > MOST_SOURCES:
@@ -92,19 +99,19 @@ def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     facts = [(r["src"]["none"], r["src"]["name"], i, int(r["words"]), float(g), b, int(round(g) // max(r["words"], 1))) for i, (r, g, b) in enumerate(zip(found, goal, blocks, strict=True))]
     facts = spark.createDataFrame(facts, "none boolean, name string, sid int, source_size long, target double, blocks int, passes int")
     facts = facts.select(F.struct("none", "name").alias("src"), "sid", "source_size", "target", "blocks", "passes")
-    h = F.xxhash64(F.lit(seed), "doc_id", "crc")
-    return rows.join(facts, "src").withColumn("h", h).withColumn("block", F.floor(F.shiftrightunsigned("h", 33) * F.col("blocks") / F.lit(2.0**31)).cast("int"))
+    h, block = in_pass(seed, F.col("passes"))
+    return rows.join(facts, "src").withColumn("h", h).withColumn("block", block)
 
 
-def draw(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, crc, size, source_size, target, taken, times, last (drawn in the last, partial pass) and its block."""
-    placed = plan(docs, seed, cap)
+def draw(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = None) -> DataFrame:
+    """One row per document: rid, doc_id, crc, size, source_size, target, taken, times, last (drawn in the last, partial pass) and its block."""
+    rows = plan(docs, seed, cap, rid)
     rest = F.round("target") - F.col("passes") * F.col("source_size")
-    by_block = placed.groupBy("sid", "block").agg(F.sum("size").alias("block_words"))
+    by_block = rows.groupBy("sid", "block").agg(F.sum("size").alias("block_words"))
     # Blocks per source are bounded, so is this window.
     before = F.coalesce(F.sum("block_words").over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by_block = by_block.withColumn("before", before)
-    inner = placed.join(by_block, ["sid", "block"]).withColumn("rest", rest.cast("long"))
+    inner = rows.join(by_block, ["sid", "block"]).withColumn("rest", rest.cast("long"))
     # The block of a source in which its rest ends and the few after it: only these are ordered row by row.
     ends_later = F.col("before") + F.col("block_words") > F.col("rest")
     partial = ends_later & (F.col("before") < F.col("rest") + FITTING_BLOCKS * F.col("source_size") / F.col("blocks"))
@@ -130,33 +137,43 @@ def draw(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     rows = chosen.join(closing, "rid", "left")
     last = F.col("last") | F.coalesce("closes", F.lit(False))
     times = F.when(F.col("size") > 0, F.col("passes") + last.cast("int")).otherwise(0)
-    return rows.select("doc_id", "crc", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"), last.alias("last"), "block", "sid", "passes", "blocks", "h")
-
-
-def report(docs: DataFrame, seed: int = 17) -> DataFrame:
-    return draw(docs, seed=seed).select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("rid", "doc_id", "crc", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"), last.alias("last"), "block", "sid", "passes", "blocks", "h")
 
 
-def mix(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
-    """The mixed rows, all columns kept, each as often as it was drawn, with ``_shard`` and ``_place`` (local shuffle order)."""
-    drawn = staged(draw(docs, seed), "mix-drawn").where("times > 0")
+def placed(drawn: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """One row per drawn copy: rid, shard that the tree gives it, place there. ``drawn``: staged rows of ``draw``."""
     if shards is None:
         words = drawn.agg(F.sum("taken")).first()[0] or 0
         shards = max(LEAST_SHARDS, -(-words // SHARD_WORDS))
-    copies = drawn.select("doc_id", "crc", "sid", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    copies = drawn.where("times > 0").select("rid", "doc_id", "crc", "sid", "blocks", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     # A source's drawn blocks, numbered along its permutations: pass after pass, those without a drawn row left out.
-    copies = copies.withColumn("serial", F.col("copy") * F.col("blocks") + F.col("block"))
+    copies = copies.withColumn("serial", F.col("copy") * F.col("blocks") + in_pass(seed, F.col("copy"))[1])
     numbered = copies.select("sid", "serial").distinct().withColumn("at", F.row_number().over(Window.partitionBy("sid").orderBy("serial")) - 1)
     numbered = staged(numbered, "mix-blocks")
     quotas = numbered.groupBy("sid").agg(F.count("*").alias("n")).orderBy("sid").collect()
     leaves = split_tree([r["n"] for r in quotas], shards, seed)
     ends = np.cumsum(leaves, axis=0)
     runs = [(r["sid"], s, int(ends[s, i] - leaves[s, i]), int(ends[s, i])) for i, r in enumerate(quotas) for s in np.flatnonzero(leaves[:, i]).tolist()]
-    runs = docs.sparkSession.createDataFrame(runs, "sid int, shard int, first long, end long").select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("at"))
-    where = numbered.join(runs, ["sid", "at"]).select("sid", "serial", "shard")
-    placed = copies.join(where, ["sid", "serial"]).select("doc_id", "crc", F.struct("shard", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", "copy").alias("place")).alias("p"))
-    # At most ``cap`` copies of a row; rows equal in doc_id and text share their places.
-    placed = placed.groupBy(F.col("doc_id").alias("_doc"), F.col("crc").alias("_crc")).agg(F.array_distinct(F.collect_list("p")).alias("_at"))
-    text = docs.withColumn("_c", F.crc32(text_or_empty().cast("binary")))
-    joined = text.join(placed.hint("shuffle_hash"), text["doc_id"].eqNullSafe(placed["_doc"]) & (text["_c"] == placed["_crc"]))
-    return joined.select(*docs.columns, F.explode("_at").alias("_p")).select(*docs.columns, F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
+    runs = drawn.sparkSession.createDataFrame(runs, "sid int, shard int, first long, end long").select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("at"))
+    where = staged(numbered.join(runs, ["sid", "at"]).select("sid", "serial", "shard"), "mix-shards")
+    return copies.join(small_side(where), ["sid", "serial"]).select("rid", "shard", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", "copy").alias("place"))
+
+
+def report(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """Per document: size, source_size, target, words taken and the output shards of its copies, in order."""
+    drawn = staged(draw(docs, seed=seed), "mix-drawn")
+    own = placed(drawn, seed=seed).groupBy("rid").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("shard")).cast("array<string>"), ",").alias("shards"))
+    taken = (F.coalesce("n", F.lit(0)) * F.col("size")).cast("long")
+    return drawn.join(own, "rid", "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
+
+
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """The mixed rows, all columns kept, each as often as it was drawn, with ``_shard`` and ``_place``: a shard in one partition, in order of place."""
+    rows = staged(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-docs")
+    drawn = staged(draw(rows, seed, rid="_rid"), "mix-drawn")
+    # At most ``cap`` copies of a row and one more.
+    own = placed(drawn, shards, seed).groupBy("rid").agg(F.collect_list(F.struct("shard", "place")).alias("_at"))
+    own = staged(own.select(F.col("rid").alias("_rid"), "_at"), "mix-placed")
+    joined = rows.join(small_side(own), "_rid").select(*docs.columns, F.explode("_at").alias("_p"))
+    joined = joined.select(*docs.columns, F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
+    return joined.repartition("_shard").sortWithinPartitions("_shard", "_place")
