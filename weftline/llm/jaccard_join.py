@@ -222,9 +222,9 @@ def verifier(threshold: float):
             size = np.array([len(s) for s in sets])
             both = shared_counts(sets)
             linked = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
-            if linked.sum() > len(rid):
-                linked &= ~covered(leaf, [x for p in parts for x in p.column(6).to_pylist()])
             np.fill_diagonal(linked, False)
+            if linked.any():
+                linked &= ~covered(leaf, [x for p in parts for x in p.column(6).to_pylist()])
             if a != b:
                 linked &= chunk[:, None] != chunk[None, :]
             if not linked.any():
