@@ -5,6 +5,8 @@ follows it, when another non-space character comes next. Cutting there gives pie
 text, so each distinct piece is encoded once and looked up afterwards. A piece that is a word of letters, perhaps with one mark
 after it, is one pre-token and that mark: such words go to the library's BPE many at a time, one per line, already in
 its byte alphabet. Any other piece goes to the tokenizer as it is, and so do whole texts if the tokenizer is of another kind.
+The file's added tokens are matched in the text, as the library does by default; one that could reach over a cut or lie inside a
+word makes the tokenizer one of another kind.
 """
 
 from __future__ import annotations
@@ -49,17 +51,23 @@ class Pieces(dict):
         return code
 
 
+def within_piece(added: dict) -> bool:
+    """Whether matches of an added token lie inside one piece, and never in one that is a word and its mark."""
+    content = added["content"]
+    whole = not (added.get("lstrip") or added.get("rstrip") or any(c.isspace() for c in content))
+    return whole and any(not c.isalpha() and c not in MARKS for c in content)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         said = json.loads(self.tokenizer.to_str())
         step = said.get("pre_tokenizer") or {}
         usual = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
-        self.by_piece = bool(usual and not said.get("normalizer") and said["model"].get("type") == "BPE")
+        self.by_piece = bool(usual and not said.get("normalizer") and said["model"].get("type") == "BPE" and all(map(within_piece, said.get("added_tokens") or [])))
         if self.by_piece:
             from tokenizers import pre_tokenizers
 
