@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-Training: per language a bounded sample of labelled texts (``SAMPLE_CHARS`` characters, rows in the order of a seeded
-hash) becomes a suffix automaton: its paths from the start are exactly the substrings of the sample. A text is parsed
+Training: per language a bounded sample of labelled texts (``SAMPLE_CHARS`` characters; a piece of each distinct
+text, at a hashed place of the whole text, in the order of a seeded hash) becomes a suffix automaton: its paths from the start are exactly the substrings of the sample. A text is parsed
 greedily into the longest phrases the sample contains; unlike text breaks into more and shorter phrases. A phrase
 costs log2(sample length) bits, so the count is normalised by the size of the sample as well as by the length of the
 text, and the language with the fewest bits per character wins.
@@ -231,14 +231,17 @@ def sampled(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(lang, before, piece): at most ``sample_chars`` characters of labelled text per language and the rest of a piece, drawn in hash order."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     # A language needs at most sample_chars texts of one character; far fewer here. Pieces keep a long text from filling the sample.
-    piece = F.left("text", F.lit(sample_chars // 20))
-    h = F.xxhash64(F.lit(23), "doc_id", F.length("text"))
-    facts = rows.groupBy("lang").agg(F.sum(F.length(piece)).alias("chars"), F.count("*").alias("rows"))
+    size = F.lit(sample_chars // 20)
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(23), "text").alias("h"), F.xxhash64(F.lit(24), "text").alias("h2"))
+    once = rows.select("lang", "h", "h2", F.least(F.length("text"), size).alias("n")).distinct()
+    facts = once.groupBy("lang").agg(F.sum("n").alias("chars"), F.count("*").alias("rows"))
+    at = F.pmod("h2", F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
     # Rows below a hash threshold that makes some twice the wanted characters likely; then in order until the sample is full.
     share = F.least(F.lit(1.0), F.lit(2.0 * sample_chars) / F.greatest("chars", F.lit(1)) + F.lit(8.0) / F.col("rows"))
     facts = staged(facts.select("lang", F.floor(share * float(1 << 31)).alias("near")), "language-facts")
-    chosen = rows.select("lang", h.alias("h"), "doc_id", piece.alias("piece")).join(small_side(facts), "lang").where(F.shiftrightunsigned("h", 33) <= F.col("near"))
-    before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("lang").orderBy("h", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = rows.join(small_side(facts), "lang").where(F.shiftrightunsigned("h", 33) <= F.col("near"))
+    chosen = chosen.select("lang", "h", "h2", F.substr("text", at, size).alias("piece")).distinct()
+    before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("lang").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return chosen.withColumn("before", before).where(F.col("before") < sample_chars).select("lang", "before", "piece")
 
 
