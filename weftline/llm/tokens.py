@@ -2,9 +2,9 @@
 
 A byte-level BPE with the usual pattern never joins a non-space character with a single space or line break that
 follows it, when another non-space character comes next. Cutting there gives pieces that encode alone as they do in the
-text, so each distinct piece is encoded once and looked up afterwards. A piece that is a word of letters, perhaps with one mark
-after it, is one pre-token and that mark: such words go to the library's BPE many at a time, one per line, already in
-its byte alphabet. Any other piece goes to the tokenizer as it is, and so do whole texts if the tokenizer is of another kind.
+text, so a batch's distinct pieces are found by Arrow, and each is encoded once and looked up afterwards. A piece that is a word of letters, perhaps with one mark
+after it, is one pre-token and that mark: such words go to the library's BPE many at a time, as a list already cut into
+words, in its byte alphabet. Any other piece goes to the tokenizer as it is, and so do whole texts if the tokenizer is of another kind.
 The file's added tokens are matched in the text, as the library does by default; one that could reach over a cut or lie inside a
 word makes the tokenizer one of another kind.
 """
@@ -18,10 +18,12 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces held before the memory starts anew (some 150 bytes each), and characters encoded at a time.
-MOST_PIECES = 150_000
-CHARS_AT_ONCE = 500_000
+#: Pieces held before the memory starts anew (some 250 bytes each with their words), and characters encoded at a time.
+MOST_PIECES = 500_000
+CHARS_AT_ONCE = 4_000_000
 
 UNEVEN = re.compile(r"\s\s")
 EDGE = re.compile(r"(?<=\S) (?=\S)")
@@ -37,6 +39,8 @@ def byte_alphabet() -> dict[int, int]:
 
 #: Marks the piece that starts a text; a lone surrogate can't occur in one.
 HEAD = "\ud800"
+#: Stands at the cuts of a text; one that holds it is a piece of its own.
+CUT = "\0"
 
 
 class Pieces(dict):
@@ -58,6 +62,13 @@ def within_piece(added: dict) -> bool:
     return whole and any(not c.isalpha() and c not in MARKS for c in content)
 
 
+def spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of all spans in a row."""
+    done = np.cumsum(sizes)
+    total = int(done[-1]) if len(done) else 0
+    return values[np.repeat(starts - (done - sizes), sizes) + np.arange(total)]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,17 +80,18 @@ class Encoder:
         usual = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.by_piece = bool(usual and not said.get("normalizer") and said["model"].get("type") == "BPE" and all(map(within_piece, said.get("added_tokens") or [])))
         if self.by_piece:
-            from tokenizers import pre_tokenizers
-
             self.alphabet = byte_alphabet()
-            self.by_line = Tokenizer.from_file(path)
-            self.by_line.pre_tokenizer = pre_tokenizers.Split(chr(self.alphabet[10]), "isolated")
+            self.by_word = Tokenizer.from_file(path)
+            self.by_word.pre_tokenizer = None
+            self.widths = np.zeros(self.by_word.get_vocab_size(with_added_tokens=True), np.int64)
+            for token, i in self.by_word.get_vocab().items():
+                self.widths[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
-        """Entries hold ids; a piece is up to three entries: line break, word, mark."""
+        """Entries hold ids of line breaks, words and marks; a piece is up to one of each, in that order."""
         self.pieces, self.ids, self.ends = Pieces(), array("i"), array("q")
-        self.parts = [array("i"), array("i"), array("i")]
+        self.piece_ids, self.piece_ends = array("i"), array("q", [0])
         self.words: dict[str, int] = {}
         self.entry([])
         if self.by_piece:
@@ -96,37 +108,49 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_words(self, new: list[str]) -> None:
-        """Words of letters, with or without a space before them, one per line."""
-        lines = "\n".join(new).encode().decode("latin-1").translate(self.alphabet)
-        ids = np.array(self.by_line.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.int32)
-        cuts = np.flatnonzero(ids == self.newline[0])
-        kept = np.delete(ids, cuts)
-        ends = np.r_[cuts, len(ids)] - np.arange(len(cuts) + 1) + len(self.ids)
+        """Words of letters, with or without a space before them."""
+        words = "\n".join(new).encode().decode("latin-1").translate(self.alphabet).split(chr(self.alphabet[10]))
+        ids = np.array(self.by_word.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        # The characters of a word's tokens are the word's: their counts tell where it ends.
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(sizes), "left") + 1 + len(self.ids)
         first = len(self.ends)
-        self.ids.frombytes(kept.tobytes())
+        self.ids.frombytes(ids.tobytes())
         self.ends.frombytes(ends.astype(np.int64).tobytes())
-        self.words |= zip(new, range(first, first + len(new)), strict=True)
+        self.words.update(zip(new, range(first, first + len(new)), strict=True))
 
     def learn(self) -> None:
         """Finds the entries of the pieces that wait."""
         new, self.pieces.new = self.pieces.new, []
-        if not new:
-            return
-        breaks = [self.break_entry if p[:1] == "\n" else 0 for p in new]
-        full = [p[1:] if p[:1] == HEAD or b else " " + p for p, b in zip(new, breaks, strict=True)]
-        find = self.marks.get
-        marks = [find(p[-1:], 0) for p in full]
-        stems = [p[:-1] if m else p for p, m in zip(full, marks, strict=True)]
-        known = self.words.get
-        words = [known(x, -1) if (x[1:] if x[:1] == " " else x).isalpha() else -2 for x in stems]
-        if unknown := list(dict.fromkeys(x for x, w in zip(stems, words, strict=True) if w == -1)):
-            self.learn_words(unknown)
-            words = [known(x) if w == -1 else w for x, w in zip(stems, words, strict=True)]
-        odd = [i for i, w in enumerate(words) if w == -2]
-        for i, ids in zip(odd, self.plain([full[i] for i in odd]), strict=True):
-            words[i], marks[i] = self.entry(ids), 0
-        for held, found in zip(self.parts, (breaks, words, marks), strict=True):
-            held.extend(found)
+        mark_of, known = self.marks.get, self.words.get
+        breaks, words, marks, unknown, odd = [], [], [], {}, []
+        for at, piece in enumerate(new):
+            first = piece[0] if piece else ""
+            full = piece[1:] if first == HEAD or first == "\n" else " " + piece
+            mark = mark_of(full[-1:], 0)
+            stem = full[:-1] if mark else full
+            if not (stem[1:] if stem[:1] == " " else stem).isalpha():
+                odd.append((at, full))
+                word = mark = 0
+            elif (word := known(stem, 0)) == 0:
+                unknown.setdefault(stem, []).append(at)
+            breaks.append(self.break_entry if first == "\n" else 0)
+            words.append(word)
+            marks.append(mark)
+        if unknown:
+            self.learn_words(list(unknown))
+            for stem, places in unknown.items():
+                for at in places:
+                    words[at] = known(stem)
+        for (at, _), ids in zip(odd, self.plain([full for _, full in odd]), strict=True):
+            words[at] = self.entry(ids)
+        if new:
+            entries = np.array([breaks, words, marks]).T
+            ids, ends = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64)
+            sizes = np.where(entries > 0, ends[entries] - ends[entries - 1], 0)
+            piece_ends = np.cumsum(sizes.sum(axis=1)) + len(self.piece_ids)
+            self.piece_ids.frombytes(spans(ids, ends[entries.reshape(-1)] - sizes.reshape(-1), sizes.reshape(-1)).tobytes())
+            self.piece_ends.frombytes(piece_ends.tobytes())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends in them."""
@@ -135,29 +159,26 @@ class Encoder:
             return np.array([i for ids in each for i in ids], np.int32), np.cumsum([len(ids) for ids in each]).astype(np.int64)
         if len(self.pieces) > MOST_PIECES:
             self.clear()
-        flat: list[str] = []
-        counts = []
+        cut = []
         for text in texts:
-            uneven = UNEVEN.search(text) or text[:1].isspace() or text[-1:].isspace()
-            cut = EDGE.split(text) if uneven else text.replace("\n", " \n").split(" ")
-            cut[0] = HEAD + cut[0]
-            flat += cut
-            counts.append(len(cut))
-        codes = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, len(flat))
+            if CUT in text:
+                cut.append("")
+            elif UNEVEN.search(text) or text[:1].isspace() or text[-1:].isspace():
+                cut.append(EDGE.sub(CUT, text))
+            else:
+                cut.append(text.replace("\n", " \n").replace(" ", CUT))
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), CUT)
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.dictionary_encode()
+        distinct, place = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        codes = np.fromiter(map(self.pieces.__getitem__, distinct), np.int64, len(distinct))[place]
+        for at, text in zip(offsets.tolist(), texts, strict=False):
+            codes[at] = self.pieces[HEAD + (text if CUT in text else distinct[place[at]])]
         self.learn()
-        ids, ends = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64)
-        entries = np.stack([np.frombuffer(p, np.int32) for p in self.parts], axis=1)[codes].reshape(-1)
-        entries = entries[entries > 0]
-        width = np.zeros(len(self.parts[0]), np.int64)
-        for p in self.parts:
-            at = np.frombuffer(p, np.int32)
-            width += ends[at] - np.where(at > 0, ends[at - 1], 0)
-        starts, lengths = ends[entries - 1], ends[entries] - ends[entries - 1]
-        done = np.cumsum(lengths)
-        total = int(done[-1]) if len(done) else 0
-        out = ids[np.repeat(starts - (done - lengths), lengths) + np.arange(total)]
-        texts_end = np.cumsum(width[codes])[np.cumsum(counts) - 1] if len(codes) else np.zeros(0, np.int64)
-        return out, texts_end
+        ends = np.frombuffer(self.piece_ends, np.int64)
+        sizes = np.diff(ends)[codes]
+        out = spans(np.frombuffer(self.piece_ids, np.int32), ends[codes], sizes)
+        return out, np.r_[0, np.cumsum(sizes)][offsets[1:]]
 
 
 _held: dict[str, Encoder] = {}
