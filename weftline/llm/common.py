@@ -15,12 +15,14 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (local tests) a temporary folder takes its place.
+    Only where the setting is absent and the session is local (tests) a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
             held = spark.sparkContext.getCheckpointDir()
         found = held
@@ -45,13 +47,34 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: Tables of keys up to this many rows are broadcast (some 40 bytes a row); beyond, the join shuffles.
-BROADCAST_KEYS = 1_000_000
+#: Most rows of a table with a row per language, stratum or source that is broadcast (some 100 bytes a row).
+BROADCAST_FACTS = 100_000
+#: A key with more than this part of all rows is hot: there are at most so many, and their rows are dealt to ``SALTS`` tasks.
+HOT_PART = 512
+SALTS = 64
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """Hint for a staged table of keys: broadcast when its counted rows stay below the bound, else build a shuffled hash."""
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df.hint("shuffle_hash")
+def keys_of_rows(df: DataFrame) -> DataFrame:
+    """Hint for a table of keys that grows with the rows: the rows stream past a hash of it, at every size the same way."""
+    return df.hint("shuffle_hash")
+
+
+def facts(df: DataFrame) -> DataFrame:
+    """Hint for a staged table with a row per language, stratum or source: broadcast up to ``BROADCAST_FACTS`` counted rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_FACTS + 1).count() <= BROADCAST_FACTS else df.hint("shuffle_hash")
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int, by: str) -> DataFrame:
+    """Inner join of rows with a table that has one row per key and says in ``size`` how many rows have it.
+
+    Rows of hot keys are spread by ``by``. No more than ``HOT_PART`` keys can be hot, so their list is broadcast.
+    """
+    is_hot = F.col(size) * HOT_PART > total
+    hot = F.broadcast(one.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    many = many.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return many.join(one.withColumn("_salt", F.explode(salts)).hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
 
 
 #: Rows of text in an Arrow batch: bounds the buffers of a task and of its Python worker.
@@ -65,6 +88,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

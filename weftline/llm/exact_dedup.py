@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh_path, small_side, staged, text_or_empty
+from .common import bounded_batches, discard, fresh_path, keys_of_rows, staged, text_or_empty
 
 BUCKET_BYTES = 32 << 20
 MAX_DEPTH = 16
@@ -183,7 +183,7 @@ def deduplicate(docs: DataFrame, path: str | None = None) -> DataFrame:
     kept = staged(classes(docs, index).where("kept").select(F.col("doc_id").alias("_keep")), "dedup-kept")
     if path is None:
         discard(docs.sparkSession, index)
-    joined = docs.join(small_side(kept), docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    joined = docs.join(keys_of_rows(kept), docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
     repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not repeats:
         return joined

@@ -7,15 +7,18 @@ more sampled tokens, up to ``LEVELS`` deep; a bucket that does not shrink by hal
 records of similarity s meet in a leaf of a run with probability at least 0.75 for s >= 0.8 (the fixed point of
 p = s (1 - (1 - p)^2)), so ``runs_for`` runs reach the target recall.
 
-Leaves are verified by brute force on the exact sets. A leaf above ``BLOCK`` records, however large, is dealt into
-pairs of chunks. A pair is counted in its first common leaf only, so nothing need be emitted per pair: a
-leaf gives each record its number of links and one link towards its group in the leaf. Groups are then connected components.
+Leaves are verified by brute force on the exact sets. A dense leaf needs no pairs: a record that differs from the tokens
+common to most records of its home (the leaf's records, see ``candidates``) by no more than a ninth of its size, at s = 0.8, is linked with
+every other such record. These form a ball, whose links are counted by its sum of texts. Only the leaf's other
+records are dealt into pairs of chunks, with the ball's members too where they are near enough to be linked. A pair is counted
+in its ball, else in its first common leaf: a leaf gives each record its number of links and one link towards its group
+in the leaf. Groups are then connected components of balls and records.
 
 Result per document: class_id (least doc_id of its connected group), copy_id (least doc_id with the same set), n_links (number of
 different texts linked to its text), n_copies (documents with the same set).
 
 Edge cases: null text counts as empty; texts without words form one class and have no links; repeated rows are
-documents of their own; null doc_ids come before all others in "least" only if the whole group has none; an empty table
+documents of their own; a null doc_id is the "least" of a group only if the whole group has none; an empty table
 gives an empty result; very long texts take part whole; other columns are ignored here and kept by ``keep_one``.
 """
 
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, let, small_side, staged, text_or_empty, words_of
+from .common import bounded_batches, join_hot, keys_of_rows, let, staged, text_or_empty, unused, words_of
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -41,6 +44,7 @@ BLOCK = 256
 LEVELS = 3
 BRANCHES = 2
 PER_PATH = 1 + BRANCHES * (LEVELS - 1)
+LINKS = "rid long, node long, links long, root long"
 
 
 def runs_for(recall: float) -> int:
@@ -100,9 +104,10 @@ def records(docs: DataFrame, runs: int) -> DataFrame:
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """Per set: rep (a row), n_texts, n_copies, least doc_id. Copies combine before each shuffle."""
-    texts = rows.groupBy("s1", "s2", "t1", "t2").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("n").alias("n"))
-    return texts.groupBy("s1", "s2").agg(F.min("rid").alias("rep"), F.count("*").alias("n_texts"), F.sum("copies").alias("n_copies"), F.min("least").alias("least"), F.min("n").alias("n"))
+    """Per set: rep (a row), n_texts, n_copies, best (the row that comes first by doc_id). Copies combine before each shuffle."""
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "rid"))
+    texts = rows.groupBy("s1", "s2", "t1", "t2").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), order.alias("best"), F.min("n").alias("n"))
+    return texts.groupBy("s1", "s2").agg(F.min("rid").alias("rep"), F.count("*").alias("n_texts"), F.sum("copies").alias("n_copies"), F.min("best").alias("best"), F.min("n").alias("n"))
 
 
 def leaves(reps: DataFrame, runs: int) -> DataFrame:
@@ -208,35 +213,41 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verifier(threshold: float):
-    """Blocks (leaf, a, b, rid, chunk, weight, mine, set), sorted by block, to (rid, links, root)."""
-    schema = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    """Blocks (leaf, a, b, rid, chunk, weight, home, mine, set), sorted by block, to (rid, node, links, root)."""
+    schema = pa.schema([("rid", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         for parts in runs_of_rows(batches, 3):
             leaf, a, b = (parts[0].column(i)[0].as_py() for i in range(3))
-            rid, chunk, weight = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4, 5))
-            if len(rid) < 2:
+            rid, chunk, weight, node = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4, 5, 6))
+            # A row repeated with its doc_id and text comes as often; once is enough.
+            _, once = np.unique(rid, return_index=True)
+            if len(once) < 2:
                 continue
-            sets = [s.values.to_numpy(zero_copy_only=False) for p in parts for s in p.column(7)]
+            sets = [s.values.to_numpy(zero_copy_only=False) for p in parts for s in p.column(8)]
+            mine = [x for p in parts for x in p.column(7).to_pylist()]
+            if len(once) < len(rid):
+                rid, chunk, weight, node = rid[once], chunk[once], weight[once], node[once]
+                sets, mine = [sets[i] for i in once], [mine[i] for i in once]
             size = np.array([len(s) for s in sets])
             both = shared_counts(sets)
             linked = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
-            np.fill_diagonal(linked, False)
-            if linked.any():
-                linked &= ~covered(leaf, [x for p in parts for x in p.column(6).to_pylist()])
+            linked &= node[:, None] != node[None, :]  # members of one ball are counted there; also clears the diagonal
             if a != b:
                 linked &= chunk[:, None] != chunk[None, :]
+            if linked.any():
+                linked &= ~covered(leaf, mine)
             if not linked.any():
                 continue
             links = linked @ weight
-            root = np.where(linked.any(axis=1), rid, rid)
-            while True:  # least record reachable inside the block
+            root = node
+            while True:  # least node reachable inside the block
                 least = np.minimum(root, np.where(linked, root[None, :], root[:, None]).min(axis=1))
                 if (least == root).all():
                     break
                 root = least
-            out += [(int(rid[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
+            out += [(int(rid[i]), int(node[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
             if len(out) > 5000:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
                 out = []
@@ -246,28 +257,117 @@ def verifier(threshold: float):
     return run
 
 
-def verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Staged (rid, links, root) of all leaves."""
-    mine = found.groupBy("rid").agg(F.sort_array(F.collect_list("leaf")).alias("mine"))
-    members = staged(found.join(mine, "rid"), "jaccard-members")
-    small = members.where(F.col("size") <= BLOCK).select("leaf", "rid", "mine")
+def candidates(large: DataFrame) -> DataFrame:
+    """(rid, home): of the leaves above ``BLOCK`` that a record lies in, the least first record."""
+    firsts = staged(large.groupBy("leaf").agg(F.min("rid").alias("first"), F.count("*").alias("members")), "jaccard-firsts")
+    joined = join_hot(large.select("leaf", "rid"), firsts, ["leaf"], "members", large.count(), "rid")
+    return joined.groupBy("rid").agg(F.min("first").alias("home"))
+
+
+def balls(sets: DataFrame, homes: DataFrame, threshold: float) -> DataFrame:
+    """Staged (rid, home, inside, far, weight) of the records with a home.
+
+    The middle of a home is the set of the tokens that more than half of its records have. With t = (1 - s) / (1 + s) two
+    sets a, b are linked at s if and only if their symmetric difference is at most t (|a| + |b|). So all records within t |a| of a middle
+    are linked with each other (``inside``), and a record farther than t |a| + 2 t |middle| / (1 - t) is linked with none of them (``far``).
+    """
+    own = sets.where("home is not null").select("rid", "home", "weight", "set")
+    total = homes.count()
+    sizes = homes.groupBy("home").agg(F.count("*").alias("members"))
+    # Map-side sums: near copies share their tokens.
+    tokens = own.select("home", F.explode("set").alias("token")).groupBy("home", "token").agg(F.count("*").alias("n")).where("n > 1")
+    middle = tokens.join(keys_of_rows(sizes), "home").where("2 * n > members").groupBy("home").agg(F.first("members").alias("members"), F.collect_list("token").alias("middle"))
+    middle = staged(middle, "jaccard-middles")
+    t = (1 - threshold) / (1 + threshold)
+    n, d = F.size("set"), F.size("set") + F.size("middle") - 2 * F.size(F.array_intersect("set", "middle"))
+    near = join_hot(own, middle, ["home"], "members", total, "rid").select(
+        "rid", "home", "weight", (d <= t * n - 1e-9).alias("inside"), (d > t * n + 2 * t / (1 - t) * F.size("middle") + 1e-9).alias("far")
+    )
+    return staged(near.dropDuplicates(["rid"]), "jaccard-balls")
+
+
+def inside_links(judged: DataFrame) -> DataFrame:
+    """(rid, node, links): the texts of a ball but the own ones, without a pair."""
+    inside = judged.where("inside").select("rid", "home", "weight")
+    whole = staged(inside.groupBy("home").agg(F.sum("weight").alias("whole"), F.count("*").alias("members")).where("members > 1"), "jaccard-whole")
+    joined = join_hot(inside, whole, ["home"], "members", inside.count(), "rid")
+    return joined.select("rid", node_of("home").alias("node"), (F.col("whole") - F.col("weight")).alias("links"))
+
+
+def node_of(home: str) -> Column:
+    """Balls are nodes below 0; records that lie in none are nodes by their own number."""
+    return -1 - F.col(home)
+
+
+def large_blocks(large: DataFrame, judged: DataFrame) -> DataFrame:
+    """(rid, leaf, a, b, chunk) of the leaves above ``BLOCK``, without the pairs inside the leaf's largest ball.
+
+    The others meet each other in pairs of chunks; those of them that are not far from that ball also meet its members.
+    """
+    known = judged.select("rid", "home", "inside", "far")
+    rows = large.select("leaf", "rid").join(known, "rid", "left").withColumn("ball", F.when(F.col("inside"), F.col("home")))
+    rows = staged(rows, "jaccard-large")
+    per_ball = rows.groupBy("leaf", "ball").agg(F.count("*").alias("k"))
+    facts = per_ball.groupBy("leaf").agg(F.sum("k").alias("members"), F.max_by("ball", F.when(F.col("ball").isNotNull(), F.col("k"))).alias("main"), F.coalesce(F.max(F.when(F.col("ball").isNotNull(), F.col("k"))), F.lit(0)).alias("in_main"))
+    facts = staged(facts.where("in_main < members"), "jaccard-large-facts")
+    rows = staged(join_hot(rows, facts, ["leaf"], "members", large.count(), "rid"), "jaccard-large-rows")
+    is_main = F.coalesce(F.col("ball") == F.col("main"), F.lit(False))
+    rows = rows.withColumn("is_main", is_main).withColumn("close", ~is_main & F.col("main").isNotNull() & ~F.coalesce(F.col("far") & (F.col("home") == F.col("main")), F.lit(False)))
+    close = staged(rows.groupBy("leaf").agg(F.count_if("close").alias("n_close"), F.first("members").alias("members")), "jaccard-close")
+    rows = join_hot(rows.drop("members"), close, ["leaf"], "members", large.count(), "rid")
+
+    def chunks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
+    def chunk_of(n: Column) -> Column:
+        return F.pmod(F.xxhash64("rid"), F.greatest(chunks(n), F.lit(1))).cast("int")
+
+    def upto(n: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+
+    others, main, near = F.col("members") - F.col("in_main"), F.col("in_main"), F.col("n_close")
+    own = chunk_of(others)
+    block = lambda a, b, chunk: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), chunk.cast("int").alias("chunk"))
+    among = F.transform(upto(chunks(others)), lambda k: block(F.least(own, k), F.greatest(own, k), own))
+    to_main = F.transform(upto(chunks(main)), lambda j: block(-1 - chunk_of(near), j, F.lit(-1)))
+    from_main = F.transform(upto(chunks(near)), lambda q: block(-1 - q, chunk_of(main), F.lit(-2)))
+    none = F.filter(among, lambda _: F.lit(False))
+    made = F.when(F.col("is_main"), from_main).otherwise(F.concat(among, F.when(F.col("close"), to_main).otherwise(none)))
+    return rows.select("rid", "leaf", F.inline(made))
+
+
+def verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Staged (rid, node, links, root) of all leaves, and (rid, node, links) of the balls."""
+    mine = staged(found.groupBy("rid").agg(F.sort_array(F.collect_list("leaf")).alias("mine")), "jaccard-mine")
+    small = found.where(F.col("size") <= BLOCK).select("leaf", "rid").join(mine, "rid")
+    small = small.select("leaf", "rid", F.filter("mine", lambda x: x < F.col("leaf")).alias("mine"))
     few = small.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(needed, "leaf long, rid long")
-    few = few.select("leaf", "rid", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("chunk"))
-    many = members.where(F.col("size") > BLOCK).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    many = many.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    many = many.select("leaf", "rid", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk")
-    wanted = staged(few.unionByName(many), "jaccard-wanted")
-    # Exact sets of the records that some block wants, from the texts of their representatives.
-    which = wanted.select("rid").distinct().join(rows.select("rid", "doc_id", "t1", "t2"), "rid").join(sets.select(F.col("rep").alias("rid"), "n_texts"), "rid")
-    which = staged(which.select("rid", "n_texts", F.col("doc_id").alias("_doc"), "t1", "t2"), "jaccard-which")
+    few = few.groupBy("rid").agg(F.collect_list("leaf").alias("few"))
+    large = found.where(F.col("size") > BLOCK)
+    dense = large.limit(1).count() > 0
+    homes = staged(candidates(large) if dense else large.selectExpr("rid", "leaf as home"), "jaccard-homes")
+    # Exact sets of the records that some block wants, from the texts of their representatives: every text moves once.
+    which = few.join(homes, "rid", "full_outer").join(rows.select("rid", "doc_id", "t1", "t2"), "rid").join(sets.select(F.col("rep").alias("rid"), "n_texts"), "rid").join(mine, "rid")
+    which = staged(which.select("rid", F.col("n_texts").alias("weight"), "home", "few", "mine", F.col("doc_id").alias("_doc"), "t1", "t2"), "jaccard-which")
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
     same = texts["doc_id"].eqNullSafe(which["_doc"]) & (texts["h1"] == which["t1"]) & (texts["h2"] == which["t2"])
-    exact = texts.join(small_side(which), same).select("rid", F.col("n_texts").alias("weight"), "text").dropDuplicates(["rid"])
-    exact = staged(exact.select("rid", "weight", F.sort_array(grams(F.col("text"))).alias("set")), "jaccard-sets")
-    blocks = wanted.join(mine, "rid").join(exact, "rid").select("leaf", "a", "b", "rid", "chunk", "weight", "mine", "set")
-    dealt = blocks.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b")
-    return staged(dealt.mapInArrow(verifier(threshold), "rid long, links long, root long"), "jaccard-links")
+    exact = texts.join(keys_of_rows(which), same).select("rid", "weight", "home", "few", "mine", F.sort_array(grams(F.col("text"))).alias("set"))
+    exact = staged(exact, "jaccard-sets")
+    columns = ["leaf", "a", "b", "rid", "chunk", "weight", "node", "mine", "set"]
+    zero = [F.lit(0).alias(c) for c in ("a", "b", "chunk")]
+    plain = exact.where("home is null").select(F.explode("few").alias("leaf"), *zero, "rid", "weight", F.col("rid").alias("node"), "mine", "set").select(columns)
+    if not dense:
+        links = staged(plain.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b").mapInArrow(verifier(threshold), LINKS), "jaccard-links")
+        return links, links.select("rid", "node", "links").limit(0)
+    judged = balls(exact, homes, threshold)
+    inside = staged(inside_links(judged), "jaccard-inside")
+    many = large_blocks(large, judged).groupBy("rid").agg(F.collect_list(F.struct("leaf", "a", "b", "chunk")).alias("many"))
+    of_small = F.transform(F.coalesce("few", F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("leaf"), *zero))
+    housed = exact.where("home is not null").join(many, "rid", "left").join(inside.select("rid", "node"), "rid", "left")
+    wanted = F.concat(of_small, F.coalesce("many", F.filter(of_small, lambda _: F.lit(False))))
+    housed = housed.select(F.inline(wanted), "rid", "weight", F.coalesce("node", "rid").alias("node"), "mine", "set").select(columns)
+    dealt = plain.unionByName(housed).repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b")
+    return staged(dealt.mapInArrow(verifier(threshold), LINKS), "jaccard-links"), inside
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,30 +390,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
-    """Staged rows, and per set: s1, s2, class_id, copy_id, n_links, n_copies."""
+    """Staged rows, and staged per set: s1, s2, root, best, class_best (first row of the group), n_links, n_copies."""
     bounded_batches(docs.sparkSession)
     runs = runs_for(recall)
     rows = records(docs, runs)
     sets = staged(distinct_sets(rows), "jaccard-distinct")
     reps = sets.where("n > 0").select(F.col("rep").alias("rid")).join(rows.select("rid", "paths"), "rid")
     found = leaves(reps, runs)
-    links = verified(docs, rows, sets, found, threshold)
-    roots = components(links.select(F.col("rid").alias("u"), F.col("root").alias("v")))
-    summed = links.groupBy(F.col("rid").alias("rep")).agg(F.sum("links").alias("links"))
-    named = sets.join(roots.withColumnRenamed("v", "rep"), "rep", "left").join(summed, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = staged(named, "jaccard-named")
-    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
+    links, inside = verified(docs, rows, sets, found, threshold)
+    roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    summed = links.select("rid", "links").unionByName(inside.select("rid", "links")).groupBy(F.col("rid").alias("rep")).agg(F.sum("links").alias("links"))
+    named = sets.join(inside.select(F.col("rid").alias("rep"), "node"), "rep", "left").join(summed, "rep", "left")
+    named = named.withColumn("v", F.coalesce("node", "rep"))
     n_links = F.when(F.col("n") > 0, F.col("n_texts") - 1 + F.coalesce("links", F.lit(0))).otherwise(0)
-    return rows, named.join(least, "root").select("s1", "s2", "class_id", F.col("least").alias("copy_id"), n_links.cast("long").alias("n_links"), "n_copies")
+    total = sets.count()
+    balls = inside.groupBy(F.col("node").alias("v")).agg(F.count("*").alias("held"))
+    roots = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    roots = roots.join(balls, "v", "full_outer").select("v", F.coalesce("root", "v").alias("root"), F.coalesce("held", F.lit(1)).alias("held"))
+    roots = staged(roots, "jaccard-roots")
+    lone = named.join(roots.select("v"), "v", "left_anti").withColumn("root", F.col("v"))
+    grown = staged(join_hot(named, roots, ["v"], "held", total, "rep").drop("held"), "jaccard-grown")
+    first = staged(grown.groupBy("root").agg(F.min("best").alias("class_best"), F.count("*").alias("held")), "jaccard-first")
+    columns = ["s1", "s2", "root", "best", "class_best", n_links.cast("long").alias("n_links"), "n_copies"]
+    grown = join_hot(grown, first, ["root"], "held", total, "rep").select(columns)
+    return rows, staged(grown.unionByName(lone.withColumn("class_best", F.col("best")).select(columns)), "jaccard-named")
 
 
 def join_report(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     rows, named = grouped(docs, threshold, recall)
-    return rows.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    one = named.select("s1", "s2", F.col("class_best.doc_id").alias("class_id"), "n_links", F.col("best.doc_id").alias("copy_id"), "n_copies")
+    joined = join_hot(rows.select("doc_id", "rid", "s1", "s2"), one, ["s1", "s2"], "n_copies", rows.count(), "rid")
+    return joined.select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """One document of each group, the one with the least doc_id; all columns kept."""
-    report = join_report(docs, threshold, recall)
-    stays = staged(report.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct(), "jaccard-kept")
-    return docs.join(small_side(stays), docs["doc_id"].eqNullSafe(stays["_keep"]), "left_semi")
+    """One row of each group, the first by doc_id (null last), then by text; all columns kept."""
+    rows, named = grouped(docs, threshold, recall)
+    stays = staged(named.where("best = class_best").select(F.col("best.doc_id").alias("_doc"), F.col("best.t1").alias("_t1"), F.col("best.t2").alias("_t2")), "jaccard-kept")
+    body, mark = text_or_empty(), unused(docs, "copies")
+    same = docs["doc_id"].eqNullSafe(stays["_doc"]) & (F.xxhash64(body) == stays["_t1"]) & (F.xxhash64(F.lit(1), body) == stays["_t2"])
+    kept = docs.join(keys_of_rows(stays), same, "left_semi")
+    # Rows that repeat with doc_id and text all match: seldom, so only then one of each is picked.
+    if not rows.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return kept
+    one = Window.partitionBy("doc_id", F.xxhash64(body), F.xxhash64(F.lit(1), body)).orderBy(*[F.col(c) for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
+    return kept.withColumn(mark, F.row_number().over(one)).where(F.col(mark) == 1).drop(mark)

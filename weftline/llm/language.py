@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_side, staged
+from .common import bounded_batches, staged
+from .common import facts as as_facts
 
 #: Bound of the training sample per language.
 SAMPLE_CHARS = 60_000
@@ -239,7 +240,7 @@ def sampled(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     # Rows below a hash threshold that makes some twice the wanted characters likely; then in order until the sample is full.
     share = F.least(F.lit(1.0), F.lit(2.0 * sample_chars) / F.greatest("chars", F.lit(1)) + F.lit(8.0) / F.col("rows"))
     facts = staged(facts.select("lang", F.floor(share * float(1 << 31)).alias("near")), "language-facts")
-    chosen = rows.join(small_side(facts), "lang").where(F.shiftrightunsigned("h", 33) <= F.col("near"))
+    chosen = rows.join(as_facts(facts), "lang").where(F.shiftrightunsigned("h", 33) <= F.col("near"))
     chosen = chosen.select("lang", "h", "h2", F.substr("text", at, size).alias("piece")).distinct()
     before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("lang").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return chosen.withColumn("before", before).where(F.col("before") < sample_chars).select("lang", "before", "piece")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, small_side, staged, text_or_empty
+from .common import SPACE, keys_of_rows, staged, text_or_empty
 
 MIN_CHARS = 10
 HALVES = ("p0", "s0", "p1", "s1")
@@ -75,9 +75,9 @@ def near_pairs(docs: DataFrame, lines: DataFrame) -> DataFrame:
     keyed = lines.where("p0 is not null").select("k1", "k2", "at", F.posexplode(F.array(*HALVES)).alias("which", "half"))
     shared = keyed.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half")
     shared = staged(shared, "line-halves")
-    front = staged(keyed.join(small_side(shared), "half", "left_semi"), "line-front")
+    front = staged(keyed.join(keys_of_rows(shared), "half", "left_semi"), "line-front")
     wanted = staged(front.select("k1", "k2").distinct(), "line-wanted")
-    texts = lines_of(docs).select(*line_key(F.col("line")), "line").join(small_side(wanted), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    texts = lines_of(docs).select(*line_key(F.col("line")), "line").join(keys_of_rows(wanted), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     texts = staged(texts, "line-texts")
     made = variants(front.join(texts, ["k1", "k2"]))
     one, same = Window.partitionBy("half", "v"), Window.partitionBy("half", "v", "i")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, staged, text_or_empty, words_of
+from .common import keys_of_rows, staged, text_or_empty, words_of
 
 #: Words a block should have, and the most blocks a source gets.
 BLOCK_WORDS = 20_000
@@ -156,7 +156,7 @@ def placed(drawn: DataFrame, shards: int | None = None, seed: int = 17) -> DataF
     runs = [(r["sid"], s, int(ends[s, i] - leaves[s, i]), int(ends[s, i])) for i, r in enumerate(quotas) for s in np.flatnonzero(leaves[:, i]).tolist()]
     runs = drawn.sparkSession.createDataFrame(runs, "sid int, shard int, first long, end long").select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("at"))
     where = staged(numbered.join(runs, ["sid", "at"]).select("sid", "serial", "shard"), "mix-shards")
-    return copies.join(small_side(where), ["sid", "serial"]).select("rid", "shard", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", "copy").alias("place"))
+    return copies.join(keys_of_rows(where), ["sid", "serial"]).select("rid", "shard", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", "copy").alias("place"))
 
 
 def report(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -174,6 +174,6 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame
     # At most ``cap`` copies of a row and one more.
     own = placed(drawn, shards, seed).groupBy("rid").agg(F.collect_list(F.struct("shard", "place")).alias("_at"))
     own = staged(own.select(F.col("rid").alias("_rid"), "_at"), "mix-placed")
-    joined = rows.join(small_side(own), "_rid").select(*docs.columns, F.explode("_at").alias("_p"))
+    joined = rows.join(keys_of_rows(own), "_rid").select(*docs.columns, F.explode("_at").alias("_p"))
     joined = joined.select(*docs.columns, F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
     return joined.repartition("_shard").sortWithinPartitions("_shard", "_place")

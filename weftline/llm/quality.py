@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, small_side, staged, text_or_empty, words_of
+from .common import SPACE, let, keys_of_rows, staged, text_or_empty, words_of
 
 #: The ladder, lenient to strict: a document is rejected when a rate lies above its cutoff.
 #: Columns: share of symbols, of capitals, of repeated lines, of words in repeated windows.
@@ -156,4 +156,4 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     passed = judged.join(levels, "stratum", "left").where(verdict(F.col("failed"), F.col("level"), F.col("base")))
     passed = staged(passed.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"), F.col("h").alias("_key")), "quality-passed")
     same = docs["doc_id"].eqNullSafe(passed["_doc"]) & docs["lang"].eqNullSafe(passed["_lang"]) & (key == passed["_key"])
-    return docs.join(small_side(passed), same, "left_semi")
+    return docs.join(keys_of_rows(passed), same, "left_semi")

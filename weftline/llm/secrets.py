@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_side, staged, text_or_empty
+from .common import fresh_path, keys_of_rows, staged, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ class BlobLedger:
         due = staged(self.due(blobs), "blob-due")
         # One text per blob goes on. No text moves while the keys of the due blobs are few enough to broadcast; beyond, it streams past them unsorted.
         rows = versions.select(F.col(path).alias("_path"), body.alias("_text")).withColumn("_h", F.xxhash64("_text"))
-        unseen = rows.join(small_side(due), rows["_path"].eqNullSafe(due["first"]) & (rows["_h"] == due["h"])).withColumn("_blob", F.sha2("_text", 256))
+        unseen = rows.join(keys_of_rows(due), rows["_path"].eqNullSafe(due["first"]) & (rows["_h"] == due["h"])).withColumn("_blob", F.sha2("_text", 256))
         found = unseen.select("_blob", F.explode(scanner(self.rules)("_text", "due")).alias("f"))
         found = found.select(F.col("_blob").alias("blob_id"), "f.kind", "f.version", "f.spans")
         # Repeated rows of one path and text were scanned alike: one entry each.
