@@ -7,12 +7,12 @@ more sampled tokens, up to ``LEVELS`` deep; a bucket that does not shrink by hal
 records of similarity s meet in a leaf of a run with probability at least 0.75 for s >= 0.8 (the fixed point of
 p = s (1 - (1 - p)^2)), so ``runs_for`` runs reach the target recall.
 
-Leaves are verified by brute force on the exact sets. A dense leaf needs no pairs: a record that differs from the tokens
-common to most records of its home (the leaf's records, see ``candidates``) by no more than a ninth of its size, at s = 0.8, is linked with
-every other such record. These form a ball, whose links are counted by its sum of texts. Only the leaf's other
-records are dealt into pairs of chunks, with the ball's members too where they are near enough to be linked. A pair is counted
-in its ball, else in its first common leaf: a leaf gives each record its number of links and one link towards its group
-in the leaf. Groups are then connected components of balls and records.
+Leaves up to ``BLOCK`` records are verified by brute force on the exact sets, where sizes and sampled tokens let a link be likely. A
+larger leaf's records form a home, with the tokens of most of them as its middle. Records that differ from it by at most a ninth of
+their size, at s = 0.8, are all linked with each other: a ball, whose links are counted by its sum of texts, without pairs. Records
+far from the middle meet in leaves by sampled differences from it, so that a passage that many documents share brings none
+together. What lies between is dealt into pairs of chunks. A pair is counted in its ball, else in its first common leaf: a leaf gives
+each record its number of links and one link towards its group in the leaf. Groups are then connected components of balls and records.
 
 Result per document: class_id (least doc_id of its connected group), copy_id (least doc_id with the same set), n_links (number of
 different texts linked to its text), n_copies (documents with the same set).
@@ -44,6 +44,11 @@ BLOCK = 256
 LEVELS = 3
 BRANCHES = 2
 PER_PATH = 1 + BRANCHES * (LEVELS - 1)
+#: Bytes of a signature, one per sampled token. Records of similarity 0.8 agree in fewer than ``LEAST_AGREED`` of them with a chance below 1e-9.
+LEAST_AGREED = 20
+#: Samples of a record's differences from the middle of a home, and the run numbers of their leaves and of a home's own blocks.
+DIFFERENCE_RUNS = 32
+FIRST_DIFFERENCE, HOME_BLOCKS = 24, 60
 LINKS = "rid long, node long, links long, root long"
 
 
@@ -70,7 +75,7 @@ def scrambled(values: np.ndarray, seed: int) -> np.ndarray:
 
 
 def sampler(runs: int):
-    """Appends to (.., n, set) the sampled tokens of all paths in place of the set."""
+    """Appends to (.., n, set) the sampled tokens of all paths, and a byte of each as signature, in place of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,18 +93,19 @@ def sampler(runs: int):
                     for k in range(runs * PER_PATH):
                         found[full, k] = np.minimum.reduceat(scrambled(flat, k), starts).view(np.int64)
                 paths = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * (runs * PER_PATH), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], paths], [*some.schema.names[:-1], "paths"])
+                signs = pa.array([row.tobytes() for row in (found & 0xFF).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], paths, signs], [*some.schema.names[:-1], "paths", "sign"])
 
     return run
 
 
 def records(docs: DataFrame, runs: int) -> DataFrame:
-    """Staged, per row: rid, doc_id, t1/t2 (text), s1/s2 (set), n (set size), paths."""
+    """Staged, per row: rid, doc_id, t1/t2 (text), s1/s2 (set), n (set size), paths, sign."""
     body = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"), grams(body).alias("set"))
     ordered = F.sort_array("set")
     rows = rows.select("doc_id", "t1", "t2", F.xxhash64(ordered).alias("s1"), F.xxhash64(F.lit(1), ordered).alias("s2"), F.size("set").alias("n"), "set")
-    made = rows.mapInArrow(sampler(runs), "doc_id long, t1 long, t2 long, s1 long, s2 long, n int, paths array<long>")
+    made = rows.mapInArrow(sampler(runs), "doc_id long, t1 long, t2 long, s1 long, s2 long, n int, paths array<long>, sign binary")
     return staged(made.withColumn("rid", F.monotonically_increasing_id()), "jaccard-records")
 
 
@@ -112,8 +118,7 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 
 def leaves(reps: DataFrame, runs: int) -> DataFrame:
     """(leaf, rid, size): leaves of two records or more; the run is in a leaf's high bits, so its order is run order."""
-    node = lambda run, *parts: F.shiftleft(run.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*parts), 7))
-    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), node(r, r, F.get("paths", r * PER_PATH)).alias("node")))
+    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), leaf_id(r, r, F.get("paths", r * PER_PATH)).alias("node")))
     level = reps.select("rid", F.inline(first))
     out = []
     for depth in range(1, LEVELS + 1):
@@ -124,7 +129,7 @@ def leaves(reps: DataFrame, runs: int) -> DataFrame:
         if depth == LEVELS or not large.limit(1).count():
             break
         base = 1 + BRANCHES * (depth - 1)
-        child = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b, base=base: node(F.col("run"), "node", b, F.get("paths", F.col("run") * PER_PATH + base + b)))
+        child = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b, base=base: leaf_id(F.col("run"), "node", b, F.get("paths", F.col("run") * PER_PATH + base + b)))
         split = staged(large.join(reps.select("rid", "paths"), "rid").select("rid", "run", F.col("node").alias("parent"), "size", F.explode(child).alias("node")), "jaccard-split")
         sizes = split.groupBy("parent", "node").agg(F.count("*").alias("part"), F.first("size").alias("size"))
         dense = staged(sizes.groupBy("parent").agg(F.max("part").alias("most"), F.first("size").alias("size")).where("2 * most > size").select("parent"), "jaccard-dense")
@@ -173,22 +178,38 @@ def covered(leaf: int, lists: list[list[int]]) -> np.ndarray:
     return out
 
 
-def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, rid, mine) sorted by leaf: the members with a pair that no earlier leaf has."""
-    schema, out = pa.schema([("leaf", pa.int64()), ("rid", pa.int64())]), []
-    for parts in runs_of_rows(batches, 1):
-        leaf, rids, lists = parts[0].column(0)[0].as_py(), [], []
-        for p in parts:
-            rids += p.column(1).to_pylist()
-            lists += p.column(2).to_pylist()
-        fresh = ~covered(leaf, lists)
-        np.fill_diagonal(fresh, False)
-        out += [(leaf, rids[i]) for i in np.flatnonzero(fresh.any(axis=1))]
-        if len(out) > 5000:
+def needed(threshold: float):
+    """(leaf, rid, mine, n, sign) sorted by leaf: the members with a likely pair that no earlier leaf has."""
+    schema = pa.schema([("leaf", pa.int64()), ("rid", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for parts in runs_of_rows(batches, 1):
+            leaf, rids, lists, sizes, signs = parts[0].column(0)[0].as_py(), [], [], [], []
+            for p in parts:
+                for held, column in zip((rids, lists, sizes, signs), p.columns[1:], strict=True):
+                    held += column.to_pylist()
+            size, sign = np.array(sizes), np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1)
+            likely = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
+            likely &= (sign[:, None, :] == sign[None, :, :]).sum(axis=2) >= LEAST_AGREED * sign.shape[1] / 50
+            np.fill_diagonal(likely, False)
+            if likely.any():
+                likely &= ~covered(leaf, lists)
+            out += [(leaf, rids[i]) for i in np.flatnonzero(likely.any(axis=1))]
+            if len(out) > 5000:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+                out = []
+        if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
-            out = []
-    if out:
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+
+    return run
+
+
+def needed_leaves(members: DataFrame, rows: DataFrame, mine: DataFrame, threshold: float) -> DataFrame:
+    """(leaf, rid) of the leaves up to ``BLOCK`` records in which a record has a likely pair. ``members``: leaf, rid."""
+    signed = members.join(mine, "rid").join(rows.select("rid", "n", "sign"), "rid")
+    signed = signed.select("leaf", "rid", F.filter("mine", lambda x: x < F.col("leaf")).alias("mine"), "n", "sign")
+    return signed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(needed(threshold), "leaf long, rid long")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -257,64 +278,72 @@ def verifier(threshold: float):
     return run
 
 
-def candidates(large: DataFrame) -> DataFrame:
-    """(rid, home): of the leaves above ``BLOCK`` that a record lies in, the least first record."""
-    firsts = staged(large.groupBy("leaf").agg(F.min("rid").alias("first"), F.count("*").alias("members")), "jaccard-firsts")
-    joined = join_hot(large.select("leaf", "rid"), firsts, ["leaf"], "members", large.count(), "rid")
-    return joined.groupBy("rid").agg(F.min("first").alias("home"))
+def homes_of(large: DataFrame) -> DataFrame:
+    """Staged (rid, home), seldom more than one home a record: first records of the leaves above ``BLOCK`` that it lies in.
+
+    Where a first record lies in the leaf of an earlier one, its own leaves move there.
+    """
+    firsts = staged(large.groupBy("leaf").agg(F.min("rid").alias("home"), F.count("*").alias("members")), "jaccard-firsts")
+    homes = staged(join_hot(large.select("leaf", "rid"), firsts, ["leaf"], "members", large.count(), "rid").select("rid", "home").distinct(), "jaccard-homes")
+    for _ in range(2):
+        up = homes.groupBy(F.col("rid").alias("home")).agg(F.min("home").alias("up"))
+        sized = staged(homes.groupBy("home").agg(F.count("*").alias("members")).join(up, "home"), "jaccard-up")
+        homes = staged(join_hot(homes, sized, ["home"], "members", homes.count(), "rid").select("rid", F.col("up").alias("home")).distinct(), "jaccard-homes")
+    return homes
+
+
+def leaf_id(run: Column, *parts) -> Column:
+    """The run is in a leaf's high bits, so that leaves are in the order of their runs."""
+    return F.shiftleft(run.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*parts), 7))
 
 
 def balls(sets: DataFrame, homes: DataFrame, threshold: float) -> DataFrame:
-    """Staged (rid, home, inside, far, weight) of the records with a home.
+    """Staged (rid, home, weight, inside, far, samples), a row per record and home.
 
     The middle of a home is the set of the tokens that more than half of its records have. With t = (1 - s) / (1 + s) two
     sets a, b are linked at s if and only if their symmetric difference is at most t (|a| + |b|). So all records within t |a| of a middle
-    are linked with each other (``inside``), and a record farther than t |a| + 2 t |middle| / (1 - t) is linked with none of them (``far``).
+    are linked with each other (``inside``; in the first of a record's homes only), and a record farther than t |a| + 2 t |middle| / (1 - t)
+    is linked with none of them (``far``). Differences from the middle of two linked far records have a similarity above
+    a half, so sampled ones bring them together, and records that have nothing but the middle in common stay apart.
     """
-    own = sets.where("home is not null").select("rid", "home", "weight", "set")
+    own = sets.where("homes is not null").select("rid", "weight", "set", F.explode("homes").alias("home"), (F.array_min("homes")).alias("main"))
     total = homes.count()
     sizes = homes.groupBy("home").agg(F.count("*").alias("members"))
     # Map-side sums: near copies share their tokens.
     tokens = own.select("home", F.explode("set").alias("token")).groupBy("home", "token").agg(F.count("*").alias("n")).where("n > 1")
-    middle = tokens.join(keys_of_rows(sizes), "home").where("2 * n > members").groupBy("home").agg(F.first("members").alias("members"), F.collect_list("token").alias("middle"))
+    common = tokens.join(keys_of_rows(sizes), "home").where("2 * n > members").groupBy("home").agg(F.collect_list("token").alias("middle"))
+    middle = sizes.join(common, "home", "left").withColumn("middle", F.coalesce("middle", F.array().cast("array<bigint>")))
     middle = staged(middle, "jaccard-middles")
     t = (1 - threshold) / (1 + threshold)
     n, d = F.size("set"), F.size("set") + F.size("middle") - 2 * F.size(F.array_intersect("set", "middle"))
-    near = join_hot(own, middle, ["home"], "members", total, "rid").select(
-        "rid", "home", "weight", (d <= t * n - 1e-9).alias("inside"), (d > t * n + 2 * t / (1 - t) * F.size("middle") + 1e-9).alias("far")
-    )
-    return staged(near.dropDuplicates(["rid"]), "jaccard-balls")
+    inside = (F.col("home") == F.col("main")) & (d <= t * n - 1e-9)
+    far = d > t * n + 2 * t / (1 - t) * F.size("middle") + 1e-9
+    lacking = F.transform(F.array_except("middle", "set"), lambda x: F.xxhash64(F.lit(1), x))
+    samples = let(F.concat(F.array_except("set", "middle"), lacking), lambda v: F.transform(F.sequence(F.lit(0), F.lit(DIFFERENCE_RUNS - 1)), lambda r: F.array_min(F.transform(v, lambda x: F.xxhash64(r, x)))))
+    near = join_hot(own, middle, ["home"], "members", total, "rid")
+    near = near.select("rid", "home", "weight", inside.alias("inside"), far.alias("far"), F.when(~inside & (d > 0), samples).alias("samples"))
+    return staged(near.dropDuplicates(["rid", "home"]), "jaccard-balls")
 
 
 def inside_links(judged: DataFrame) -> DataFrame:
-    """(rid, node, links): the texts of a ball but the own ones, without a pair."""
+    """(rid, node, links): the texts of a ball but the own ones, without a pair. Balls are nodes below 0, other records nodes by their number."""
     inside = judged.where("inside").select("rid", "home", "weight")
     whole = staged(inside.groupBy("home").agg(F.sum("weight").alias("whole"), F.count("*").alias("members")).where("members > 1"), "jaccard-whole")
     joined = join_hot(inside, whole, ["home"], "members", inside.count(), "rid")
-    return joined.select("rid", node_of("home").alias("node"), (F.col("whole") - F.col("weight")).alias("links"))
+    return joined.select("rid", (-1 - F.col("home")).alias("node"), (F.col("whole") - F.col("weight")).alias("links"))
 
 
-def node_of(home: str) -> Column:
-    """Balls are nodes below 0; records that lie in none are nodes by their own number."""
-    return -1 - F.col(home)
+def difference_leaves(judged: DataFrame) -> DataFrame:
+    """Staged (leaf, rid, size): records of a home that agree in a sampled difference."""
+    rows = judged.where("samples is not null").select("rid", "home", F.posexplode("samples").alias("run", "token"))
+    rows = rows.select(leaf_id(F.col("run") + FIRST_DIFFERENCE, "home", "run", "token").alias("leaf"), "rid")
+    rows = staged(rows, "jaccard-differences")
+    counts = staged(rows.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-difference-sizes")
+    return staged(join_hot(rows, counts, ["leaf"], "size", rows.count(), "rid"), "jaccard-difference-leaves")
 
 
-def large_blocks(large: DataFrame, judged: DataFrame) -> DataFrame:
-    """(rid, leaf, a, b, chunk) of the leaves above ``BLOCK``, without the pairs inside the leaf's largest ball.
-
-    The others meet each other in pairs of chunks; those of them that are not far from that ball also meet its members.
-    """
-    known = judged.select("rid", "home", "inside", "far")
-    rows = large.select("leaf", "rid").join(known, "rid", "left").withColumn("ball", F.when(F.col("inside"), F.col("home")))
-    rows = staged(rows, "jaccard-large")
-    per_ball = rows.groupBy("leaf", "ball").agg(F.count("*").alias("k"))
-    facts = per_ball.groupBy("leaf").agg(F.sum("k").alias("members"), F.max_by("ball", F.when(F.col("ball").isNotNull(), F.col("k"))).alias("main"), F.coalesce(F.max(F.when(F.col("ball").isNotNull(), F.col("k"))), F.lit(0)).alias("in_main"))
-    facts = staged(facts.where("in_main < members"), "jaccard-large-facts")
-    rows = staged(join_hot(rows, facts, ["leaf"], "members", large.count(), "rid"), "jaccard-large-rows")
-    is_main = F.coalesce(F.col("ball") == F.col("main"), F.lit(False))
-    rows = rows.withColumn("is_main", is_main).withColumn("close", ~is_main & F.col("main").isNotNull() & ~F.coalesce(F.col("far") & (F.col("home") == F.col("main")), F.lit(False)))
-    close = staged(rows.groupBy("leaf").agg(F.count_if("close").alias("n_close"), F.first("members").alias("members")), "jaccard-close")
-    rows = join_hot(rows.drop("members"), close, ["leaf"], "members", large.count(), "rid")
+def chunked(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """(rid, leaf, a, b, chunk): rows (leaf, rid, core) dealt into pairs of chunks. Those outside the core meet all, those inside only them."""
 
     def chunks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
@@ -325,49 +354,59 @@ def large_blocks(large: DataFrame, judged: DataFrame) -> DataFrame:
     def upto(n: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
 
-    others, main, near = F.col("members") - F.col("in_main"), F.col("in_main"), F.col("n_close")
-    own = chunk_of(others)
+    core, others = F.col("n_core"), F.col("size") - F.col("n_core")
     block = lambda a, b, chunk: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), chunk.cast("int").alias("chunk"))
+    own = chunk_of(others)
     among = F.transform(upto(chunks(others)), lambda k: block(F.least(own, k), F.greatest(own, k), own))
-    to_main = F.transform(upto(chunks(main)), lambda j: block(-1 - chunk_of(near), j, F.lit(-1)))
-    from_main = F.transform(upto(chunks(near)), lambda q: block(-1 - q, chunk_of(main), F.lit(-2)))
-    none = F.filter(among, lambda _: F.lit(False))
-    made = F.when(F.col("is_main"), from_main).otherwise(F.concat(among, F.when(F.col("close"), to_main).otherwise(none)))
-    return rows.select("rid", "leaf", F.inline(made))
+    to_core = F.transform(upto(chunks(core)), lambda j: block(-1 - own, j, F.lit(-1)))
+    from_core = F.transform(upto(chunks(others)), lambda q: block(-1 - q, chunk_of(core), F.lit(-2)))
+    dealt = join_hot(rows, sizes, ["leaf"], "size", total, "rid")
+    return dealt.select("rid", "leaf", F.inline(F.when(F.col("core"), from_core).otherwise(F.concat(among, to_core))))
 
 
 def verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Staged (rid, node, links, root) of all leaves, and (rid, node, links) of the balls."""
-    mine = staged(found.groupBy("rid").agg(F.sort_array(F.collect_list("leaf")).alias("mine")), "jaccard-mine")
-    small = found.where(F.col("size") <= BLOCK).select("leaf", "rid").join(mine, "rid")
-    small = small.select("leaf", "rid", F.filter("mine", lambda x: x < F.col("leaf")).alias("mine"))
-    few = small.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(needed, "leaf long, rid long")
-    few = few.groupBy("rid").agg(F.collect_list("leaf").alias("few"))
-    large = found.where(F.col("size") > BLOCK)
+    small, large = found.where(F.col("size") <= BLOCK).select("leaf", "rid"), found.where(F.col("size") > BLOCK)
+    mine = staged(small.groupBy("rid").agg(F.sort_array(F.collect_list("leaf")).alias("mine")), "jaccard-mine")
+    few = needed_leaves(small, rows, mine, threshold).groupBy("rid").agg(F.collect_list("leaf").alias("few"))
     dense = large.limit(1).count() > 0
-    homes = staged(candidates(large) if dense else large.selectExpr("rid", "leaf as home"), "jaccard-homes")
-    # Exact sets of the records that some block wants, from the texts of their representatives: every text moves once.
-    which = few.join(homes, "rid", "full_outer").join(rows.select("rid", "doc_id", "t1", "t2"), "rid").join(sets.select(F.col("rep").alias("rid"), "n_texts"), "rid").join(mine, "rid")
-    which = staged(which.select("rid", F.col("n_texts").alias("weight"), "home", "few", "mine", F.col("doc_id").alias("_doc"), "t1", "t2"), "jaccard-which")
+    homes = homes_of(large) if dense else large.selectExpr("rid", "leaf as home")
+    # Exact sets of the records that some block may want, from the texts of their representatives: every text moves once.
+    which = few.join(homes.groupBy("rid").agg(F.collect_list("home").alias("homes")), "rid", "full_outer")
+    which = which.join(rows.select("rid", "doc_id", "t1", "t2"), "rid").join(sets.select(F.col("rep").alias("rid"), "n_texts"), "rid").join(mine, "rid", "left")
+    none = F.array().cast("array<bigint>")
+    which = staged(which.select("rid", F.col("n_texts").alias("weight"), "homes", F.coalesce("few", none).alias("few"), F.coalesce("mine", none).alias("mine"), F.col("doc_id").alias("_doc"), "t1", "t2"), "jaccard-which")
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
     same = texts["doc_id"].eqNullSafe(which["_doc"]) & (texts["h1"] == which["t1"]) & (texts["h2"] == which["t2"])
-    exact = texts.join(keys_of_rows(which), same).select("rid", "weight", "home", "few", "mine", F.sort_array(grams(F.col("text"))).alias("set"))
+    exact = texts.join(keys_of_rows(which), same).select("rid", "weight", "homes", "few", "mine", F.sort_array(grams(F.col("text"))).alias("set"))
     exact = staged(exact, "jaccard-sets")
     columns = ["leaf", "a", "b", "rid", "chunk", "weight", "node", "mine", "set"]
     zero = [F.lit(0).alias(c) for c in ("a", "b", "chunk")]
-    plain = exact.where("home is null").select(F.explode("few").alias("leaf"), *zero, "rid", "weight", F.col("rid").alias("node"), "mine", "set").select(columns)
-    if not dense:
-        links = staged(plain.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b").mapInArrow(verifier(threshold), LINKS), "jaccard-links")
-        return links, links.select("rid", "node", "links").limit(0)
-    judged = balls(exact, homes, threshold)
-    inside = staged(inside_links(judged), "jaccard-inside")
-    many = large_blocks(large, judged).groupBy("rid").agg(F.collect_list(F.struct("leaf", "a", "b", "chunk")).alias("many"))
-    of_small = F.transform(F.coalesce("few", F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("leaf"), *zero))
-    housed = exact.where("home is not null").join(many, "rid", "left").join(inside.select("rid", "node"), "rid", "left")
-    wanted = F.concat(of_small, F.coalesce("many", F.filter(of_small, lambda _: F.lit(False))))
-    housed = housed.select(F.inline(wanted), "rid", "weight", F.coalesce("node", "rid").alias("node"), "mine", "set").select(columns)
-    dealt = plain.unionByName(housed).repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b")
-    return staged(dealt.mapInArrow(verifier(threshold), LINKS), "jaccard-links"), inside
+    plain = exact.where("homes is null").select(F.explode("few").alias("leaf"), *zero, "rid", "weight", F.col("rid").alias("node"), "mine", "set").select(columns)
+    inside = None
+    if dense:
+        judged = balls(exact, homes, threshold)
+        inside = staged(inside_links(judged), "jaccard-inside")
+        apart = difference_leaves(judged)
+        later = apart.groupBy("rid").agg(F.sort_array(F.collect_list("leaf")).alias("later"))
+        both = exact.select("rid", "mine").dropDuplicates(["rid"]).join(later, "rid")
+        both = staged(both.select("rid", F.concat("mine", "later").alias("mine")), "jaccard-later")
+        again = needed_leaves(apart.where(F.col("size") <= BLOCK).select("leaf", "rid"), rows, both, threshold).select("rid", "leaf", *zero)
+        crowded = apart.where(F.col("size") > BLOCK).select("leaf", "rid", F.lit(False).alias("core"))
+        crowds = staged(crowded.groupBy("leaf").agg(F.count("*").alias("size"), F.lit(0).cast("long").alias("n_core")), "jaccard-crowds")
+        near = judged.where("inside or not far").select(leaf_id(F.lit(HOME_BLOCKS), "home").alias("leaf"), "rid", F.col("inside").alias("core"))
+        nears = near.groupBy("leaf").agg(F.count("*").alias("size"), F.count_if("core").alias("n_core")).where("n_core < size")
+        nears = staged(nears, "jaccard-nears")
+        many = again.unionByName(chunked(crowded, crowds, apart.count())).unionByName(chunked(near, nears, judged.count()))
+        many = staged(many.groupBy("rid").agg(F.collect_list(F.struct("leaf", "a", "b", "chunk")).alias("many")), "jaccard-many")
+        housed = exact.where("homes is not null").drop("mine").join(many, "rid", "left").join(inside.select("rid", "node"), "rid", "left")
+        housed = housed.join(exact.select("rid", "mine").dropDuplicates(["rid"]).join(both.withColumnRenamed("mine", "all"), "rid", "left").select("rid", F.coalesce("all", "mine").alias("mine")), "rid")
+        of_small = F.transform("few", lambda x: F.struct(x.alias("leaf"), *zero))
+        wanted = F.concat(of_small, F.coalesce("many", F.filter(of_small, lambda _: F.lit(False))))
+        plain = plain.unionByName(housed.select(F.inline(wanted), "rid", "weight", F.coalesce("node", "rid").alias("node"), "mine", "set").select(columns))
+    dealt = plain.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b")
+    links = staged(dealt.mapInArrow(verifier(threshold), LINKS), "jaccard-links")
+    return links, links.select("rid", "node", "links").limit(0) if inside is None else inside
 
 
 def components(edges: DataFrame) -> DataFrame:
