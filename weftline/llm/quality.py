@@ -1,17 +1,19 @@
 """Risk-controlled quality rules (DataFrame functions only).
 
-A document meets a ladder of joint rules, each stricter than the one before. For every stratum
-(language) the ladder is tested in order on the labelled good documents: a level passes while the
-exact binomial tail P(Bin(n, alpha) <= k) of its k false rejections among n good documents is at
-most delta / strata. Testing stops at the first level that fails (fixed-sequence testing), the
-strata share delta by Bonferroni's rule, so with probability 1 - delta no stratum loses more than
-the fraction alpha of its good documents to the ladder. A stratum with too few labels gets level 0,
-which rejects nothing.
+A rule rejects a document whose rate lies above the rule's cutoff. Labels are dealt by doc_id into a proposing part
+and a holdout. In every stratum (language) each level of ``LEVELS`` proposes a cutoff per rule: that quantile of the rule's rate among the
+good documents of the proposing part. On the good documents of the holdout a level's rules, taken together, pass if the exact binomial
+tail P(Bin(n, alpha) <= k) of their k false rejections among n is at most delta / (strata x levels) (Bonferroni's
+correction over strata and candidates). So with probability 1 - delta no stratum loses more than the fraction alpha of its good documents,
+whichever of the levels that passed is chosen. Chosen is the one with the largest share of the holdout's bad documents rejected
+less the share of its good ones, of equals the most lenient; if that is not above 0, or no level passes (too few labels), no
+document is rejected.
 
 Edge cases: null text has no words and fails the base rule; null language is a stratum of its own;
 a document labelled more than once is good if any label says so; labels without a document and
 documents without a doc_id count for nothing in the calibration; an empty table gives an empty
-result. Repeated rows are judged one by one. Extra columns pass through ``apply_rules``.
+result. Repeated rows are judged one by one. Windows of words are told apart by 64-bit hashes. Extra columns, whatever their
+names, pass through ``apply_rules``.
 """
 
 from __future__ import annotations
@@ -19,18 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, keys_of_rows, staged, text_or_empty, words_of
-
-#: The ladder, lenient to strict: a document is rejected when a rate lies above its cutoff.
-#: Columns: share of symbols, of capitals, of repeated lines, of words in repeated windows.
-LADDER = [
-    (0.30, 0.80, 0.90, 0.49),
-    (0.20, 0.70, 0.75, 0.48),
-    (0.12, 0.60, 0.60, 0.46),
-    (0.08, 0.50, 0.50, 0.44),
-    (0.05, 0.40, 0.45, 0.42),
-    (0.03, 0.30, 0.40, 0.40),
-]
+from .common import SPACE, facts, keys_of_rows, let, staged, text_or_empty, unused, words_of
+
+#: Levels, lenient to strict: quantiles of the rates of good documents.
+LEVELS = (1.0, 0.998, 0.995, 0.99, 0.985, 0.98)
+#: One part in so many of the labels proposes, the others are the holdout.
+PROPOSING = 4
 RATES = ("symbol_rate", "capital_rate", "line_rate", "window_rate")
 SYMBOLS = "#*$%&|<>"
 NO_LANGUAGE = "(none)"
@@ -83,12 +79,6 @@ def rates(m: Column) -> list[Column]:
     return [share("n_symbols", "word_chars"), share("n_capitals", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
 
 
-def failed_levels(m: Column) -> Column:
-    """How many levels reject: the ladder is nested, so these are the strictest ones."""
-    hit = [F.greatest(*[(r > c).cast("int") for r, c in zip(rates(m), cut, strict=True)]) for cut in LADDER]
-    return sum(hit[1:], hit[0])
-
-
 def base_failed(m: Column) -> Column:
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
@@ -106,54 +96,60 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def certify(judged: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """Per stratum the strictest certified level. ``judged``: doc_id, stratum, failed (number of levels that reject)."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = judged.join(good, "doc_id").groupBy("stratum", "failed").agg(F.count("*").alias("n"))
-    strata = held.select("stratum").distinct().count()
-    top = len(LADDER)
-    levels = F.explode(F.sequence(F.lit(1), F.lit(top))).alias("level")
-    counted = (
-        held.select("stratum", "failed", "n", levels)
-        .groupBy("stratum", "level")
-        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("failed") > top - F.col("level"), F.col("n")).otherwise(0)).alias("k"))
-    )
-    tested = counted.withColumn("passes", binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / max(strata, 1))
-    return tested.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("passes"), F.col("level") - 1)), F.lit(top)).alias("level"))
+    """Staged, per stratum with a chosen level: level (index in ``LEVELS``, from 1) and its cutoffs. ``judged``: doc_id, stratum, rates."""
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    held = judged.join(keys_of_rows(known), "doc_id").where("quality is not null").withColumn("good", F.col("quality") == 1)
+    held = staged(held.select("stratum", "rates", "good", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("part")), "quality-held")
+    # Rates on a grid: an exact quantile holds a bounded number of distinct values.
+    grid = [F.ceil(F.get("rates", i) * 4096) / 4096 for i in range(len(RATES))]
+    levels = [float(q) for q in LEVELS]
+    proposing = F.col("part") % PROPOSING == 0
+    proposed = held.where(proposing & F.col("good")).groupBy("stratum").agg(*[F.percentile(g, levels).alias(r) for g, r in zip(grid, RATES, strict=True)])
+    proposed = proposed.select("stratum", F.posexplode(F.arrays_zip(*RATES)).alias("level", "cut"))
+    proposed = staged(proposed.select("stratum", (F.col("level") + 1).alias("level"), F.array(*[F.col("cut")[r] for r in RATES]).alias("cutoffs")), "quality-proposed")
+    tested = held.where(~proposing).join(facts(proposed), "stratum").withColumn("hit", rejected(F.col("rates"), F.col("cutoffs")))
+    counted = tested.groupBy("stratum", "level").agg(
+        F.first("cutoffs").alias("cutoffs"), F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("hit")).alias("k"),
+        F.count_if(~F.col("good")).alias("bad"), F.count_if(~F.col("good") & F.col("hit")).alias("caught"),
+    )
+    counted = staged(counted, "quality-tested")
+    candidates = max(counted.count(), 1)
+    gain = F.col("caught") / F.greatest("bad", F.lit(1)) - F.col("k") / F.greatest("n", F.lit(1))
+    passed = counted.where((binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / candidates) & (gain > 0))
+    best = passed.groupBy("stratum").agg(F.min_by(F.struct("level", "cutoffs"), F.struct(-gain, "level")).alias("b"))
+    return staged(best.select("stratum", "b.level", "b.cutoffs"), "quality-levels")
 
 
-def stratum() -> Column:
-    return F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE))
+def rejected(rates: Column, cutoffs: Column) -> Column:
+    """Whether a rate lies above its cutoff; no cutoffs reject nothing."""
+    return F.coalesce(F.exists(F.zip_with(rates, cutoffs, lambda r, c: r > c), lambda x: x), F.lit(False))
 
 
-def verdict(failed: Column, level: Column, base: Column) -> Column:
-    """Level ``l`` rejects a document that fails more than ``top - l`` levels."""
-    return ~base & ~(failed > len(LADDER) - F.coalesce(level, F.lit(0)))
+def stratum() -> Column:
+    return F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """One row per document: counts, stratum, certified level, verdict. The text is read once; what follows is narrow."""
+    """One row per document: counts, stratum, chosen level, verdict. The text is read once; what follows is narrow."""
     m = F.col("_m")
     narrow = with_measures(docs.select("doc_id", "text", stratum().alias("stratum")))
-    narrow = narrow.select("doc_id", "stratum", *[m[c].alias(c) for c in MEASURES], failed_levels(m).alias("failed"), base_failed(m).alias("base_failed"))
+    narrow = narrow.select("doc_id", "stratum", *[m[c].alias(c) for c in MEASURES], F.array(*rates(m)).alias("rates"), base_failed(m).alias("base_failed"))
     narrow = staged(narrow, "quality")
-    levels = staged(certify(narrow, labels, alpha, delta), "quality-levels")
-    return narrow.join(levels, "stratum", "left").select(
-        "doc_id", *MEASURES, "base_failed", verdict(F.col("failed"), F.col("level"), F.col("base_failed")).alias("kept"),
+    levels = certify(narrow, labels, alpha, delta)
+    return narrow.join(facts(levels), "stratum", "left").select(
+        "doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~rejected(F.col("rates"), F.col("cutoffs"))).alias("kept"),
         "stratum", F.coalesce("level", F.lit(0)).alias("level"),
     )
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns kept. Texts are measured once; only keys and verdicts are staged.
-
-    Rows with equal doc_id, text and language get one verdict, so these keys find the rows again.
-    """
-    m, key = F.col("_m"), F.xxhash64(text_or_empty())
-    rows = with_measures(docs.select("doc_id", "text", "lang", key.alias("h")))
-    judged = rows.select("doc_id", "lang", "h", stratum().alias("stratum"), failed_levels(m).alias("failed"), base_failed(m).alias("base"))
-    judged = staged(judged, "quality-judged")
-    levels = staged(certify(judged, labels, alpha, delta), "quality-levels")
-    passed = judged.join(levels, "stratum", "left").where(verdict(F.col("failed"), F.col("level"), F.col("base")))
-    passed = staged(passed.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"), F.col("h").alias("_key")), "quality-passed")
-    same = docs["doc_id"].eqNullSafe(passed["_doc"]) & docs["lang"].eqNullSafe(passed["_lang"]) & (key == passed["_key"])
-    return docs.join(keys_of_rows(passed), same, "left_semi")
+    """The documents that pass, all columns kept. Texts are measured once and staged with their rates; none is shuffled."""
+    mark = unused(docs, "judged")
+    rows = with_measures(docs, into=mark)
+    verdict = F.struct(F.array(*rates(F.col(mark))).alias("rates"), base_failed(F.col(mark)).alias("base"), stratum().alias("stratum"))
+    rows = staged(rows.withColumn(mark, verdict), "quality-docs")
+    judged = rows.select("doc_id", f"{mark}.rates", f"{mark}.stratum")
+    levels = certify(judged, labels, alpha, delta)
+    levels = levels.select(F.col("stratum").alias(f"{mark}_s"), F.col("cutoffs").alias(f"{mark}_c"))
+    joined = rows.join(facts(levels), F.col(f"{mark}.stratum") == F.col(f"{mark}_s"), "left")
+    return joined.where(~F.col(f"{mark}.base") & ~rejected(F.col(f"{mark}.rates"), F.col(f"{mark}_c"))).select(docs.columns)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +52,7 @@ RULES = [
     Rule("signed_token", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0, ("eyj",)),
 ]
 BASE = ("assign", "access", "hex")
-LEDGER = "blob_id string, kind string, version int, spans array<struct<start:int,end:int>>"
+LEDGER = "blob_id binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
 def find_spans(rule: Rule, compiled: re.Pattern, text: str, lowered: str | None = None) -> list[tuple[int, int]]:
@@ -73,12 +74,15 @@ def scanner(rules: list[Rule]):
     return F.pandas_udf(scan, "array<struct<kind:string,version:int,spans:array<struct<start:int,end:int>>>>")
 
 
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 class BlobLedger:
     """Scans versions against rules and remembers what it has scanned at ``path``."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: list[Rule] | None = None):
         self.spark, self.path, self.rules = spark, path or fresh_path(spark, "blob-ledger"), rules or RULES
-        self.started = False
 
     def entries(self) -> DataFrame:
         """Ledger rows; none before the first scan."""
@@ -99,16 +103,15 @@ class BlobLedger:
         """One row per version: path, blob_id, h. Afterwards the ledger holds every pair of its blobs and the current rules."""
         body = text_or_empty(text)
         # A short hash with the path finds the row again; the blob id always comes from the text itself.
-        paths = staged(versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob_id"), F.xxhash64(body).alias("h")), "blob-paths")
+        paths = staged(versions.select(F.col(path).alias("path"), blob_of(body).alias("blob_id"), F.xxhash64(body).alias("h")), "blob-paths")
         blobs = paths.groupBy("blob_id").agg(F.min("path").alias("first"), F.min("h").alias("h"))
         due = staged(self.due(blobs), "blob-due")
-        # One text per blob goes on. No text moves while the keys of the due blobs are few enough to broadcast; beyond, it streams past them unsorted.
+        # One text per blob goes on: every text moves once, past the keys of the due blobs.
         rows = versions.select(F.col(path).alias("_path"), body.alias("_text")).withColumn("_h", F.xxhash64("_text"))
-        unseen = rows.join(keys_of_rows(due), rows["_path"].eqNullSafe(due["first"]) & (rows["_h"] == due["h"])).withColumn("_blob", F.sha2("_text", 256))
+        unseen = rows.join(keys_of_rows(due), rows["_path"].eqNullSafe(due["first"]) & (rows["_h"] == due["h"])).withColumn("_blob", blob_of(F.col("_text")))
         found = unseen.select("_blob", F.explode(scanner(self.rules)("_text", "due")).alias("f"))
-        found = found.select(F.col("_blob").alias("blob_id"), "f.kind", "f.version", "f.spans")
-        # Repeated rows of one path and text were scanned alike: one entry each.
-        found.dropDuplicates(["blob_id", "kind", "version"]).write.mode("append").parquet(self.path)
+        # Rows that repeat with path and text are scanned alike; readers of the ledger take equal entries as one.
+        found.select(F.col("_blob").alias("blob_id"), "f.kind", "f.version", "f.spans").write.mode("append").parquet(self.path)
         return paths
 
     def findings(self, paths: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ class BlobLedger:
         order = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in self.rules])
         current = self.entries().withColumn("rank", F.array_position(order, F.concat_ws(":", "kind", "version"))).where("rank > 0 and size(spans) > 0")
         spans = F.explode("spans").alias("s")
-        by_blob = current.select("blob_id", "kind", "rank", spans).groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("s.start", "rank", "kind", "s.end"))).alias("spans"))
+        by_blob = current.select("blob_id", "kind", "rank", spans).groupBy("blob_id").agg(F.sort_array(F.collect_set(F.struct("s.start", "rank", "kind", "s.end"))).alias("spans"))
         return paths.join(by_blob, "blob_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
 
 
@@ -128,11 +131,19 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def deliveries(docs: DataFrame, count: int = 2) -> list[DataFrame]:
+    """The versions as ``count`` disjoint deliveries, dealt by doc_id; together they are all rows."""
+    dealt = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(count))
+    return [docs.where(dealt == i) for i in range(count)]
+
+
 def report(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
+    """Scans the deliveries one after the other on one ledger, so that the later ones skip what it knows, and lists all paths."""
     ledger = ledger or BlobLedger(docs.sparkSession)
-    found = ledger.findings(ledger.scan(docs))
+    paths = [ledger.scan(versions) for versions in deliveries(docs)]
+    found = ledger.findings(reduce(DataFrame.unionByName, paths))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
         F.col("path").alias("doc_id"), *[count_of(k).alias(f"n_{k}") for k in BASE],
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "blob_id",
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.lower(F.hex("blob_id")).alias("blob_id"),
     )
