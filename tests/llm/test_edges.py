@@ -84,5 +84,5 @@ def test_ledger_scans_only_what_is_new(spark):
 
 def test_collisions_are_told_apart_by_bytes(spark):
     rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(70)], "doc_id long, text string").repartition(5)
-    got = exact_dedup.classes(rows, hash_bits=1, bucket_bytes=64, max_depth=4).collect()
+    got = exact_dedup.classes(rows, hash_bits=1, bucket_bytes=64).collect()
     assert all(r["keep_id"] == 63 + r["doc_id"] % 7 and r["group_size"] == 10 for r in got)
