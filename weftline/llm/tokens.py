@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces held before the memory starts anew (some 250 bytes each with their words), and characters encoded at a time.
-MOST_PIECES = 500_000
+MOST_PIECES = 800_000
 CHARS_AT_ONCE = 4_000_000
 
 UNEVEN = re.compile(r"\s\s")
