@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reference as R
 from ..functions.parsing import number_text, positive
+from ..staging import counted, staged
 from .anomalies import emitted, finding
 
 LEVELS = [("material_component_category", ["fill_material", "component", "category"]), ("component_category", ["component", "category"]), ("category", ["category"])]
@@ -31,7 +32,7 @@ def group_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def all_stats(rows: DataFrame) -> DataFrame:
     """The three levels in one frame: level, fill_material, component, category, n, median, mad."""
-    counts = weight_counts(rows)
+    counts = staged(weight_counts(rows), "weight-counts")
     out = None
     for i, (_, keys) in enumerate(LEVELS, 1):
         one = group_stats(counts, keys)
@@ -45,12 +46,12 @@ def fill(rows: DataFrame) -> DataFrame:
 
     A median outside the component's band is passed over and coarser groups are still tried.
     """
-    counts = weight_counts(rows)
+    counts = staged(weight_counts(rows), "weight-counts")
     out = rows.withColumn("fill_material", fill_material()).join(F.broadcast(R.weight_frame(rows.sparkSession)), "component", "left")
     picks = []
     for i, (name, keys) in enumerate(LEVELS):
         stats = group_stats(counts, keys).select(*keys, F.struct(F.lit(name).alias("level"), F.col("n"), F.col("median"), F.col("mad")).alias(f"s{i}"))
-        out = out.join(stats, keys, "left")
+        out = out.join(counted(staged(stats, "weight-stats")), keys, "left")
         s = F.col(f"s{i}")
         inside = F.col("band_low").isNull() | s["median"].between(F.col("band_low"), F.col("band_high"))
         good = (s["n"] >= R.SUPPORT) & (s["median"] != 0) & (s["mad"] / s["median"] <= R.DISPERSION) & inside

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions import reference as R
 from ..functions.similarity import matched_spellings
+from ..staging import counted, staged
 
 RAW = [name for name, _ in R.SOURCE_SCHEMA]
 CANONICAL = [
@@ -79,6 +80,7 @@ def similar(out: DataFrame) -> DataFrame:
     """Adds the supplier match and the material proposal with their ratios, looked up once per distinct spelling."""
     suppliers = matched_spellings(out, "supplier_raw", R.SUPPLIERS, R.SUPPLIER_CUTOFF, "supplier_normalized")
     materials = matched_spellings(out.where("material_normalized is null"), "material_raw", [n for n, _, _ in R.MATERIALS], R.MATERIAL_CUTOFF, "material_proposal")
+    suppliers, materials = (counted(staged(f, "spellings")) for f in (suppliers, materials))
     return out.join(suppliers, "supplier_raw", "left").join(materials, "material_raw", "left")
 
 

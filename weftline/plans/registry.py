@@ -226,9 +226,13 @@ def src_detect_format(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", files.file_format(content).alias("format"), files.encoding(content).alias("encoding"))
 
 
-@query("SELECT doc_id, md5(text) AS decoded_md5 FROM documents")
+@query("""SELECT doc_id, md5(text) AS decoded_md5, regexp_replace(left(text, 200), '[^ -~]', '?', 'g') || '€Ž�é' AS from_1252 FROM documents""")
 def src_decode(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(files.decoded(F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary")))).alias("decoded_md5"))
+    """UTF-8 with a byte-order mark, and a head with bytes of Windows-1252 after it, one of them undefined."""
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary"))
+    head = F.regexp_replace(F.left("text", F.lit(200)), "[^ -~]", "?").cast("binary")
+    foreign = F.concat(head, F.unhex(F.lit("808E81E9")))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(files.decoded(marked)).alias("decoded_md5"), files.decoded(foreign).alias("from_1252"))
 
 
 # ---- normalize

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import csv
 import datetime
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 WORKBOOK_MAGIC = b"PK\x03\x04"
@@ -40,9 +40,15 @@ def encoding(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("windows-1252")
 
 
+def from_latin(text: Column) -> Column:
+    """Windows-1252 read as ISO-8859-1: what the two differ in is bytes 80 to 9F. Undefined bytes become U+FFFD."""
+    codes = bytes(range(0x80, 0xA0))
+    return F.translate(text, codes.decode("latin-1"), codes.decode("cp1252", "replace"))
+
+
 def decoded(content: Column) -> Column:
     """Text without a byte-order mark; Windows-1252 where the bytes are not UTF-8."""
-    plain = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    plain = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(from_latin(F.decode(content, "ISO-8859-1")))
     return F.regexp_replace(plain, "^﻿", "")
 
 
@@ -58,9 +64,13 @@ def first_line(text: Column) -> Column:
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", charset: str = "utf-8") -> DataFrame:
     """All columns as text, blanks and missing cells as ''."""
-    options = {"header": True, "sep": sep, "encoding": charset, "multiLine": True, "escape": '"', "quote": '"', "inferSchema": False, "mode": "PERMISSIVE"}
+    latin = charset == "windows-1252"
+    options = {"header": True, "sep": sep, "encoding": "ISO-8859-1" if latin else charset, "multiLine": True, "escape": '"', "quote": '"', "inferSchema": False, "mode": "PERMISSIVE"}
     frame = spark.read.options(**options).csv(path)
-    return frame.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in frame.columns])
+    if not latin:
+        return frame.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in frame.columns])
+    names = [c.encode("latin-1").decode("cp1252", "replace") for c in frame.columns]
+    return frame.select(*[F.coalesce(from_latin(F.col(f"`{c}`")), F.lit("")).alias(n) for c, n in zip(frame.columns, names, strict=True)])
 
 
 def cell_text(kind: str, value: str, dated: bool) -> str:
@@ -114,49 +124,35 @@ def workbook_rows(content: bytes) -> Iterator[list[str]]:
             yield cells
 
 
-class WorkbookSource(DataSource):
-    """``spark.read.format("workbook").option("path", p).load()``: first sheet, header in row 1, text cells.
-
-    The file's bytes come in through Spark (option ``hex``, set by ``read_workbook``), so any store works.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def schema(self) -> StructType:
-        header = next(workbook_rows(bytes.fromhex(self.options["hex"])), [])
-        return StructType([StructField(c, StringType()) for c in header])
+def read_workbook(spark: SparkSession, paths: str) -> DataFrame:
+    """First sheets of workbooks with one header: text cells, header in row 1. Each file is read by a task of its own; only a header reaches the driver."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return WorkbookReader(bytes.fromhex(self.options["hex"]), len(schema.fields))
+    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                yield pa.record_batch([pa.array([next(workbook_rows(content.as_py()), [])], pa.list_(pa.string()))], ["header"])
 
+    first = files.orderBy("path").limit(1).mapInArrow(header, "header array<string>").first()
+    names = first["header"] if first else []
+    schema = pa.schema([(n, pa.string()) for n in names])
 
-class WorkbookReader(DataSourceReader):
-    def __init__(self, content: bytes, width: int):
-        self.content, self.width = content, width
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = workbook_rows(content.as_py())
+                next(rows, None)
+                while some := list(islice(rows, 1000)):
+                    whole = [(r + [""] * len(names))[: len(names)] for r in some]
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*whole, strict=True)], schema=schema)
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = workbook_rows(self.content)
-        next(rows, None)
-        for cells in rows:
-            yield tuple((cells + [""] * self.width)[: self.width])
-
-
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """One workbook; a sheet has a million rows at most, so its bytes may pass the driver."""
-    spark.dataSource.register(WorkbookSource)
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    return spark.read.format("workbook").option("hex", bytes(content).hex()).load()
+    return files.mapInArrow(cells, StructType([StructField(n, StringType()) for n in names]))
 
 
 def read_any(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """Rows as text, and what the bytes said: format, encoding, content hash, delimiter."""
     facts = read_bytes(spark, path)
-    line = first_line(decoded(F.substring("content", 1, 65536)))
+    line = first_line(decoded(F.col("content")))
     found = facts.select("format", "encoding", "content_hash", "length", delimiter(line).alias("sep")).first().asDict()
     if found["format"] == "xlsx":
         return read_workbook(spark, path), found | {"encoding": "utf-8"}
@@ -172,11 +168,3 @@ def map_external(rows: DataFrame) -> DataFrame:
         text("component").alias("component"), text("material").alias("material"), F.lit("").alias("composition"), weight.alias("net_weight"), F.lit("").alias("supplier"),
         text("country").alias("country"), F.lit("").alias("order_date"), F.lit("1").alias("quantity"), F.lit("").alias("unit_price"),
     )
-
-
-def write_csv_text(columns: list[str], rows: list[list[str]], sep: str = ",") -> str:
-    """Small CSV text, for examples and tests."""
-    out = io.StringIO()
-    writer = csv.writer(out, delimiter=sep, lineterminator="\n")
-    writer.writerows([columns, *rows])
-    return out.getvalue()
