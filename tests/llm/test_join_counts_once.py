@@ -11,8 +11,8 @@ def links(leaf, members):
     n = len(members)
     rids, mine, sets = zip(*members, strict=True)
     batch = pa.record_batch(
-        [pa.array([leaf] * n), pa.array([0] * n), pa.array([0] * n), pa.array(rids), pa.array([0] * n), pa.array([1] * n), pa.array(mine, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-        names=["leaf", "a", "b", "rid", "chunk", "weight", "mine", "set"],
+        [pa.array([leaf] * n), pa.array([0] * n), pa.array([0] * n), pa.array(rids), pa.array([0] * n), pa.array([1] * n), pa.array(rids), pa.array(mine, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+        names=["leaf", "a", "b", "rid", "chunk", "weight", "node", "mine", "set"],
     )
     return [r for b in verifier(0.8)(iter([batch])) for r in b.to_pylist()]
 

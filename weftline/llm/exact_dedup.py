@@ -174,7 +174,7 @@ class Index:
         self.split()
 
     def generation(self, g: int) -> DataFrame:
-        return self.spark.read.schema(StructType(self.schema.fields).add("bucket", "long")).parquet(f"{self.path}/generation={g}")
+        return self.spark.read.schema(StructType([*self.schema.fields]).add("bucket", "long")).parquet(f"{self.path}/generation={g}")
 
     def split(self) -> None:
         """Splits overfull buckets, generation by generation, and writes the directory."""
