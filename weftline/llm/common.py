@@ -29,8 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders handed out in this process, oldest first: who knows that nothing reads them any more may discard them.
+made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
