@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language, line_dedup, mixing, packing, quality, secrets, sharding, token_files
+from . import exact_dedup, jaccard_join, language, line_dedup, mixing, oracles, packing, quality, secrets, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_cross_parsing_language, op3_chosen_path_join, op4_histogram_sort_shards, op5_exact_dedup, op6_best_two_fit_packing, op7_quality_rules, op8_mixing, op9_line_dedup, op10_huffman_token_files)
 }
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = oracles.ORACLES | {
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
