@@ -11,7 +11,7 @@ Leaves up to ``BLOCK`` records are verified by brute force on the exact sets, wh
 larger leaf's records form a home, with the tokens of most of them as its middle. Records that differ from it by at most a ninth of
 their size, at s = 0.8, are all linked with each other: a ball, whose links are counted by its sum of texts, without pairs. Records
 far from the middle meet in leaves by sampled differences from it, so that a passage that many documents share brings none
-together. What lies between is dealt into pairs of chunks. A pair is counted in its ball, else in its first common leaf: a leaf gives
+together. What lies between is dealt into pairs of chunks: signatures first, then the sets of records with a likely pair. A pair is counted in its ball, else in its first common leaf: a leaf gives
 each record its number of links and one link towards its group in the leaf. Groups are then connected components of balls and records.
 
 Result per document: class_id (least doc_id of its connected group), copy_id (least doc_id with the same set), n_links (number of
@@ -178,6 +178,15 @@ def covered(leaf: int, lists: list[list[int]]) -> np.ndarray:
     return out
 
 
+def likely_pairs(size: np.ndarray, sign: np.ndarray, other_size: np.ndarray, other_sign: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of records sizes and signatures let be linked."""
+    agreed = np.zeros((len(size), len(other_size)), np.uint16)
+    for one, other in zip(np.ascontiguousarray(sign.T), np.ascontiguousarray(other_sign.T), strict=True):
+        agreed += one[:, None] == other[None, :]
+    small, great = np.minimum(size[:, None], other_size[None, :]), np.maximum(size[:, None], other_size[None, :])
+    return (agreed >= LEAST_AGREED * sign.shape[1] / 50) & (small >= threshold * great - 1e-9)
+
+
 def needed(threshold: float):
     """(leaf, rid, mine, n, sign) sorted by leaf: the members with a likely pair that no earlier leaf has."""
     schema = pa.schema([("leaf", pa.int64()), ("rid", pa.int64())])
@@ -190,8 +199,7 @@ def needed(threshold: float):
                 for held, column in zip((rids, lists, sizes, signs), p.columns[1:], strict=True):
                     held += column.to_pylist()
             size, sign = np.array(sizes), np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1)
-            likely = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
-            likely &= (sign[:, None, :] == sign[None, :, :]).sum(axis=2) >= LEAST_AGREED * sign.shape[1] / 50
+            likely = likely_pairs(size, sign, size, sign, threshold)
             np.fill_diagonal(likely, False)
             if likely.any():
                 likely &= ~covered(leaf, lists)
@@ -212,6 +220,29 @@ def needed_leaves(members: DataFrame, rows: DataFrame, mine: DataFrame, threshol
     return signed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(needed(threshold), "leaf long, rid long")
 
 
+def needed_in_blocks(threshold: float):
+    """Blocks (leaf, a, b, rid, chunk, n, sign), sorted by block, to the (rid, leaf, a, b, chunk) that have a likely pair in their block."""
+    names = ("rid", "leaf", "a", "b", "chunk")
+    schema = pa.schema([(c, pa.int64() if c in names[:2] else pa.int32()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in runs_of_rows(batches, 3):
+            leaf, a, b = (parts[0].column(i)[0].as_py() for i in range(3))
+            rid, chunk, size = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4, 5))
+            sign = np.frombuffer(b"".join(x for p in parts for x in p.column(6).to_pylist()), np.uint8).reshape(len(rid), -1)
+            one = np.flatnonzero(chunk == chunk[0])
+            two = one if a == b else np.flatnonzero(chunk != chunk[0])
+            if not len(two):
+                continue
+            likely = likely_pairs(size[one], sign[one], size[two], sign[two], threshold) & (rid[one][:, None] != rid[two][None, :])
+            stay = np.union1d(one[likely.any(axis=1)], two[likely.any(axis=0)])
+            if len(stay):
+                columns = [rid[stay], *(np.full(len(stay), x) for x in (leaf, a, b)), chunk[stay]]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections."""
     n = len(sets)
@@ -343,7 +374,7 @@ def difference_leaves(judged: DataFrame) -> DataFrame:
 
 
 def chunked(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
-    """(rid, leaf, a, b, chunk): rows (leaf, rid, core) dealt into pairs of chunks. Those outside the core meet all, those inside only them."""
+    """(rid, leaf, a, b, chunk, n, sign): rows (leaf, rid, core, n, sign) dealt into pairs of chunks. Those outside the core meet all, those inside only them."""
 
     def chunks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
@@ -361,7 +392,7 @@ def chunked(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     to_core = F.transform(upto(chunks(core)), lambda j: block(-1 - own, j, F.lit(-1)))
     from_core = F.transform(upto(chunks(others)), lambda q: block(-1 - q, chunk_of(core), F.lit(-2)))
     dealt = join_hot(rows, sizes, ["leaf"], "size", total, "rid")
-    return dealt.select("rid", "leaf", F.inline(F.when(F.col("core"), from_core).otherwise(F.concat(among, to_core))))
+    return dealt.select("rid", "leaf", F.inline(F.when(F.col("core"), from_core).otherwise(F.concat(among, to_core))), "n", "sign")
 
 
 def verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -397,7 +428,11 @@ def verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, found: DataFrame
         near = judged.where("inside or not far").select(leaf_id(F.lit(HOME_BLOCKS), "home").alias("leaf"), "rid", F.col("inside").alias("core"))
         nears = near.groupBy("leaf").agg(F.count("*").alias("size"), F.count_if("core").alias("n_core")).where("n_core < size")
         nears = staged(nears, "jaccard-nears")
-        many = again.unionByName(chunked(crowded, crowds, apart.count())).unionByName(chunked(near, nears, judged.count()))
+        # Signatures go to every pair of chunks first; a set follows only where its record has a likely pair.
+        signs = rows.select("rid", "n", "sign")
+        dealt = chunked(crowded.join(signs, "rid"), crowds, apart.count()).unionByName(chunked(near.join(signs, "rid"), nears, judged.count()))
+        dealt = dealt.select("leaf", "a", "b", "rid", "chunk", "n", "sign").repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b")
+        many = again.unionByName(dealt.mapInArrow(needed_in_blocks(threshold), "rid long, leaf long, a int, b int, chunk int"))
         many = staged(many.groupBy("rid").agg(F.collect_list(F.struct("leaf", "a", "b", "chunk")).alias("many")), "jaccard-many")
         housed = exact.where("homes is not null").drop("mine").join(many, "rid", "left").join(inside.select("rid", "node"), "rid", "left")
         housed = housed.join(exact.select("rid", "mine").dropDuplicates(["rid"]).join(both.withColumnRenamed("mine", "all"), "rid", "left").select("rid", F.coalesce("all", "mine").alias("mine")), "rid")
