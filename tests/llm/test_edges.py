@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftline.llm import exact_dedup, jaccard_join, language, line_dedup, mixing, packing, quality, secrets, sharding, token_files
+from weftline.llm import exact_dedup, jaccard_join, language, line_dedup, mixing, packing, periodic, quality, secrets, sharding, substrings, token_files
 from weftline.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, h long, stratum string, line_no int, `group` long, times int, shard int"
@@ -35,10 +35,12 @@ def reports(docs, labels):
         "mixing": lambda: mixing.report(docs),
         "lines": lambda: line_dedup.line_report(docs),
         "tokens": lambda: token_files.round_trip(docs, path),
+        "runs": lambda: periodic.run_digests(periodic.find_runs(docs, ["doc_id"])),
+        "substrings": lambda: substrings.kept_digest(substrings.remove_repeats(docs, ["doc_id"])),
     }
 
 
-NAMES = ["secrets", "language", "join", "shards", "dedup", "packing", "quality", "mixing", "lines", "tokens"]
+NAMES = ["secrets", "language", "join", "shards", "dedup", "packing", "quality", "mixing", "lines", "tokens", "runs", "substrings"]
 
 
 @pytest.fixture(scope="module")

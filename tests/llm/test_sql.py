@@ -12,7 +12,8 @@ from weftline.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     found = con.execute(ORACLES[name])
     names = [c[0] for c in found.description]
     got = QUERIES[name](spark, small)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is staged by now: it does so once the driver has collected the frames."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Most rows of a table with a row per language, stratum or source that is broadcast (some 100 bytes a row).
 BROADCAST_FACTS = 100_000
 #: A key with more than this part of all rows is hot: there are at most so many, and their rows are dealt to ``SALTS`` tasks.

@@ -50,4 +50,28 @@ counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT exact
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, coalesce(kept_lines, '') AS kept_lines
 FROM documents d LEFT JOIN counted USING (doc_id)"""
 
-ORACLES = {"op1_secret_scan": secret_scan(), "op9_line_dedup": LINE_DEDUP}
+def clustering_rounds(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two common table expressions: nearest centroids, then floors of means. Integers up to 2^31 a component."""
+    parts = [
+        "kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL ORDER BY sha256('3:' || vec_id) LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(kept.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(kept.vec_id) AS vec_id, any_value(kept.v) AS v, min({far}) AS distance, arg_min(k.c, {far}::HUGEINT * {k} + k.c) AS c FROM kept, c{i} k GROUP BY r)")
+        mean = "list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v"
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, {mean} FROM (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) m USING (c))")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM {last} a JOIN c{rounds} k ON a.c = k.c"""
+
+
+REPEATED_SUBSTRINGS = r"""WITH words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents)),
+windows AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h, n FROM words),
+judged AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM windows WHERE i + 50 <= n),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM judged WHERE again),
+counted AS (SELECT doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL) AS kept FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN counted USING (doc_id)"""
+
+ORACLES = {"op1_secret_scan": secret_scan(), "op9_line_dedup": LINE_DEDUP, "op11_elkan_clustering": clustering_rounds(), "op13_compacted_substrings": REPEATED_SUBSTRINGS}
