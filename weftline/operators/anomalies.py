@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import reference as R
 from ..functions.parsing import number_text, positive
+from ..staging import staged
+from . import selection
 
 FINDING = ["id", "stage", "finding_id", "record_id", "column", "category", "severity", "message", "proposed_value", "evidence_key", "evidence_value"]
 
@@ -56,30 +58,30 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return emitted(numbered, [(3, F.lit(True), finding(None, "duplicate_key", "medium", key))])
 
 
-def outlier_bounds(rows: DataFrame, column: str) -> DataFrame:
-    """One row: median and MAD of ln over positive values, null where fewer than 3 or all alike.
+def logarithms(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Staged: column name and ln of every positive value."""
+    each = F.array(*[F.when(positive(F.col(c)), F.struct(F.lit(c).alias("name"), F.ln(F.col(c).cast("double")).alias("ln"))) for c in columns])
+    return staged(rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("e")).select("e.*"), "logarithms")
 
-    Values are counted first, so the exact percentiles work on distinct values.
-    """
-    counts = rows.where(positive(F.col(column))).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")).withColumn("ln", F.ln("x"))
-    middle = counts.agg(F.percentile("ln", 0.5, F.col("n")).alias("median"), F.sum("n").alias("total"))
-    spread = counts.join(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("ln") - F.col("median")), 0.5, F.col("n")).alias("mad"), F.first("median").alias("median"), F.first("total").alias("total"))
-    usable = (F.col("total") >= 3) & (F.col("mad") > 0)
-    return spread.select(F.when(usable, F.col("median")).alias("median"), F.when(usable, F.col("mad")).alias("mad"))
 
+def outlier_bounds(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """name, median and MAD of ln for each column that has 3 positive values or more, not all of them alike."""
+    return selection.spread(logarithms(rows, columns), ["name"], "ln").where("n >= 3 and mad > 0").select("name", "median", "mad")
 
-def outliers(rows: DataFrame, column: str) -> DataFrame:
-    """id, record_id, value of rows whose modified z-score of ln lies above the cutoff. The bounds are one row, broadcast."""
-    z = 0.6745 * F.abs(F.ln(F.col(column)) - F.col("median")) / F.col("mad")
-    return rows.where(positive(F.col(column))).join(F.broadcast(outlier_bounds(rows, column))).where(z > R.OUTLIER).select("id", "record_id", F.col(column).alias("value"), z.alias("z"))
 
+def outliers(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """id, record_id, name, value and z of cells whose modified z-score of ln lies above the cutoff. There is one row of bounds a column."""
+    bounds = F.broadcast(outlier_bounds(rows, columns))
+    each = F.array(*[F.when(positive(F.col(c)), F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))) for c in columns])
+    cells = rows.select("id", "record_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("e")).select("id", "record_id", "e.*")
+    z = 0.6745 * F.abs(F.ln("value") - F.col("median")) / F.col("mad")
+    return cells.join(bounds, "name").where(z > R.OUTLIER).select("id", "record_id", "name", "value", z.alias("z"))
 
-def distribution(rows: DataFrame) -> DataFrame:
-    def of(stage: int, column: str) -> DataFrame:
-        value = number_text(F.col("value"))
-        return emitted(outliers(rows, column), [(stage, F.lit(True), finding(column, "distribution", "medium", F.concat(F.lit(f"extreme {column} "), value), None, ("value", value)))])
 
-    return of(5, "component_weight_g").unionByName(of(6, "unit_price"))
+def distribution(rows: DataFrame) -> DataFrame:
+    value = number_text(F.col("value"))
+    checks = [(stage, F.col("name") == column, finding(column, "distribution", "medium", F.concat(F.lit(f"extreme {column} "), value), None, ("value", value))) for stage, column in ((5, "component_weight_g"), (6, "unit_price"))]
+    return emitted(outliers(rows, ["component_weight_g", "unit_price"]), checks)
 
 
 def detect(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reference as R
 from ..functions.parsing import number_text, positive
 from ..staging import counted, staged
+from . import selection
 from .anomalies import emitted, finding
 
 LEVELS = [("material_component_category", ["fill_material", "component", "category"]), ("component_category", ["component", "category"]), ("category", ["category"])]
@@ -18,27 +21,23 @@ def fill_material() -> Column:
 
 
 def weight_counts(rows: DataFrame) -> DataFrame:
-    """Observed positive weights counted per finest group; all statistics derive from this small frame."""
+    """Staged: observed positive weights counted per group of every level, groups with all their keys only. ``key`` names level and group."""
     seen = rows.where(positive(F.col("component_weight_g"))).withColumn("fill_material", fill_material())
-    return seen.groupBy("fill_material", "component", "category", F.col("component_weight_g").alias("w")).agg(F.count("*").alias("c"))
-
-
-def group_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact n, median and MAD per group, by percentiles over distinct weights with their counts."""
-    each = counts.groupBy(*keys, "w").agg(F.sum("c").alias("c"))
-    middle = each.groupBy(*keys).agg(F.sum("c").alias("n"), F.percentile("w", 0.5, F.col("c")).alias("median"))
-    return each.join(middle, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("median").alias("median"), F.percentile(F.abs(F.col("w") - F.col("median")), 0.5, F.col("c")).alias("mad"))
+    finest = LEVELS[0][1]
+    none = F.lit(None).cast("string")
+    groups = [F.when(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in keys else none).alias(k) for k in finest])) for i, (_, keys) in enumerate(LEVELS, 1)]
+    counts = seen.groupBy(*finest, F.col("component_weight_g").alias("w")).agg(F.count("*").alias("c"))
+    each = counts.select(F.explode(F.filter(F.array(*groups), lambda g: g.isNotNull())).alias("g"), "w", "c").select("g.*", "w", "c")
+    each = each.groupBy("level", *finest, "w").agg(F.sum("c").alias("c"))
+    return staged(each.withColumn("key", F.to_json(F.struct("level", *finest), {"ignoreNullFields": "false"})), "weight-counts")
 
 
 def all_stats(rows: DataFrame) -> DataFrame:
-    """The three levels in one frame: level, fill_material, component, category, n, median, mad."""
-    counts = staged(weight_counts(rows), "weight-counts")
-    out = None
-    for i, (_, keys) in enumerate(LEVELS, 1):
-        one = group_stats(counts, keys)
-        whole = one.select(F.lit(i).alias("level"), *[(F.col(k) if k in keys else F.lit(None).cast("string")).alias(k) for k in LEVELS[0][1]], "n", "median", "mad")
-        out = whole if out is None else out.unionByName(whole)
-    return out
+    """Exact statistics of the three levels in one staged frame: level, fill_material, component, category, n, median, mad."""
+    counts = weight_counts(rows)
+    groups = counts.select("key", "level", *LEVELS[0][1]).distinct()
+    stats = selection.spread(counts, ["key"], "w", F.col("c"))
+    return staged(groups.join(stats, "key").select("level", *LEVELS[0][1], "n", "median", "mad"), "weight-stats")
 
 
 def fill(rows: DataFrame) -> DataFrame:
@@ -46,12 +45,12 @@ def fill(rows: DataFrame) -> DataFrame:
 
     A median outside the component's band is passed over and coarser groups are still tried.
     """
-    counts = staged(weight_counts(rows), "weight-counts")
+    all_ = all_stats(rows)
     out = rows.withColumn("fill_material", fill_material()).join(F.broadcast(R.weight_frame(rows.sparkSession)), "component", "left")
     picks = []
     for i, (name, keys) in enumerate(LEVELS):
-        stats = group_stats(counts, keys).select(*keys, F.struct(F.lit(name).alias("level"), F.col("n"), F.col("median"), F.col("mad")).alias(f"s{i}"))
-        out = out.join(counted(staged(stats, "weight-stats")), keys, "left")
+        stats = all_.where(F.col("level") == i + 1).select(*keys, F.struct(F.lit(name).alias("level"), F.col("n"), F.col("median"), F.col("mad")).alias(f"s{i}"))
+        out = out.join(counted(stats), keys, "left")
         s = F.col(f"s{i}")
         inside = F.col("band_low").isNull() | s["median"].between(F.col("band_low"), F.col("band_high"))
         good = (s["n"] >= R.SUPPORT) & (s["median"] != 0) & (s["mad"] / s["median"] <= R.DISPERSION) & inside

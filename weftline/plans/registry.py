@@ -285,12 +285,12 @@ for _category, _stages in (("validity", "1"), ("completeness", "2"), ("duplicate
 
 @query(O.q(*O.NORM, O.bounds("component_weight_g", "w"), select=O.outlier_rows("component_weight_g", "w")))
 def outliers_weight(s, d):
-    return anomalies.outliers(cells(s, d), "component_weight_g").select("id", "record_id", "value")
+    return anomalies.outliers(cells(s, d), ["component_weight_g"]).select("id", "record_id", "value")
 
 
 @query(O.q(*O.NORM, O.bounds("unit_price", "p"), select=O.outlier_rows("unit_price", "p")))
 def outliers_price(s, d):
-    return anomalies.outliers(cells(s, d), "unit_price").select("id", "record_id", "value")
+    return anomalies.outliers(cells(s, d), ["unit_price"]).select("id", "record_id", "value")
 
 
 @query(O.q(*O.NORM, select="SELECT id, nth FROM (SELECT id, row_number() OVER (PARTITION BY style_id, sku, component ORDER BY id) AS nth FROM norm) WHERE nth > 1"))
