@@ -4,34 +4,47 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions import reference as R
+from ..staging import counted, staged
 
 SAMPLES = 5
+CLASSES = 64
 
 
 def profile(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per column: pos, name, dtype, null_rate, cardinality, the 5 smallest distinct samples.
+    """Per column: pos, name, dtype, null_rate, cardinality, the 5 smallest distinct samples."""
+    columns = columns or rows.columns
+    names = F.array(*[F.lit(c) for c in columns])
+    return profiles(rows, [], columns).select("pos", F.get(names, F.col("pos")).alias("name"), "dtype", "null_rate", "cardinality", "samples")
+
 
-    Cells are unpivoted and counted per distinct value first, so all else works on distinct values.
+def profiles(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The same for every group of ``keys`` (a file's hash, say), by column number ``pos``. One scan of the rows.
+
+    Cells are unpivoted and counted per distinct value, which is staged; all else works on distinct values. The smallest are
+    found without ranking: a column's values fall into ``CLASSES`` by hash, and the fifth of the classes' least values bounds the fifth
+    smallest value, so the few values up to it are all that is collected.
     """
-    columns = columns or rows.columns
-    cells = rows.select(F.posexplode(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])).alias("pos", "value"))
-    counts = cells.groupBy("pos", "value").agg(F.count("*").alias("n"))
+    cells = rows.select(*keys, F.posexplode(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])).alias("pos", "value"))
+    by = [*keys, "pos"]
+    counts = staged(cells.groupBy(*by, "value").agg(F.count("*").alias("n")), "cell-counts")
     x, blank = F.col("value"), F.trim("value") == ""
     flags = {"integer": P.to_int(x).isNotNull(), "float": P.to_float(x).isNotNull(), "date": P.parse_date(x).isNotNull()}
-    fits = {name: F.bool_and(F.when(~blank, ok)).alias(name) for name, ok in flags.items()}
-    # The five smallest come from a rank, not from collecting all distinct values.
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy("value"))
-    filled = F.sum(F.when(blank, 0).otherwise(1))
-    base = counts.groupBy("pos").agg(F.sum("n").alias("total"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blanks"), filled.alias("cardinality"), *fits.values())
-    firsts = counts.where(~blank).withColumn("r", rank).where(F.col("r") <= SAMPLES).groupBy("pos").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    fits = [F.bool_and(F.when(~blank, ok)).alias(name) for name, ok in flags.items()]
+    sums = [F.sum("n").alias("total"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blanks"), F.sum(F.when(blank, 0).otherwise(1)).alias("cardinality")]
+    base = counts.groupBy(*by).agg(*sums, *fits)
+    least = counts.where(~blank).groupBy(*by, F.pmod(F.xxhash64("value"), F.lit(CLASSES)).alias("class")).agg(F.min("value").alias("least"))
+    bound = least.groupBy(*by).agg(F.get(F.array_sort(F.collect_list("least")), F.lit(SAMPLES - 1)).alias("bound"))
+    base = staged(base.join(bound, by, "left"), "column-facts")
+    few = counts.where(~blank).join(counted(base.select(*by, "bound")), by).where(F.col("bound").isNull() | (x <= F.col("bound")))
+    firsts = few.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("value")), 1, SAMPLES).alias("samples"))
     dtype = F.when(F.col("cardinality") == 0, "empty").when(F.col("integer"), "integer").when(F.col("float"), "float").when(F.col("date"), "date").otherwise("string")
-    names = F.array(*[F.lit(c) for c in columns])
-    return base.join(firsts, "pos", "left").select("pos", F.get(names, F.col("pos")).alias("name"), dtype.alias("dtype"), F.round(F.col("blanks") / F.col("total"), 6).alias("null_rate"), "cardinality", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+    none = F.array().cast("array<string>")
+    return base.join(firsts, by, "left").select(*by, dtype.alias("dtype"), F.round(F.col("blanks") / F.col("total"), 6).alias("null_rate"), "cardinality", F.coalesce("samples", none).alias("samples"))
 
 
 def expected_schema(spark: SparkSession) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import anomalies, fill, footprint, ledger, mart, profiling, rev
 from ..operators import materialize as M
 from ..sources import files
 from ..sources.workload import RAW, bom_lines, second_period
+from ..staging import fresh_path
 from . import oracles as O
 from . import pipeline
 
@@ -202,6 +203,15 @@ def src_delimiter(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", files.delimiter(files.first_line(F.col("html"))).alias("sep"))
 
 
+@query("SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(source, '') AS source FROM documents")
+def src_csv_roundtrip(s, d):
+    """Texts with line breaks, quotes and separators written as CSV and read back by blocks."""
+    path = fresh_path(s, "documents-csv")
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    rows.write.csv(path, header=True, escape='"', quoteAll=True, emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.read_csv(s, path).select("doc_id", F.md5("text").alias("text_md5"), "source")
+
+
 @query("""SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id < d.doc_id AND k.text = d.text)""")
 def src_registry_dedupe(s, d):
     rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content_hash"))

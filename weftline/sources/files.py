@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 from xml.etree import ElementTree
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import csv_records
+
 WORKBOOK_MAGIC = b"PK\x03\x04"
 
 
@@ -46,9 +50,10 @@ def from_latin(text: Column) -> Column:
     return F.translate(text, codes.decode("latin-1"), codes.decode("cp1252", "replace"))
 
 
-def decoded(content: Column) -> Column:
-    """Text without a byte-order mark; Windows-1252 where the bytes are not UTF-8."""
-    plain = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(from_latin(F.decode(content, "ISO-8859-1")))
+def decoded(content: Column, charset: str | None = None) -> Column:
+    """Text without a byte-order mark; Windows-1252 where the bytes are not UTF-8, or as ``charset`` says."""
+    utf8, latin = content.cast("string"), from_latin(F.decode(content, "ISO-8859-1"))
+    plain = {"utf-8": utf8, "windows-1252": latin}.get(charset, F.when(F.is_valid_utf8(utf8), utf8).otherwise(latin))
     return F.regexp_replace(plain, "^﻿", "")
 
 
@@ -62,15 +67,24 @@ def first_line(text: Column) -> Column:
     return F.regexp_extract(text, r"^([^\r\n]*)", 1)
 
 
+def column_names(first: str, sep: str) -> list[str]:
+    """Names in the first record: empty ones after their place, repeated ones with it."""
+    names = next(csv.reader(io.StringIO(first, newline=""), delimiter=sep), [])
+    often = Counter(n.lower() for n in names)
+    return [f"_c{i}" if n == "" else f"{n}{i}" if often[n.lower()] > 1 else n for i, n in enumerate(names)]
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", charset: str = "utf-8") -> DataFrame:
-    """All columns as text, blanks and missing cells as ''."""
-    latin = charset == "windows-1252"
-    options = {"header": True, "sep": sep, "encoding": "ISO-8859-1" if latin else charset, "multiLine": True, "escape": '"', "quote": '"', "inferSchema": False, "mode": "PERMISSIVE"}
-    frame = spark.read.options(**options).csv(path)
-    if not latin:
-        return frame.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in frame.columns])
-    names = [c.encode("latin-1").decode("cp1252", "replace") for c in frame.columns]
-    return frame.select(*[F.coalesce(from_latin(F.col(f"`{c}`")), F.lit("")).alias(n) for c, n in zip(frame.columns, names, strict=True)])
+    """All columns as text, blanks and missing cells as ''; cells beyond the header's are left out. Large files are read by many tasks."""
+    lines = csv_records.lines_of(spark, path)
+    head = csv_records.header(lines, sep.encode())
+    first = head.decode("cp1252", "replace") if charset == "windows-1252" else head.decode("utf-8-sig", "replace")
+    names = column_names(first.removesuffix("\r"), sep)
+    text = F.regexp_replace(decoded(F.col("record"), charset), "\r$", "")
+    rows = csv_records.records(spark, path, sep).select(text.alias("record")).where(F.col("record") != "")
+    kind = ", ".join(f"c{i} string" for i in range(len(names))) or "c0 string"
+    cells = rows.select(F.from_csv("record", kind, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\x00\x01"}).alias("r"))
+    return cells.select(*[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def cell_text(kind: str, value: str, dated: bool) -> str:
