@@ -19,17 +19,17 @@ def profile(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column: pos, name, dtype, null_rate, cardinality, the 5 smallest distinct samples."""
     columns = columns or rows.columns
     names = F.array(*[F.lit(c) for c in columns])
-    return profiles(rows, [], columns).select("pos", F.get(names, F.col("pos")).alias("name"), "dtype", "null_rate", "cardinality", "samples")
+    cells = rows.select(F.posexplode(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])).alias("pos", "value"))
+    return profiles(cells, []).select("pos", F.get(names, F.col("pos")).alias("name"), "dtype", "null_rate", "cardinality", "samples")
 
 
-def profiles(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """The same for every group of ``keys`` (a file's hash, say), by column number ``pos``. One scan of the rows.
+def profiles(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for cells (keys, pos, value) of any number of tables, one for each of ``keys`` (a file, say), by column number. One scan of them.
 
-    Cells are unpivoted and counted per distinct value, which is staged; all else works on distinct values. The smallest are
+    Cells are counted per distinct value, which is staged; all else works on distinct values. The smallest are
     found without ranking: a column's values fall into ``CLASSES`` by hash, and the fifth of the classes' least values bounds the fifth
     smallest value, so the few values up to it are all that is collected.
     """
-    cells = rows.select(*keys, F.posexplode(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])).alias("pos", "value"))
     by = [*keys, "pos"]
     counts = staged(cells.groupBy(*by, "value").agg(F.count("*").alias("n")), "cell-counts")
     x, blank = F.col("value"), F.trim("value") == ""

@@ -16,7 +16,7 @@ from ..functions import reference as R
 from ..functions import similarity
 from ..operators import anomalies, fill, footprint, ledger, mart, profiling, review
 from ..operators import materialize as M
-from ..sources import files
+from ..sources import admission, files
 from ..sources.workload import RAW, bom_lines, second_period
 from ..staging import fresh_path
 from . import oracles as O
@@ -212,10 +212,12 @@ def src_csv_roundtrip(s, d):
     return files.read_csv(s, path).select("doc_id", F.md5("text").alias("text_md5"), "source")
 
 
-@query("""SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id < d.doc_id AND k.text = d.text)""")
+@query("""SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents d WHERE doc_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 7 = 0 AND k.text = d.text) GROUP BY text""")
 def src_registry_dedupe(s, d):
-    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "content_hash")
+    """Every seventh document is registered, the others come in."""
+    contents = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), files.content_hash(F.col("text").cast("binary")).alias("content_hash"))
+    known = contents.where("path % 7 = 0")
+    return admission.unseen(contents.where("path % 7 <> 0"), known).select(F.col("path").alias("doc_id"), "content_hash")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS source_row_id, p_type || '-' || CAST(p_partkey AS VARCHAR) AS style_id, split_part(p_name, ' ', 2) AS component, split_part(p_name, ' ', 1) AS material, CAST(p_size AS VARCHAR) || ' g' AS net_weight FROM part""")

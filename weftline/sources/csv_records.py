@@ -45,7 +45,7 @@ def ends_inside(line: bytes, inside: bool, sep: bytes) -> bool:
         at += len(opening)
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
+def lines_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block (its first byte), line (bytes, without the line feed), in the file's order within a task."""
     text = spark.read.text(path, lineSep="\n")
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
@@ -99,57 +99,54 @@ def composed(ends: DataFrame, blocks: DataFrame) -> Begins:
     return out
 
 
-def cut(lines: DataFrame, sep: bytes, ends: bool) -> DataFrame:
-    """Records of blocks (column ``begins``: inside quotes), without the file's first. ``ends``: what is cut by block borders instead, with
-    ``part`` 0 for a block's first lines, 1 for its last ones."""
-    names = ["file", "block", "part", "record"] if ends else ["record"]
-    kinds = {"file": pa.string(), "block": pa.int64(), "part": pa.int32(), "record": pa.binary()}
-    schema = pa.schema([(n, kinds[n]) for n in names])
+def cut(lines: DataFrame, sep: bytes, ends: bool, keyed: bool = False) -> DataFrame:
+    """Records of blocks (column ``begins``: inside quotes), with their file and whether they are its first if ``keyed``, else without
+    the files' first ones. ``ends``: what is cut by block borders instead, with ``part`` 0 for a block's first lines, 1 for its last ones."""
+    kinds = {"file": ("string", pa.string()), "block": ("bigint", pa.int64()), "part": ("int", pa.int32()), "first": ("boolean", pa.bool_()), "record": ("binary", pa.binary())}
+    names = [*kinds] if ends else ["file", "first", "record"] if keyed else ["record"]
+    schema = pa.schema([(n, kinds[n][1]) for n in names])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, inside, head, first, open_ = None, False, False, False, []
-        out: list[tuple] = []
+        out: list[dict] = []
+
+        def put(part: int | None, whole: list[bytes]) -> None:
+            if ends == (part is not None) and (ends or keyed or not first):
+                out.append({"file": held[0], "block": held[1], "part": part, "first": first, "record": b"\n".join(whole)})
 
         def flush() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            made = pa.record_batch([pa.array([r[n] for r in out], kinds[n][1]) for n in names], schema=schema)
             out.clear()
             return made
 
-        def put(part: int | None, record: bytes) -> None:
-            if ends and part is not None:
-                out.append((*held, part, record))
-            elif not ends and part is None:
-                out.append((record,))
-
         for batch in batches:
             keys = batch.column("file"), batch.column("block")
             single = batch.num_rows and held == (keys[0][0].as_py(), keys[1][0].as_py()) == (keys[0][-1].as_py(), keys[1][-1].as_py())
             plain = single and not inside and not first and not pc.any(pc.match_substring(batch.column("line"), '"')).as_py()
             if plain:
                 if not ends:
-                    yield pa.record_batch([batch.column("line")], schema=schema)
+                    yield pa.record_batch([keys[0], pa.array([False] * batch.num_rows), batch.column("line")] if keyed else [batch.column("line")], schema=schema)
                 continue
             for file, block, begins, line in zip(*keys, batch.column("begins"), batch.column("line"), strict=True):
                 key, raw = (file.as_py(), block.as_py()), line.as_py()
                 if key != held:
                     if open_:
-                        put(0 if head else 1, b"\n".join(open_))
+                        put(0 if head else 1, open_)
                     held, inside, open_ = key, begins.as_py(), []
                     head, first = inside, key[1] == 0
                 open_.append(raw)
                 inside = ends_inside(raw, inside, sep) if b'"' in raw else inside
                 if not inside:
-                    if not first:
-                        put(0 if head else None, b"\n".join(open_))
+                    put(0 if head else None, open_)
                     head, first, open_ = False, False, []
             if out:
                 yield flush()
         if open_:
-            put(0 if head else 1, b"\n".join(open_))
+            put(0 if head else 1, open_)
         if out:
             yield flush()
 
-    return lines.select(*BLOCK, "begins", "line").mapInArrow(work, ", ".join(f"{n} {dict(file='string', block='bigint', part='int', record='binary')[n]}" for n in names))
+    return lines.select(*BLOCK, "begins", "line").mapInArrow(work, ", ".join(f"{n} {kinds[n][0]}" for n in names))
 
 
 def listed(spark: SparkSession, blocks: list[tuple[str, int]]) -> DataFrame:
@@ -171,18 +168,22 @@ def header(lines: DataFrame, sep: bytes) -> bytes:
         count *= 2
 
 
-def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """All records (bytes) but the first of every file; a quoted cell that is never closed ends with its file."""
+def records(spark: SparkSession, path: str | list[str], sep: str, keyed: bool = False) -> DataFrame:
+    """All records (bytes) but the first of every file, or with ``keyed`` all of them with file and first. A quoted cell that is
+    never closed ends with its file."""
     mark = sep.encode()
     lines = lines_of(spark, path)
     begins = composed(block_ends(lines, mark), lines.select(*BLOCK).distinct())
     if not begins.before:
-        return cut(lines.withColumn("begins", F.lit(False)), mark, False)
+        return cut(lines.withColumn("begins", F.lit(False)), mark, False, keyed)
     inside = listed(spark, begins.inside).withColumn("begins", F.lit(True)) if begins.inside else None
     known = lines.join(inside, BLOCK, "left").withColumn("begins", F.coalesce("begins", F.lit(False))) if inside is not None else lines.withColumn("begins", F.lit(False))
     ends = cut(known.join(listed(spark, begins.inside + begins.before), BLOCK, "left_semi"), mark, True)
     # A record is the last lines of a block and the first ones of the blocks that follow.
     opener = F.max(F.when(F.col("part") == 1, F.col("block"))).over(Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, 0))
-    pieces = ends.withColumn("opener", opener).groupBy("file", "opener").agg(F.array_sort(F.collect_list(F.struct("block", "part", F.col("record").cast("string").alias("text")))).alias("p"))
-    joined = pieces.where("opener is not null").select(F.array_join("p.text", "\n").cast("binary").alias("record"))
-    return cut(known, mark, False).unionByName(joined)
+    pieces = ends.withColumn("opener", opener).where("opener is not null").groupBy("file", "opener").agg(
+        F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("block", "part", F.col("record").cast("string").alias("text")))).alias("p")
+    )
+    joined = pieces.select("file", "first", F.array_join("p.text", "\n").cast("binary").alias("record"))
+    whole = cut(known, mark, False, keyed)
+    return whole.unionByName(joined if keyed else joined.where("not first").select("record"))

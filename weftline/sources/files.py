@@ -9,13 +9,14 @@ import re
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from . import csv_records
 
@@ -27,8 +28,8 @@ class UnsupportedFormatError(ValueError):
 
 
 def read_bytes(spark: SparkSession, paths: str) -> DataFrame:
-    """path, content and facts of each file; any store Spark reads, any number of files."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "length", "content")
+    """path, file (the name that metadata of readers has), content and facts of each file; any store Spark reads, any number of files."""
+    raw = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("file"), "length", "content")
     return raw.withColumns({"format": file_format(F.col("content")), "content_hash": content_hash(F.col("content")), "encoding": encoding(F.col("content"))})
 
 
@@ -68,23 +69,71 @@ def first_line(text: Column) -> Column:
 
 
 def column_names(first: str, sep: str) -> list[str]:
-    """Names in the first record: empty ones after their place, repeated ones with it."""
-    names = next(csv.reader(io.StringIO(first, newline=""), delimiter=sep), [])
+    """Names in the first record."""
+    return named(next(csv.reader(io.StringIO(first, newline=""), delimiter=sep), []))
+
+
+def named(names: list[str]) -> list[str]:
+    """Empty names after their place, repeated ones with it."""
     often = Counter(n.lower() for n in names)
     return [f"_c{i}" if n == "" else f"{n}{i}" if often[n.lower()] > 1 else n for i, n in enumerate(names)]
 
 
+def split_cells(record: Column, sep: str, width: int) -> Column:
+    """The first ``width`` cells of a record's text, as an array; missing ones are null."""
+    kind = ", ".join(f"c{i} string" for i in range(max(width, 1)))
+    parsed = F.from_csv(record, kind, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\x00\x01"})
+    return F.transform(F.array(parsed), lambda r: F.array(*[r[f"c{i}"] for i in range(max(width, 1))]))[0]
+
+
+def record_text(record: Column, charset: str | None = None) -> Column:
+    return F.regexp_replace(decoded(record, charset), "\r$", "")
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", charset: str = "utf-8") -> DataFrame:
     """All columns as text, blanks and missing cells as ''; cells beyond the header's are left out. Large files are read by many tasks."""
-    lines = csv_records.lines_of(spark, path)
-    head = csv_records.header(lines, sep.encode())
+    head = csv_records.header(csv_records.lines_of(spark, path), sep.encode())
     first = head.decode("cp1252", "replace") if charset == "windows-1252" else head.decode("utf-8-sig", "replace")
     names = column_names(first.removesuffix("\r"), sep)
-    text = F.regexp_replace(decoded(F.col("record"), charset), "\r$", "")
-    rows = csv_records.records(spark, path, sep).select(text.alias("record")).where(F.col("record") != "")
-    kind = ", ".join(f"c{i} string" for i in range(len(names))) or "c0 string"
-    cells = rows.select(F.from_csv("record", kind, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\x00\x01"}).alias("r"))
-    return cells.select(*[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
+    rows = csv_records.records(spark, path, sep).select(record_text(F.col("record"), charset).alias("record")).where(F.col("record") != "")
+    cells = rows.select(split_cells(F.col("record"), sep, len(names)).alias("cells"))
+    return cells.select(*[F.coalesce(F.col("cells")[i], F.lit("")).alias(n) for i, n in enumerate(names)])
+
+
+@dataclass
+class Sheets:
+    """Many files at once: the names of each file's columns, and all cells as file, pos, value."""
+
+    headers: dict[str, list[str]]
+    cells: DataFrame
+    errors: dict[str, str]
+
+
+def read_sheets(spark: SparkSession, facts: list[Row]) -> Sheets:
+    """The cells of all files in ``facts`` (path, file, format, sep, encoding), by file and column number; headers, a row per file, reach the driver."""
+    headers: dict[str, list[str]] = {}
+    errors: dict[str, str] = {}
+    parts = [spark.createDataFrame([], "file string, pos int, value string")]
+
+    def add(rows: DataFrame, cells: Column, some: dict[str, list[str]]) -> None:
+        headers.update(some)
+        known = F.broadcast(spark.createDataFrame([(f, len(n)) for f, n in some.items()], "file string, width int"))
+        whole = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get(cells, i), F.lit("")))
+        parts.append(rows.join(known, "file").where("width > 0").select("file", F.posexplode(whole).alias("pos", "value")))
+
+    for sep, charset in sorted({(f["sep"], f["encoding"]) for f in facts if f["format"] == "csv"}):
+        paths = [f["path"] for f in facts if (f["format"], f["sep"], f["encoding"]) == ("csv", sep, charset)]
+        records = csv_records.records(spark, paths, sep, keyed=True).select("file", "first", record_text(F.col("record"), charset).alias("record"))
+        heads = records.where("first").collect()
+        some = {r["file"]: column_names(r["record"], sep) for r in heads}
+        data = records.where(~F.col("first") & (F.col("record") != ""))
+        add(data, split_cells(F.col("record"), sep, max(map(len, some.values()), default=1)), some)
+    if books := [f["path"] for f in facts if f["format"] == "xlsx"]:
+        cells = workbook_cells(spark, books)
+        heads = cells.where("first").collect()
+        errors = {r["file"]: r["error"] for r in heads if r["error"]}
+        add(cells.where("not first"), F.col("cells"), {r["file"]: named(r["cells"]) for r in heads if not r["error"]})
+    return Sheets(headers, reduce(DataFrame.unionByName, parts), errors)
 
 
 def cell_text(kind: str, value: str, dated: bool) -> str:
@@ -138,38 +187,52 @@ def workbook_rows(content: bytes) -> Iterator[list[str]]:
             yield cells
 
 
-def read_workbook(spark: SparkSession, paths: str) -> DataFrame:
-    """First sheets of workbooks with one header: text cells, header in row 1. Each file is read by a task of its own; only a header reaches the driver."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+def workbook_cells(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, first, cells of every row of the first sheets, one task per file; a file that is no workbook gives its error instead."""
+    schema = pa.schema([("file", pa.string()), ("first", pa.bool_()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
 
-    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                yield pa.record_batch([pa.array([next(workbook_rows(content.as_py()), [])], pa.list_(pa.string()))], ["header"])
-
-    first = files.orderBy("path").limit(1).mapInArrow(header, "header array<string>").first()
-    names = first["header"] if first else []
-    schema = pa.schema([(n, pa.string()) for n in names])
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                rows = workbook_rows(content.as_py())
-                next(rows, None)
-                while some := list(islice(rows, 1000)):
-                    whole = [(r + [""] * len(names))[: len(names)] for r in some]
-                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*whole, strict=True)], schema=schema)
-
-    return files.mapInArrow(cells, StructType([StructField(n, StringType()) for n in names]))
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                rows, first = workbook_rows(content.as_py()), True
+                try:
+                    while some := list(islice(rows, 1 if first else 1000)):
+                        n = len(some)
+                        yield pa.record_batch([pa.array([path.as_py()] * n), pa.array([first] * n), pa.array(some, schema.field("cells").type), pa.nulls(n, pa.string())], schema=schema)
+                        first = False
+                except UnsupportedFormatError as error:
+                    yield pa.record_batch([[path.as_py()], [True], pa.nulls(1, schema.field("cells").type), [str(error)]], schema=schema)
+
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content")
+    return files.mapInArrow(read, "file string, first boolean, cells array<string>, error string")
+
+
+def read_workbook(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """First sheets of workbooks as text cells. Every file has its own header in row 1, and its cells go by their names: columns may
+    come in any order, and what a file lacks is blank. Headers, a row per file, reach the driver."""
+    cells = workbook_cells(spark, paths)
+    heads = cells.where("first").select("file", "cells", "error").collect()
+    if broken := [r["error"] for r in heads if r["error"]]:
+        raise UnsupportedFormatError(broken[0])
+    headers = {r["file"]: named(r["cells"]) for r in sorted(heads)}
+    names = list(dict.fromkeys(n for h in headers.values() for n in h))
+    at = F.broadcast(spark.createDataFrame([(f, [h.index(n) if n in h else -1 for n in names]) for f, h in headers.items()], "file string, at array<int>"))
+    rows = cells.where("not first").join(at, "file")
+    pick = lambda i: F.when(F.col("at")[i] >= 0, F.get("cells", F.col("at")[i]))
+    return rows.select(*[F.coalesce(pick(i), F.lit("")).alias(n) for i, n in enumerate(names)])
+
+
+def facts_of(spark: SparkSession, paths: str) -> DataFrame:
+    """What the bytes of each file say: path, file, length, format, content_hash, encoding, sep."""
+    line = first_line(decoded(F.col("content")))
+    return read_bytes(spark, paths).select("path", "file", "length", "format", "content_hash", F.when(F.col("format") == "csv", F.col("encoding")).otherwise("utf-8").alias("encoding"), delimiter(line).alias("sep"))
 
 
 def read_any(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """Rows as text, and what the bytes said: format, encoding, content hash, delimiter."""
-    facts = read_bytes(spark, path)
-    line = first_line(decoded(F.col("content")))
-    found = facts.select("format", "encoding", "content_hash", "length", delimiter(line).alias("sep")).first().asDict()
+    found = facts_of(spark, path).first().asDict()
     if found["format"] == "xlsx":
-        return read_workbook(spark, path), found | {"encoding": "utf-8"}
+        return read_workbook(spark, path), found
     return read_csv(spark, path, found["sep"], found["encoding"]), found
 
 

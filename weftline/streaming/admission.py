@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import files
-from ..sources.admission import REGISTRY, registry, unseen
+from ..sources.admission import entries, register, registry, unseen
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,8 +18,10 @@ def watch(spark: SparkSession, folder: str, store: str, checkpoint: str) -> Stre
 
     def batch(found: DataFrame, _: int) -> None:
         facts = found.select("path", files.content_hash(F.col("content")).alias("content_hash"), files.file_format(F.col("content")).alias("format"), files.encoding(F.col("content")).alias("encoding"))
-        fresh = unseen(facts, registry(spark, store)).join(facts, ["content_hash", "path"])
-        rows = fresh.select("content_hash", F.element_at(F.split("path", "/"), -1).alias("filename"), "format", F.lit("pending").alias("status"), "encoding")
-        rows.select(*[c.split()[0] for c in REGISTRY.split(", ")]).write.mode("append").json(f"{store}/registry")
+        fresh = unseen(facts, registry(spark, store)).join(facts, ["content_hash", "path"]).dropDuplicates(["content_hash"])
+        last = entries(spark, store).agg(F.max("seq")).first()[0]
+        seq = -1 if last is None else last
+        for seq, r in enumerate(fresh.orderBy("path").toLocalIterator(), seq + 1):
+            register(spark, store, {"content_hash": r["content_hash"], "filename": r["path"].rsplit("/", 1)[-1], "format": r["format"], "status": "pending", "encoding": r["encoding"], "seq": seq, "columns": []})
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
