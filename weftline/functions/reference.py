@@ -44,16 +44,6 @@ FACTOR_SOURCE = {"brass": "base-empreinte-2024", "metal": "base-empreinte-2024"}
 FACTOR_SOURCE_DEFAULT = "ecoinvent-3.9.1"
 
 
-def country_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(name.lower(), iso) for name, iso in COUNTRIES], "country_key string, iso string")
-
-
-def material_frame(spark: SparkSession) -> DataFrame:
-    """Lower-case spelling to canonical name; a canonical name goes before a synonym."""
-    rows = {s: name for name, _, synonyms in MATERIALS for s in synonyms} | {name: name for name, _, _ in MATERIALS}
-    return spark.createDataFrame(sorted(rows.items()), "material_key string, material_normalized string")
-
-
 def weight_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, float(r), float(lo), float(hi)) for c, r, lo, hi in WEIGHTS], "component string, ref_g double, band_low double, band_high double")
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reference as R
 from ..functions.parsing import number_text, positive
 from ..staging import staged
 from . import selection
+from .numbering import numbered
 
 FINDING = ["id", "stage", "finding_id", "record_id", "column", "category", "severity", "message", "proposed_value", "evidence_key", "evidence_value"]
 
@@ -46,16 +47,19 @@ def row_checks() -> list[tuple[int, Column, Column]]:
     ]
 
 
-def occurrence() -> Column:
-    """Running number of a row within its business key, in row order."""
-    return F.row_number().over(Window.partitionBy("style_id", "sku", "component").orderBy("id"))
+BUSINESS_KEY = ["style_id", "sku", "component"]
+
+
+def occurrences(rows: DataFrame, *more: str) -> DataFrame:
+    """id, business key and further columns with ``nth``, the running number of a row within its key by id; a hot key's rows are counted in many tasks."""
+    return numbered(rows.select("id", *BUSINESS_KEY, *more), BUSINESS_KEY, ["id"], "nth")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
     """Second and later rows of a (style, sku, component) key, in row order."""
-    numbered = rows.select("id", "record_id", "style_id", "sku", "component", occurrence().alias("nth")).where("nth > 1")
-    key = F.concat(F.lit("duplicate (style, sku, component) "), F.concat_ws(", ", "style_id", "sku", "component"))
-    return emitted(numbered, [(3, F.lit(True), finding(None, "duplicate_key", "medium", key))])
+    later = occurrences(rows, "record_id").where("nth > 1")
+    key = F.concat(F.lit("duplicate (style, sku, component) "), F.concat_ws(", ", *BUSINESS_KEY))
+    return emitted(later, [(3, F.lit(True), finding(None, "duplicate_key", "medium", key))])
 
 
 def logarithms(rows: DataFrame, columns: list[str]) -> DataFrame:

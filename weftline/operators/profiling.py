@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,17 @@ def propose_mapping(added: list[str], removed: list[str]) -> tuple[dict[str, str
             renames[name] = target
             free.remove(target)
     return renames, rest, free
+
+
+def proposals(diff: DataFrame) -> DataFrame:
+    """source, target: the renames proposed for a schema's changes (tens of columns, one row of two lists), worked out by a task."""
+    names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("name")))).alias(kind)
+    lists = diff.agg(names("added"), names("removed"))
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for added, removed in zip(batch.column("added").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+                renames = propose_mapping(added, removed)[0]
+                yield pa.record_batch([pa.array(list(renames), pa.string()), pa.array(list(renames.values()), pa.string())], ["source", "target"])
+
+    return lists.mapInArrow(propose, "source string, target string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import counted, staged
 from . import ledger
 
 DECISIONS = "seq long, finding_id string, status string, actor string, note string, at string"
@@ -31,6 +32,13 @@ def pending(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     return queue(findings).join(decisions.select("finding_id").distinct(), "finding_id", "left_anti")
 
 
+def get(findings: DataFrame, decisions: DataFrame, finding_id: str) -> DataFrame:
+    """One item with its status and all its decisions, oldest first; the condition reaches the findings before any grouping."""
+    mine = F.col("finding_id") == finding_id
+    history = decisions.where(mine).groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("seq", "status", "actor", "note", "at"))).alias("history"))
+    return current(findings.where(mine), decisions.where(mine)).join(history, "finding_id", "left")
+
+
 def decide(decisions: DataFrame, finding_ids: list[str], status: str, actor: str, note: str = "", at: str = "") -> DataFrame:
     """The log with one more decision per id, in the given order; history is never rewritten."""
     if status not in ("approved", "rejected", "pending"):
@@ -82,7 +90,7 @@ def applied(records: DataFrame, rules: DataFrame) -> DataFrame:
     aliases = first_rule(rules.where("key is not null and column = 'material_normalized'"), ["key"]).select(F.col("key").alias("material_raw"), F.col("rule").alias("_a"))
     cells = first_rule(rules.where("key is null"), ["record_id", "column"])
     cells = cells.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "rule"))).alias("_c"))
-    rows = records.join(aliases, "material_raw", "left").join(cells, "record_id", "left")
+    rows = records.join(counted(staged(aliases, "aliases")), "material_raw", "left").join(counted(staged(cells, "cell-rules")), "record_id", "left")
     rows = rows.withColumn("_alias", F.when(F.col("material_normalized").isNull(), F.col("_a"))).withColumn("material_normalized", F.coalesce("material_normalized", "_alias.value"))
     used, filled = [], {}
     for column, kind in RESOLVABLE.items():

@@ -147,6 +147,25 @@ def q(*parts: str, select: str) -> str:
 NORM = (BOM, norm())
 FILLED = (*NORM, filled())
 FOOT = (*FILLED, foot())
+
+
+def thousandths(*names: str) -> str:
+    return ", ".join(f"CAST(round(CASE WHEN isnan({n}) THEN NULL ELSE {n} END * 1000) AS BIGINT) AS {n}_milli" for n in names)
+
+
+#: Events of normalizing, filling and costing, one for every cell that a rule changed.
+EVENTS = f"""
+events AS (
+  SELECT id, record_id, 0 AS stage, 1 AS rule_ord, 'quantity' AS col, 'amount_coerce' AS rule_id, 'normalize_amount' AS source_type, raw_quantity AS value_before, CAST(quantity AS VARCHAR) AS value_after, CAST(quantity AS DOUBLE) AS number, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM foot WHERE quantity IS NOT NULL
+  UNION ALL SELECT id, record_id, 0, 2, 'unit_price', 'amount_coerce', 'normalize_amount', raw_unit_price, NULL, unit_price, NULL, NULL FROM foot WHERE unit_price IS NOT NULL
+  UNION ALL SELECT id, record_id, 0, 3, 'component_weight_g', 'weight_to_grams', 'normalize_unit', raw_net_weight, NULL, component_weight_g, NULL, NULL FROM foot WHERE component_weight_g IS NOT NULL
+  UNION ALL SELECT id, record_id, 0, 4, 'composition', 'composition_parse', 'normalize_composition', raw_composition, composition, NULL, NULL, NULL FROM foot WHERE composition IS NOT NULL
+  UNION ALL SELECT id, record_id, 0, 5, 'order_date', 'date_iso', 'normalize_date', raw_order_date, strftime(order_date, '%Y-%m-%d'), NULL, NULL, NULL FROM foot WHERE order_date IS NOT NULL
+  UNION ALL SELECT id, record_id, 0, 6, 'factory_country_iso', 'country_iso', 'normalize_country', raw_country, factory_country_iso, NULL, NULL, NULL FROM foot WHERE factory_country_iso IS NOT NULL
+  UNION ALL SELECT id, record_id, 0, 7, 'supplier_normalized', 'supplier_fuzzy', 'normalize_supplier', supplier_raw, canonical, NULL, NULL, NULL FROM foot JOIN {values(SUPPLIER_MATCHES, "spelling, canonical, ratio")} ON spelling = supplier_raw WHERE canonical IS NOT NULL
+  UNION ALL SELECT id, record_id, 0, 8, 'material_normalized', 'material_vocab', 'normalize_material', material_raw, material_normalized, NULL, NULL, NULL FROM foot WHERE material_normalized IS NOT NULL
+  UNION ALL SELECT id, record_id, 3, 0, 'component_weight_g', CASE tier WHEN 'grouped_median' THEN 'weight_median' ELSE 'weight_constant' END, tier, '', NULL, weight_g, fill_low, fill_high FROM foot WHERE tier IN ('grouped_median', 'reference_constant')
+  UNION ALL SELECT id, record_id, 4, 0, 'estimated_kgco2e', 'footprint', 'derived_formula', NULL, NULL, est, low, high FROM foot WHERE est IS NOT NULL)"""
 LINES = (
     BOM, SECOND, norm("norm", "bom"), norm("normb", "bom2"), filled("filled", "norm"), filled("filledb", "normb", "b"), foot("foot", "filled", "v1"), foot("footb", "filledb", "v2"),
     """

@@ -18,7 +18,7 @@ from ..operators import anomalies, fill, footprint, ledger, mart, profiling, rev
 from ..operators import materialize as M
 from ..sources import admission, files
 from ..sources.workload import RAW, bom_lines, second_period
-from ..staging import fresh_path
+from ..staging import fresh_path, staged
 from . import oracles as O
 from . import pipeline
 
@@ -58,13 +58,16 @@ def costed(s: SparkSession, d: str, version: str = "v1") -> DataFrame:
 
 
 def lines(s: SparkSession, d: str) -> DataFrame:
-    """Production lines of both periods."""
+    """Production lines of both periods, kept in a table by vintage: each period is built once, however often its lines are read."""
+    path = fresh_path(s, "production-lines")
+    mart.keep_lines(mart.footprint_lines(costed(s, d), "v1"), path)
     later = footprint.components(fill.fill(M.cells(M.materialize(second_period(bom_lines(s, d))))), "v2")
-    return mart.footprint_lines(costed(s, d), "v1").unionByName(mart.footprint_lines(later, "v2"))
+    mart.keep_lines(mart.footprint_lines(later, "v2"), path)
+    return mart.kept_lines(s, path)
 
 
 def built_mart(s: SparkSession, d: str) -> DataFrame:
-    return mart.models(s, lines(s, d))["mart"]
+    return mart.models(lines(s, d))["mart"]
 
 
 # ---- scalars and lookups
@@ -186,10 +189,9 @@ def schema_gate(s, d):
     return profiling.gate(observed_diff(s, d))
 
 
-@query("SELECT 'vendor' AS source, 'supplier' AS target")
+@query(O.q(O.BOM, profile_sql(), DIFF, select="SELECT a.name AS source, r.name AS target FROM diff a JOIN diff r ON a.change = 'added' AND r.change = 'removed'"))
 def schema_propose(s, d):
-    named = {k: [r["name"] for r in observed_diff(s, d).where(F.col("change") == k).collect()] for k in ("added", "removed")}
-    return s.createDataFrame(list(profiling.propose_mapping(**named)[0].items()), "source string, target string")
+    return profiling.proposals(observed_diff(s, d))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -232,10 +234,13 @@ def materialize(s, d):
     return M.materialize(renamed, {"fibre": "material"}).select("record_id", "source_row_id", "style_id", "category", "sku", "component", F.col("material").alias("material_raw"))
 
 
-@query("""SELECT doc_id, 'csv' AS format, 'utf-8' AS encoding FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'xlsx' ELSE 'csv' END AS format, CASE doc_id % 3 WHEN 2 THEN 'windows-1252' ELSE 'utf-8' END AS encoding FROM documents""")
 def src_detect_format(s, d):
+    """Texts as they are, behind a workbook's signature, and before a byte that ends no UTF-8."""
     content = F.col("text").cast("binary")
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", files.file_format(content).alias("format"), files.encoding(content).alias("encoding"))
+    kinds = F.when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("504B0304")), content)).when(F.col("doc_id") % 3 == 2, F.concat(content, F.unhex(F.lit("E9")))).otherwise(content)
+    rows = s.read.parquet(f"{d}/documents.parquet").withColumn("content", kinds)
+    return rows.select("doc_id", files.file_format(F.col("content")).alias("format"), files.encoding(F.col("content")).alias("encoding"))
 
 
 @query("""SELECT doc_id, md5(text) AS decoded_md5, regexp_replace(left(text, 200), '[^ -~]', '?', 'g') || '€Ž�é' AS from_1252 FROM documents""")
@@ -307,7 +312,7 @@ def outliers_price(s, d):
 
 @query(O.q(*O.NORM, select="SELECT id, nth FROM (SELECT id, row_number() OVER (PARTITION BY style_id, sku, component ORDER BY id) AS nth FROM norm) WHERE nth > 1"))
 def duplicate_keys(s, d):
-    return M.materialize(raw(s, d)).select("id", anomalies.occurrence().cast("bigint").alias("nth")).where("nth > 1")
+    return anomalies.occurrences(M.materialize(raw(s, d))).where("nth > 1").select("id", "nth")
 
 
 @query(O.q(*O.FINDINGS, select="SELECT severity, count(*) AS n FROM items GROUP BY severity"))
@@ -489,12 +494,26 @@ def all_events(s: SparkSession, d: str) -> DataFrame:
     return ledger.normalize_events(rows).unionByName(ledger.fill_events(done)).unionByName(ledger.footprint_events(footprint.components(done)))
 
 
-@query()
+def thousandths(*names: str) -> list[Column]:
+    """Doubles as whole thousandths; NaN is null."""
+    return [F.round(F.when(~F.isnan(n), F.col(n)) * 1000).cast("bigint").alias(f"{n}_milli") for n in names]
+
+
+@query(O.q(*O.FOOT, O.EVENTS, select=f"SELECT row_number() OVER (ORDER BY stage, id, rule_ord) AS n, record_id, col AS column_name, rule_id, source_type, value_before, CASE WHEN number IS NULL THEN value_after END AS text_after, {O.thousandths('number', 'low', 'high')}, coalesce(value_before, '') = '' AS is_original_null FROM events"))
 def ledger_jsonl(s, d):
-    return ledger.jsonl(ledger.entries(all_events(s, d), "workload", "v1:v1", "2024-06-01"))
+    """The ledger written as ordered text and read back."""
+    path = fresh_path(s, "ledger-lines")
+    ledger.write_jsonl(ledger.entries(all_events(s, d), "workload", "v1:v1", "2024-06-01"), path)
+    rows = ledger.read_jsonl(s, path)
+    numeric = F.col("column").isin("quantity", "unit_price", "component_weight_g", "estimated_kgco2e")
+    rows = rows.withColumns({"number": F.when(numeric, F.col("value_after").try_cast("double")), "low": F.col("uncertainty_range")[0], "high": F.col("uncertainty_range")[1]})
+    return rows.select("n", "record_id", F.col("column").alias("column_name"), "rule_id", "source_type", "value_before", F.when(~numeric, F.col("value_after")).alias("text_after"), *thousandths("number", "low", "high"), "is_original_null")
+
 
+LINEAGE = f"SELECT id, record_id, col AS column_name, rule_id, source_type, 1 AS n_rules FROM events WHERE stage = 0 UNION ALL SELECT id, record_id, 'material_normalized', 'alias:' || material_raw, 'reference_resolve', 2 FROM norm WHERE {O.TYPO} IS NOT NULL"
 
-@query()
+
+@query(O.q(*O.FOOT, O.EVENTS, select=LINEAGE))
 def cell_lineage(s, d):
     rows, found, decisions = net(s, d)
     out = review.applied(rows, review.approved_rules(found, decisions))
@@ -503,11 +522,20 @@ def cell_lineage(s, d):
     return heads.select("id", "record_id", "column_name", "head.rule_id", "head.source_type", F.coalesce(F.size("head.lineage"), F.lit(1)).alias("n_rules"))
 
 
-@query(O.q(*O.FOOT, select="""SELECT id, (quantity IS NOT NULL)::BIGINT + (unit_price IS NOT NULL)::BIGINT + (component_weight_g IS NOT NULL)::BIGINT + (composition IS NOT NULL)::BIGINT + (order_date IS NOT NULL)::BIGINT + (factory_country_iso IS NOT NULL)::BIGINT
- + (supplier_raw <> 'Zeta Holdings')::BIGINT + (material_normalized IS NOT NULL)::BIGINT + (tier IS NOT NULL)::BIGINT + (est IS NOT NULL)::BIGINT AS n_events, CASE WHEN est IS NOT NULL THEN 'footprint' END AS last_rule FROM foot WHERE est IS NOT NULL"""))
+@query(O.q(*O.FOOT, O.EVENTS, select=f"""SELECT f.id, f.record_id, source_row_id, component, material_normalized AS material, weight_source, raw_net_weight, raw_quantity, {O.thousandths('est').replace('est_milli', 'estimate_milli')},
+ string_agg(concat_ws('|', rule_id, source_type, col, coalesce(value_before, '-'), CASE WHEN number IS NULL THEN value_after END), ';' ORDER BY stage, rule_ord) AS events,
+ string_agg(source_type || ':' || rule_id, ',' ORDER BY stage, rule_ord) FILTER (WHERE col = 'material_normalized') AS material_lineage
+FROM foot f JOIN events e ON e.id = f.id WHERE est IS NOT NULL GROUP BY ALL"""))
 def trace_record(s, d):
-    traced = all_events(s, d).groupBy("id").agg(F.count("*").alias("n_events"), F.max_by("rule_id", F.struct(*ledger.ORDER)).alias("last_rule"))
-    return traced.where("last_rule = 'footprint'")
+    rows = staged(M.similar(cells(s, d)), "normalized")
+    found = footprint.components(fill.fill(rows))
+    events = ledger.normalize_events(rows).unionByName(ledger.fill_events(found)).unionByName(ledger.footprint_events(found))
+    number = lambda e: e["column"].isin("quantity", "unit_price", "component_weight_g", "estimated_kgco2e")
+    step = lambda e: F.concat_ws("|", e["rule_id"], e["source_type"], e["column"], F.coalesce(e["value_before"], F.lit("-")), F.when(~number(e), e["value_after"]))
+    return ledger.trace(found, events).select(
+        "id", "record_id", "source_row_id", "component", "material", "weight_source", F.col("raw")["net_weight"].alias("raw_net_weight"), F.col("raw")["quantity"].alias("raw_quantity"), *thousandths("estimate"),
+        F.array_join(F.transform("events", step), ";").alias("events"), F.array_join(F.transform("material_lineage", lambda m: F.concat_ws(":", m["source_type"], m["rule_id"])), ",").alias("material_lineage"),
+    )
 
 
 # ---- mart and decomposition
@@ -525,12 +553,12 @@ def footprint_lines(s, d):
 
 @query(O.q(*O.LINES, select="SELECT vintage, count(*) AS n, round(sum(mass_kg), 4) AS mass_kg, round(sum(footprint_kgco2e), 4) AS footprint_kgco2e FROM lines GROUP BY vintage"))
 def mart_staging(s, d):
-    return mart.models(s, lines(s, d))["staging"].groupBy("vintage").agg(F.count("*").alias("n"), F.round(F.sum("mass_kg"), 4).alias("mass_kg"), F.round(F.sum("footprint_kgco2e"), 4).alias("footprint_kgco2e"))
+    return mart.models(lines(s, d))["staging"].groupBy("vintage").agg(F.count("*").alias("n"), F.round(F.sum("mass_kg"), 4).alias("mass_kg"), F.round(F.sum("footprint_kgco2e"), 4).alias("footprint_kgco2e"))
 
 
 @query(O.q(*O.LINES, select="SELECT vintage, record_id, material, round(mass_kg, 6) AS mass_kg, factor, round(footprint_kgco2e, 6) AS footprint_kgco2e FROM lines WHERE mass_kg >= 0"))
 def mart_core(s, d):
-    return mart.models(s, lines(s, d))["core"].select("vintage", "record_id", "material", *rounded(6, "mass_kg"), "factor", *rounded(6, "footprint_kgco2e"))
+    return mart.models(lines(s, d))["core"].select("vintage", "record_id", "material", *rounded(6, "mass_kg"), "factor", *rounded(6, "footprint_kgco2e"))
 
 
 @query(O.q(*O.LINES, select="SELECT vintage, material, round(mass_kg, 4) AS mass_kg, factor, round(footprint_kgco2e, 4) AS footprint_kgco2e FROM mart"))
@@ -557,9 +585,14 @@ TRUTH = "true_ AS (SELECT coalesce(material_normalized, {typo}) AS material, sum
 
 
 def true_mass(s: SparkSession, d: str) -> DataFrame:
-    rows = cells(s, d).withColumn("nth", anomalies.occurrence()).where("nth = 1 and quantity >= 0")
-    named = F.coalesce("material_normalized", F.when(F.col("material_raw") == "Organic cottn", "organic cotton"))
-    return mart.truth_basis(rows.select(named.alias("material"), "quantity", "true_weight").where("material is not null"))
+    """True masses of reviewed materials, first rows of their keys; written as CSV and read back."""
+    rows, found, decisions = net(s, d)
+    reviewed = review.applied(rows, review.approved_rules(found, decisions)).where("material_normalized is not null")
+    first = anomalies.occurrences(rows).where("nth = 1").select("id")
+    basis = mart.truth_basis(reviewed.where("quantity >= 0").join(first, "id", "left_semi").select(F.col("material_normalized").alias("material"), "quantity", "true_weight"))
+    path = fresh_path(s, "truth")
+    mart.write_truth(basis, path)
+    return mart.read_truth(s, path)
 
 
 @query(O.q(*O.NORM, TRUTH, select="SELECT material, round(mass_kg, 4) AS mass_kg FROM true_"))
