@@ -13,11 +13,13 @@ from ..staging import staged
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """``rows``, staged, with their number (from 1) within their keys by ``order``; nulls are keys like others, and come first in order.
 
+    ``rows`` is read twice, once for the ranges: a staged frame, or one that is cheap to make from it.
+
     Rows are dealt into slices by ranges of keys and order, so a hot key's rows lie in many slices. Ranks are counted within each
     slice, and a slice begins in the middle of one key at most: the rows of that key in earlier slices are what its ranks are behind. A row per
     slice is all that meets in one task.
     """
-    held = staged(staged(rows, "to-number").repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    held = staged(rows.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "slices")
     key = F.struct(*keys)
     borders = held.groupBy("_slice").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
     counts = held.join(F.broadcast(borders.select("_slice", "last_key")), "_slice").where(key.eqNullSafe(F.col("last_key"))).groupBy("_slice").agg(F.count("*").alias("n"))

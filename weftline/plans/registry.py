@@ -289,7 +289,7 @@ def all_findings(s: SparkSession, d: str) -> DataFrame:
 
 def findings_of(category: str, stages: str) -> Query:
     def found(s, d):
-        rows = M.similar(cells(s, d))
+        rows = staged(M.similar(cells(s, d)), "normalized")
         return anomalies.detect(rows).where(F.col("category") == category).select("id", "finding_id", F.col("column").alias("column_name"), "severity")
 
     found.__name__ = f"findings_{category}"
@@ -312,7 +312,7 @@ def outliers_price(s, d):
 
 @query(O.q(*O.NORM, select="SELECT id, nth FROM (SELECT id, row_number() OVER (PARTITION BY style_id, sku, component ORDER BY id) AS nth FROM norm) WHERE nth > 1"))
 def duplicate_keys(s, d):
-    return anomalies.occurrences(M.materialize(raw(s, d))).where("nth > 1").select("id", "nth")
+    return anomalies.occurrences(staged(M.materialize(raw(s, d)).select("id", *anomalies.BUSINESS_KEY), "keys")).where("nth > 1").select("id", "nth")
 
 
 @query(O.q(*O.FINDINGS, select="SELECT severity, count(*) AS n FROM items GROUP BY severity"))
@@ -426,7 +426,7 @@ def example_decisions(found: DataFrame) -> DataFrame:
 
 def net(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows, findings of the anomaly net before filling, example decisions."""
-    rows = M.similar(cells(s, d))
+    rows = staged(M.similar(cells(s, d)), "normalized")
     found = anomalies.detect(rows)
     return rows, found, example_decisions(anomalies.emitted(rows, anomalies.row_checks()[:1]))
 
