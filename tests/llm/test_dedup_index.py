@@ -44,3 +44,31 @@ def test_rows_that_stay_are_whole(spark):
     assert got.columns == docs.columns
     want = {r[0]: r for r in rows if r[0] in {k for k, _ in expected().values()}}
     assert {r["doc_id"]: (r["doc_id"], r["text"], r["row"], r["none"]) for r in got.collect()} == want
+
+
+def test_settings_of_the_session_change_nothing(spark):
+    """Files of 5 records, row groups of a few rows and tiny splits would tear buckets apart."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(4)
+    conf, hadoop = {"spark.sql.files.maxRecordsPerFile": "5", "spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1"}, {"parquet.block.size": "600", "parquet.block.row.count.limit": "3"}
+    before = {k: spark.conf.get(k) for k in conf}
+    held = spark._jsc.hadoopConfiguration()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for k, v in hadoop.items():
+            held.set(k, v)
+        for size in (400, 1 << 25):
+            got = exact_dedup.classes(docs, bucket_bytes=size).collect()
+            assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == expected()
+            assert {r["doc_id"] for r in exact_dedup.deduplicate(docs, bucket_bytes=size).collect()} == {k for k, _ in expected().values()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for k in hadoop:
+            held.unset(k)
+
+
+def test_buckets_in_several_files_are_dealt_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "ONE_FILE", {"maxRecordsPerFile": 3})
+    got = exact_dedup.classes(spark.createDataFrame(ROWS, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == expected()

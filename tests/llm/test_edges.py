@@ -88,3 +88,16 @@ def test_collisions_are_told_apart_by_bytes(spark):
     rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(70)], "doc_id long, text string").repartition(5)
     got = exact_dedup.classes(rows, hash_bits=1, bucket_bytes=64).collect()
     assert all(r["keep_id"] == 63 + r["doc_id"] % 7 and r["group_size"] == 10 for r in got)
+
+
+def test_clashing_names_keep_their_values(spark):
+    """Columns named as the stages' own stay as they are, value by value."""
+    names = ["_rid", "_shard", "_at", "_p", "_place", "judged", "judged_s", "judged_c", "_m", "uid", "row"]
+    rows = [(i, f"{CLEAN} number {i}", "aa", "st"[i % 2], *[f"{n} of {i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], LABELS)
+    whole = {r[0]: r for r in rows}
+    for kept in (quality.apply_rules(docs, labels), exact_dedup.deduplicate(docs), jaccard_join.keep_one(docs), mixing.mix(docs).select(docs.columns)):
+        got = [tuple(r) for r in kept.select(docs.columns).collect()]
+        assert got and all(r == whole[r[0]] for r in got)
+    assert mixing.mix(docs).columns[-2:] == ["__shard", "__place"]

@@ -7,7 +7,7 @@
    bytes says how many bits the first directory has.
 3. While a bucket holds more than ``bucket_bytes``, besides its largest chain, it splits by the next hash bits: its file is
    read and written as buckets of the next generation, and the directory doubles as often. The directory is kept in
-   ``<path>/directory``: prefix, depth, generation, bytes.
+   ``<path>/directory``: prefix, depth, generation, bytes, and whether one file holds the bucket.
 4. Owner tasks read the buckets of the directory. A bucket is one row group of one file, so it has one owner, who holds the
    chain of one hash at a time: pages with equal hashes are compared by bytes. Buckets too large for a row group, by a
    long chain, are dealt by hash and chained in the same way.
@@ -39,6 +39,8 @@ from .common import bounded_batches, fresh_path, keys_of_rows, text_or_empty
 BUCKET_BYTES = 32 << 20
 #: A bucket up to twice ``BUCKET_BYTES`` is surely one row group of this size.
 ROW_GROUP_BYTES = 128 << 20
+#: A bucket is one file of one row group whatever the session says; a writer's options go before the session's settings.
+ONE_FILE = {"maxRecordsPerFile": 0, "parquet.block.size": ROW_GROUP_BYTES, "parquet.block.row.count.limit": (1 << 31) - 1, "parquet.writer.max-padding": 0}
 MOST_BITS = 24
 #: Texts a map task keeps to recognise copies, in bytes.
 COMBINE_BYTES = 48 << 20
@@ -115,7 +117,7 @@ def write_buckets(pages: DataFrame, path: str, bits: int) -> None:
     dealt = pages.withColumn("bucket", F.when(F.col("hash").isNull(), -1).otherwise(prefix(bits)))
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("rid"), F.lit(max(tasks, 8)))).otherwise(-1)
     dealt = dealt.repartition(max(tasks, 8), "bucket", spread).sortWithinPartitions("bucket", "hash")
-    dealt.write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    dealt.write.partitionBy("bucket").options(**ONE_FILE).parquet(path)
 
 
 def chainer(with_rows: bool):
@@ -182,12 +184,13 @@ class Index:
         entries = []
         while True:
             g = len(self.gone)
-            by_hash = self.generation(g).where("bucket >= 0").groupBy("bucket", "hash").agg(F.sum(F.col("n_bytes") + 64).alias("load"))
-            loads = by_hash.groupBy("bucket").agg(F.sum("load").alias("load"), F.max("load").alias("chain"))
+            file = F.col("_metadata.file_path")
+            by_hash = self.generation(g).where("bucket >= 0").groupBy("bucket", "hash").agg(F.sum(F.col("n_bytes") + 64).alias("load"), F.min(file).alias("low"), F.max(file).alias("high"))
+            loads = by_hash.groupBy("bucket").agg(F.sum("load").alias("load"), F.max("load").alias("chain"), (F.min("low") == F.max("high")).alias("whole"))
             # Hashes fill the buckets of the first directory evenly, so that few are overfull.
             over = loads.where((F.col("load") > self.bucket_bytes) & (2 * (F.col("load") - F.col("chain")) > self.bucket_bytes)).collect()
             self.gone.append([r["bucket"] for r in over] if self.depths[g] < 64 else [])
-            entry = loads.select(F.col("bucket").alias("prefix"), F.lit(self.depths[g]).alias("depth"), F.lit(g).alias("generation"), "load")
+            entry = loads.select(F.col("bucket").alias("prefix"), F.lit(self.depths[g]).alias("depth"), F.lit(g).alias("generation"), "load", "whole")
             entries.append(entry.where(~F.col("prefix").isin(self.gone[g])))
             if not self.gone[g]:
                 break
@@ -203,8 +206,8 @@ class Index:
     def owned(self, with_rows: bool, schema: str | StructType) -> DataFrame:
         """What the owners of all buckets decide."""
         columns = ["uid", "hash", "copies", "best", "rid", "text", *(["row"] if with_rows else [])]
-        # Buckets that a chain makes larger than a row group: a few, their chains are dealt by hash.
-        long = self.directory().where(F.col("load") > 2 * self.bucket_bytes).select("prefix", "generation").collect()
+        # Buckets that a chain makes larger than a row group, or that a writer put into several files: their chains are dealt by hash.
+        long = self.directory().where((F.col("load") > 2 * self.bucket_bytes) | ~F.col("whole")).select("prefix", "generation").collect()
         out = []
         for g, gone in enumerate(self.gone):
             chains = [r["prefix"] for r in long if r["generation"] == g]

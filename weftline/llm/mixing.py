@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keys_of_rows, staged, text_or_empty, words_of
+from .common import keys_of_rows, release, staged, text_or_empty, unused, words_of
 
 #: Words a block should have, and the most blocks a source gets.
 BLOCK_WORDS = 20_000
@@ -168,12 +168,17 @@ def report(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
-    """The mixed rows, all columns kept, each as often as it was drawn, with ``_shard`` and ``_place``: a shard in one partition, in order of place."""
-    rows = staged(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-docs")
-    drawn = staged(draw(rows, seed, rid="_rid"), "mix-drawn")
+    """The mixed rows, all columns kept, each as often as it was drawn, with ``_shard`` and ``_place``: a shard in one partition, in order of place.
+
+    The two get more underscores before their names where ``docs`` has such columns.
+    """
+    rid, at, copy, shard, place = (unused(docs, n) for n in ("_rid", "_at", "_p", "_shard", "_place"))
+    rows = staged(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
+    drawn = staged(draw(rows, seed, rid=rid), "mix-drawn")
     # At most ``cap`` copies of a row and one more.
-    own = placed(drawn, shards, seed).groupBy("rid").agg(F.collect_list(F.struct("shard", "place")).alias("_at"))
-    own = staged(own.select(F.col("rid").alias("_rid"), "_at"), "mix-placed")
-    joined = rows.join(keys_of_rows(own), "_rid").select(*docs.columns, F.explode("_at").alias("_p"))
-    joined = joined.select(*docs.columns, F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
-    return joined.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    own = placed(drawn, shards, seed).groupBy("rid").agg(F.collect_list(F.struct("shard", "place")).alias(at))
+    own = staged(own.select(F.col("rid").alias(rid), at), "mix-placed")
+    release(docs.sparkSession)
+    joined = rows.join(keys_of_rows(own), rid).select(*docs.columns, F.explode(at).alias(copy))
+    joined = joined.select(*docs.columns, F.col(copy)["shard"].alias(shard), F.col(copy)["place"].alias(place))
+    return joined.repartition(shard).sortWithinPartitions(shard, place)

@@ -144,12 +144,12 @@ def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delt
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents that pass, all columns kept. Texts are measured once and staged with their rates; none is shuffled."""
-    mark = unused(docs, "judged")
+    mark, of, cut = (unused(docs, n) for n in ("judged", "judged_s", "judged_c"))
     rows = with_measures(docs, into=mark)
     verdict = F.struct(F.array(*rates(F.col(mark))).alias("rates"), base_failed(F.col(mark)).alias("base"), stratum().alias("stratum"))
     rows = staged(rows.withColumn(mark, verdict), "quality-docs")
     judged = rows.select("doc_id", f"{mark}.rates", f"{mark}.stratum")
     levels = certify(judged, labels, alpha, delta)
-    levels = levels.select(F.col("stratum").alias(f"{mark}_s"), F.col("cutoffs").alias(f"{mark}_c"))
-    joined = rows.join(facts(levels), F.col(f"{mark}.stratum") == F.col(f"{mark}_s"), "left")
-    return joined.where(~F.col(f"{mark}.base") & ~rejected(F.col(f"{mark}.rates"), F.col(f"{mark}_c"))).select(docs.columns)
+    levels = levels.select(F.col("stratum").alias(of), F.col("cutoffs").alias(cut))
+    joined = rows.join(facts(levels), F.col(f"{mark}.stratum") == F.col(of), "left")
+    return joined.where(~F.col(f"{mark}.base") & ~rejected(F.col(f"{mark}.rates"), F.col(cut))).select(docs.columns)
