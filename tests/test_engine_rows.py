@@ -132,6 +132,40 @@ def test_truth_round_trip(spark, tmp_path):
         mart.read_truth(spark, str(tmp_path / "c.csv")).collect()
 
 
+def test_explanation_document(spark, tmp_path):
+    rows = [("v1", "wool", 10.0, 1.0, 10.0), ("v2", "wool", 20.0, 1.25, 25.0), ("v1", "silk", 5.0, 1.0, 5.0), ("v2", "brass", 1.0, 3.0, 3.0)]
+    made = spark.createDataFrame(rows, mart.MART)
+    mart.write_truth(made.where("material = 'wool'"), str(tmp_path / "truth"), mart.MART)
+    truth = mart.read_truth(spark, str(tmp_path / "truth"), columns=mart.MART)
+    assert sorted(map(tuple, truth.collect())) == sorted(r for r in rows if r[1] == "wool")
+    mart.write_document(mart.explanation(made, truth, "wool"), str(tmp_path / "doc"))
+    files_ = list((tmp_path / "doc").glob("*.json"))
+    doc = json.loads(files_[0].read_text())
+    assert len(files_) == 1 and set(doc) == {"pipeline", "ground_truth", "agreement_vs_ground_truth", "by_material"}
+    assert doc["pipeline"] == {"f_from": 15.0, "f_to": 28.0, "observed_delta": 13.0, "intensity_effect": 2.5, "volume_mix_effect": 10.5, "residual": 0.0, "reconciles": True, "intensity_matches_factor_bump": True}
+    assert doc["agreement_vs_ground_truth"] == {"delta_gap": 0.1333, "intensity_gap": 0.0, "volume_mix_gap": 0.16}
+    assert [m["material"] for m in doc["by_material"]["pipeline"]] == ["brass", "silk", "wool"] and len(doc["by_material"]["ground_truth"]) == 1
+    back = mart.read_document(spark, str(tmp_path / "doc")).collect()
+    assert [r.asDict(recursive=True) for r in back] == [doc]
+    none = mart.explanation(made.limit(0), truth, "wool").first()
+    assert none["pipeline"]["f_from"] == 0.0 and none["by_material"]["pipeline"] == [] and not none["pipeline"]["intensity_matches_factor_bump"]
+    (tmp_path / "no.json").write_text('{"pipeline": "text"}')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        mart.read_document(spark, str(tmp_path / "no.json")).collect()
+
+
+def test_decide_all(spark):
+    log = spark.createDataFrame([(0, "b", "approved", "x", "", ""), (1, "a", "rejected", "x", "", "")], review.DECISIONS)
+    items = spark.createDataFrame([(f"k{i % 300:03d}",) for i in range(900)] + [(None,), ("a",)], "finding_id string")
+    more = review.decide_all(log, items, "rejected", "y", "bulk", "now").orderBy("seq").collect()
+    assert [(r["seq"], r["finding_id"]) for r in more] == [(0, "b"), (1, "a"), (2, "a"), *[(3 + i, f"k{i:03d}") for i in range(300)]]
+    assert {(r["status"], r["actor"], r["note"], r["at"]) for r in more[2:]} == {("rejected", "y", "bulk", "now")}
+    first = review.decide_all(log.limit(0), items.where("finding_id = 'a'"), "approved", "y").collect()
+    assert [(r["seq"], r["finding_id"]) for r in first] == [(0, "a")] and review.decide_all(log, items.limit(0), "approved", "y").count() == 2
+    with pytest.raises(ValueError):
+        review.decide_all(log, items, "perhaps", "y")
+
+
 def test_footprint_status(spark):
     rows = [(1, "a", "cotton", 100.0, None, 0.0, 0.0, "ok"), (2, "b", "cotton", 100.0, "grouped_median", 50.0, 150.0, "ok"), (3, "c", None, 10.0, None, None, None, "ok"), (4, "d", "cotton", None, None, None, None, "ok"), (5, "e", "wool", 9.0, None, None, None, "flagged")]
     found = footprint.components(spark.createDataFrame(rows, "id long, record_id string, material_normalized string, weight_g double, tier string, fill_low double, fill_high double, quality_status string"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..staging import counted, staged
 from . import ledger
+from .numbering import numbered
 
 DECISIONS = "seq long, finding_id string, status string, actor string, note string, at string"
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
@@ -39,16 +40,36 @@ def get(findings: DataFrame, decisions: DataFrame, finding_id: str) -> DataFrame
     return current(findings.where(mine), decisions.where(mine)).join(history, "finding_id", "left")
 
 
+STATUSES = ("approved", "rejected", "pending")
+
+
+def next_seq(decisions: DataFrame) -> int:
+    last = decisions.agg(F.max("seq")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def decide(decisions: DataFrame, finding_ids: list[str], status: str, actor: str, note: str = "", at: str = "") -> DataFrame:
     """The log with one more decision per id, in the given order; history is never rewritten."""
-    if status not in ("approved", "rejected", "pending"):
+    if status not in STATUSES:
         raise ValueError(f"unknown status {status!r}")
-    last = decisions.agg(F.max("seq")).first()[0]
-    start = 0 if last is None else last + 1
+    start = next_seq(decisions)
     more = decisions.sparkSession.createDataFrame([(start + i, f, status, actor, note, at) for i, f in enumerate(finding_ids)], DECISIONS)
     return decisions.unionByName(more)
 
 
+def decide_all(decisions: DataFrame, items: DataFrame, status: str, actor: str, note: str = "", at: str = "") -> DataFrame:
+    """The log with one more decision for every finding_id of ``items``, in order of the ids, which Spark numbers: none pass the driver.
+
+    An id that ``items`` repeats is decided once; rows without an id are left out.
+    """
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}")
+    ids = staged(items.select("finding_id", F.lit(0).alias("_log")).where("finding_id is not null").distinct(), "decided")
+    more = numbered(ids, ["_log"], ["finding_id"], "n")
+    given = {"status": status, "actor": actor, "note": note, "at": at}
+    return decisions.unionByName(more.select((F.col("n") - 1 + next_seq(decisions)).alias("seq"), "finding_id", *[F.lit(v).alias(c) for c, v in given.items()]))
+
+
 def decisions_jsonl(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """JSON lines in queue order, then decision order."""
     placed = decisions.join(queue(findings).select("finding_id", "place"), "finding_id")

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-from ..functions import reference as R
 from ..sources import workload as W
 
+# Fixed values, stated apart from the engine's, so that a wrong one there shows.
+ISO_CODES = {"china": "CN", "india": "IN", "portugal": "PT", "sweden": "SE", "vietnam": "VN"}
+MATERIAL_NAMES = ["cotton", "organic cotton", "polyester", "nylon", "viscose", "elastane", "wool", "acrylic", "brass", "metal"]
+MATERIAL_CODES = {"CO": "cotton", "PL": "polyester"}
+#: component, reference weight, band low, band high; grams
+WEIGHTS = [
+    ("brand label", 2.0, 1.0, 6.0), ("button", 5.0, 2.0, 15.0), ("care label", 1.0, 1.0, 3.0), ("drawcord", 6.0, 3.0, 18.0), ("hood lining", 90.0, 40.0, 150.0),
+    ("hook and eye", 2.0, 1.0, 6.0), ("lining", 80.0, 30.0, 240.0), ("metal eyelet", 2.0, 1.0, 6.0), ("pocket lining", 44.0, 17.0, 130.0), ("rib collar", 12.0, 5.0, 36.0),
+    ("rib cuffs", 37.0, 15.0, 110.0), ("sequin panel", 33.0, 11.0, 100.0), ("shell fabric", 300.0, 90.0, 900.0), ("side tape", 4.0, 2.0, 12.0), ("size label", 1.0, 1.0, 3.0),
+    ("thread", 3.0, 1.0, 9.0), ("waistband", 49.0, 19.0, 150.0), ("webbing strap", 33.0, 8.0, 110.0), ("zipper", 16.0, 7.0, 48.0),
+]
+#: material, kgCO2e per kg; by table version
+FACTORS = {
+    "v1": [("cotton", 3.4151), ("organic cotton", 0.9991), ("polyester", 4.8288), ("nylon", 12.3703), ("viscose", 4.9672), ("elastane", 7.915), ("wool", 28.9041), ("acrylic", 11.0771), ("brass", 4.2), ("metal", 3.5)],
+    "v2": [("cotton", 3.4151), ("organic cotton", 0.9991), ("polyester", 5.3), ("nylon", 12.3703), ("viscose", 4.9672), ("elastane", 7.915), ("wool", 28.9041), ("acrylic", 11.0771), ("brass", 4.2), ("metal", 3.5)],
+}
+#: The expected source columns and their coarse types.
+COLUMN_TYPES = [
+    ("source_row_id", "integer"), ("style_id", "string"), ("sku", "string"), ("component", "string"), ("material", "string"), ("composition", "string"),
+    ("net_weight", "string"), ("supplier", "string"), ("country", "string"), ("order_date", "string"), ("quantity", "integer"), ("unit_price", "float"),
+]
+
 
 def case(subject: str, table: dict, default: str = "NULL") -> str:
     quoted = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
@@ -32,7 +53,7 @@ joined_ AS (
 weighed_ AS (
   SELECT *, CAST(CASE WHEN component IN ('webbing strap', 'mystery trim') THEN 8 + 2 * q WHEN component = 'zipper' AND p_type = 'ECONOMY' THEN 200
                       WHEN component = 'sequin panel' THEN 33
-                      ELSE greatest(1, floor({case("component", {c: r for c, r, _, _ in R.WEIGHTS})} * (90 + p_size % 21) / 100.0)) END AS BIGINT) AS true_weight
+                      ELSE greatest(1, floor({case("component", {c: int(r) for c, r, _, _ in WEIGHTS})} * (90 + p_size % 21) / 100.0)) END AS BIGINT) AS true_weight
   FROM joined_),
 bom AS (
   SELECT id, true_weight, CAST(id AS VARCHAR) AS source_row_id, style_id, style_id || '-' || CAST(l_orderkey AS VARCHAR) AS sku, component, material,
@@ -56,7 +77,7 @@ bom2 AS (
          CASE WHEN regexp_full_match(quantity, '-?[0-9]+') THEN CAST(CAST(floor(CAST(quantity AS BIGINT) * CAST({case("substr(style_id, 1, 3)", W.MULTIPLIERS, "1.0")} AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE quantity END AS quantity, unit_price
   FROM bom)"""
 
-NAMED = lambda token: f"CASE upper({token}) " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in R.CODES.items()) + f" ELSE lower({token}) END"
+NAMED = lambda token: f"CASE upper({token}) " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in MATERIAL_CODES.items()) + f" ELSE lower({token}) END"
 SHORT = r"([0-9]+)\s*/\s*([0-9]+)\s+([A-Za-z]{2,})\s*/\s*([A-Za-z]{2,})"
 PART = r"^([0-9]+)\s*%\s*(.+)$"
 FLOAT = r"[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)"
@@ -64,7 +85,7 @@ GRAMS = r"([0-9]+\.?[0-9]*|\.[0-9]+)\s*(kg|g|KG|Kg|kG|G)"
 
 
 def norm(name: str = "norm", source: str = "bom") -> str:
-    known = ", ".join(f"'{n}'" for n, _, _ in R.MATERIALS)
+    known = ", ".join(f"'{n}'" for n in MATERIAL_NAMES)
     listed = "list_transform(string_split(trim(composition), '/'), lambda p: trim(p))"
     return f"""
 {name}_0 AS (
@@ -78,7 +99,7 @@ def norm(name: str = "norm", source: str = "bom") -> str:
          CASE WHEN short THEN CAST(regexp_extract(trim(composition), '{SHORT}', 1) AS DOUBLE) / 100 + CAST(regexp_extract(trim(composition), '{SHORT}', 2) AS DOUBLE) / 100
               WHEN len(list_filter(parts, lambda p: NOT regexp_matches(p, '{PART}'))) = 0 THEN list_sum(list_transform(parts, lambda p: CAST(regexp_extract(p, '{PART}', 1) AS DOUBLE) / 100)) END AS composition_total,
          CASE WHEN regexp_full_match(trim(net_weight), '{GRAMS}') THEN try_cast(regexp_extract(trim(net_weight), '{GRAMS}', 1) AS DOUBLE) * CASE WHEN lower(regexp_extract(trim(net_weight), '{GRAMS}', 2)) = 'kg' THEN 1000 ELSE 1 END END AS component_weight_g,
-         supplier AS supplier_raw, {case("lower(trim(country))", {n.lower(): i for n, i in R.COUNTRIES})} AS factory_country_iso,
+         supplier AS supplier_raw, {case("lower(trim(country))", ISO_CODES)} AS factory_country_iso,
          CASE WHEN regexp_full_match(trim(order_date), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(trim(order_date) AS DATE)
               WHEN regexp_full_match(trim(order_date), '[0-9]{{8}}') THEN try_cast(substr(trim(order_date), 1, 4) || '-' || substr(trim(order_date), 5, 2) || '-' || substr(trim(order_date), 7, 2) AS DATE) END AS order_date,
          CASE WHEN regexp_full_match(trim(quantity), '[+-]?[0-9]+') THEN try_cast(trim(quantity) AS BIGINT) END AS quantity,
@@ -105,7 +126,7 @@ def stats(name: str, keys: str, source: str = "obs") -> str:
 
 
 def filled(name: str = "filled", source: str = "norm", tag: str = "") -> str:
-    good = lambda s: f"({s}.n >= {R.SUPPORT} AND {s}.med <> 0 AND {s}.mad / {s}.med <= {R.DISPERSION} AND (lo IS NULL OR {s}.med BETWEEN lo AND hi))"
+    good = lambda s: f"({s}.n >= 5 AND {s}.med <> 0 AND {s}.mad / {s}.med <= 0.3 AND (lo IS NULL OR {s}.med BETWEEN lo AND hi))"
     s1, s2, s3 = (f"s{i}{tag}" for i in (1, 2, 3))
     pick = lambda c: f"CASE WHEN {good(s1)} THEN {s1}.{c} WHEN {good(s2)} THEN {s2}.{c} WHEN {good(s3)} THEN {s3}.{c} END"
     level = f"CASE WHEN {good(s1)} THEN 'material_component_category' WHEN {good(s2)} THEN 'component_category' WHEN {good(s3)} THEN 'category' END"
@@ -114,7 +135,7 @@ obs{tag} AS (SELECT coalesce(material_normalized, lower(material_raw)) AS fm, co
 {stats(s1, "fm, component, category", f"obs{tag}")},
 {stats(s2, "component, category", f"obs{tag}")},
 {stats(s3, "category", f"obs{tag}")},
-band{tag} AS (SELECT * FROM {values([(c, float(r), float(lo), float(hi)) for c, r, lo, hi in R.WEIGHTS], "component, ref_g, lo, hi")}),
+band{tag} AS (SELECT * FROM {values(WEIGHTS, "component, ref_g, lo, hi")}),
 picked{tag} AS (
   SELECT x.*, ref_g, lo, hi, {pick("n")} AS p_n, {pick("med")} AS p_med, {pick("mad")} AS p_mad, {level} AS p_level
   FROM (SELECT *, coalesce(material_normalized, lower(material_raw)) AS fm FROM {source}) x LEFT JOIN band{tag} USING (component)
@@ -131,7 +152,7 @@ picked{tag} AS (
 
 def foot(name: str = "foot", source: str = "filled", version: str = "v1") -> str:
     return f"""
-factors_{name} AS (SELECT * FROM {values(R.FACTORS[version], "material, factor")}),
+factors_{name} AS (SELECT * FROM {values(FACTORS[version], "material, factor")}),
 {name} AS (
   SELECT f.* , CASE WHEN weight_g IS NOT NULL THEN x.factor END AS factor, weight_g / 1000 * x.factor AS est,
          CASE WHEN tier IS NOT NULL THEN fill_low / 1000 * x.factor END AS low, CASE WHEN tier IS NOT NULL THEN fill_high / 1000 * x.factor END AS high,
@@ -190,7 +211,7 @@ mad{tag} AS (SELECT med, n, (SELECT median(abs(x - med)) FROM pos{tag}, med{tag}
 
 
 def outlier_rows(column: str, tag: str) -> str:
-    return f"SELECT id, record_id, {column} AS value FROM norm, mad{tag} WHERE {column} > 0 AND NOT isnan({column}) AND n >= 3 AND mad > 0 AND 0.6745 * abs(ln({column}) - med) / mad > {R.OUTLIER}"
+    return f"SELECT id, record_id, {column} AS value FROM norm, mad{tag} WHERE {column} > 0 AND NOT isnan({column}) AND n >= 3 AND mad > 0 AND 0.6745 * abs(ln({column}) - med) / mad > 3.5"
 
 
 FINDINGS = (
@@ -204,7 +225,7 @@ found AS (
   UNION ALL SELECT id, 2, record_id, 'factory_country_iso', 'completeness', 'low', NULL, NULL FROM norm WHERE factory_country_iso IS NULL
   UNION ALL SELECT id, 3, record_id, NULL, 'duplicate_key', 'medium', NULL, NULL FROM dups WHERE nth > 1
   UNION ALL SELECT id, 4, record_id, 'component_weight_g', 'cross_field', 'high', NULL, NULL FROM norm WHERE component_weight_g = 0 AND (quantity > 0 OR (unit_price > 0 AND NOT isnan(unit_price)))
-  UNION ALL SELECT id, 4, record_id, 'composition', 'cross_field', 'medium', NULL, NULL FROM norm WHERE abs(composition_total - 1) > {R.COMPOSITION_TOLERANCE}
+  UNION ALL SELECT id, 4, record_id, 'composition', 'cross_field', 'medium', NULL, NULL FROM norm WHERE abs(composition_total - 1) > 0.001
   UNION ALL SELECT id, 5, record_id, 'component_weight_g', 'distribution', 'medium', NULL, NULL FROM ({outlier_rows("component_weight_g", "w")})
   UNION ALL SELECT id, 6, record_id, 'unit_price', 'distribution', 'medium', NULL, NULL FROM ({outlier_rows("unit_price", "p")})
   UNION ALL SELECT id, 7, record_id, 'component_weight_g', 'completeness', 'medium', NULL, NULL FROM filled WHERE quality_status = 'action_required'

@@ -134,16 +134,16 @@ def resolve_supplier_fuzzy(s, d):
 @query(O.q(*O.NORM, select=f"SELECT material_raw, proposal AS material_proposal, ratio, count(*) AS n FROM norm JOIN {O.values(O.PROPOSALS, 'spelling, proposal, ratio')} ON spelling = material_raw WHERE material_normalized IS NULL GROUP BY 1, 2, 3"))
 def propose_material_fuzzy(s, d):
     rows = cells(s, d).where("material_normalized is null").select("material_raw")
-    found = similarity.matched_spellings(rows, "material_raw", [n for n, _, _ in R.MATERIALS], R.MATERIAL_CUTOFF, "material_proposal").where("material_proposal is not null")
+    found = similarity.matched_spellings(rows, "material_raw", [n for n, _, _ in R.MATERIALS], R.MATERIAL_CUTOFF, "material_proposal")
     return rows.join(found, "material_raw").groupBy("material_raw", "material_proposal", F.round("material_proposal_ratio", 4).alias("ratio")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT 'v1' AS version, material, factor FROM {O.values(R.FACTORS['v1'], 'material, factor')} UNION ALL SELECT 'v2', material, factor FROM {O.values(R.FACTORS['v2'], 'material, factor')}")
+@query(f"SELECT 'v1' AS version, material, factor FROM {O.values(O.FACTORS['v1'], 'material, factor')} UNION ALL SELECT 'v2', material, factor FROM {O.values(O.FACTORS['v2'], 'material, factor')}")
 def ref_factors(s, d):
     return R.factor_frame(s, "v1").select(F.lit("v1").alias("version"), "material", "factor").unionByName(R.factor_frame(s, "v2").select(F.lit("v2").alias("version"), "material", "factor"))
 
 
-@query(f"SELECT component, CAST(ref_g AS DOUBLE) AS ref_g, CAST(lo AS DOUBLE) AS band_low, CAST(hi AS DOUBLE) AS band_high FROM {O.values(R.WEIGHTS, 'component, ref_g, lo, hi')}")
+@query(f"SELECT component, CAST(ref_g AS DOUBLE) AS ref_g, CAST(lo AS DOUBLE) AS band_low, CAST(hi AS DOUBLE) AS band_high FROM {O.values(O.WEIGHTS, 'component, ref_g, lo, hi')}")
 def ref_weights(s, d):
     return R.weight_frame(s)
 
@@ -169,7 +169,7 @@ def profile_types(s, d):
     return profiling.profile(raw(s, d), RAW).select("name", "dtype")
 
 
-EXPECTED = O.values([(n, t) for n, t in R.SOURCE_SCHEMA], "name, expected")
+EXPECTED = O.values(O.COLUMN_TYPES, "name, expected")
 DIFF = f"diff AS (SELECT name, CASE WHEN expected IS NULL THEN 'added' WHEN dtype IS NULL THEN 'removed' WHEN dtype <> expected AND dtype <> 'empty' THEN 'type_changed' END AS change FROM (SELECT CASE name WHEN 'supplier' THEN 'vendor' ELSE name END AS name, dtype FROM prof) p FULL JOIN {EXPECTED} USING (name))"
 
 
@@ -451,6 +451,28 @@ def review_replay(s, d):
     return review.replay(review.decisions_jsonl(mapping, decisions)).select("seq", "finding_id", "status")
 
 
+OPEN = "SELECT finding_id FROM items WHERE stage < 7 AND severity = 'high' AND finding_id NOT IN (SELECT finding_id FROM decisions)"
+
+
+@query(O.q(*O.FINDINGS, O.DECIDED, f"open_ AS ({OPEN})", select="""SELECT seq, finding_id, status, '' AS note FROM decisions UNION ALL
+SELECT coalesce((SELECT max(seq) FROM decisions), -1) + row_number() OVER (ORDER BY finding_id), finding_id, 'rejected', 'in bulk' FROM open_"""))
+def review_decide(s, d):
+    """The example log and, appended in one go, the rejection of every open item of high severity."""
+    _, found, decisions = net(s, d)
+    high = review.pending(found, decisions).where("severity = 'high'")
+    return review.decide_all(decisions, high, "rejected", "reviewer", "in bulk", "2024-06-02").select("seq", "finding_id", "status", "note")
+
+
+@query(O.q(*O.FINDINGS, O.DECIDED, select="""SELECT i.finding_id, l.status, l.n_decisions, string_agg(d.seq || ':' || d.status, ',' ORDER BY d.seq) AS history
+FROM (SELECT min(finding_id) AS finding_id FROM decisions) i JOIN latest l USING (finding_id) JOIN decisions d USING (finding_id) GROUP BY 1, 2, 3"""))
+def review_get(s, d):
+    """The decided item whose id comes first, with its history."""
+    _, found, decisions = net(s, d)
+    one = decisions.agg(F.min("finding_id")).first()[0]
+    steps = F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["seq"].cast("string"), h["status"])), ",")
+    return review.get(found, decisions, one or "").select("finding_id", "status", F.col("n_decisions").cast("bigint").alias("n_decisions"), steps.alias("history"))
+
+
 @query(O.q(*O.FINDINGS, select="SELECT finding_id, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS severity_rank FROM items WHERE stage < 7"))
 def review_ranked(s, d):
     return review.ranked(net(s, d)[1]).select("finding_id", "severity_rank")
@@ -584,17 +606,35 @@ def intensity_effect(s, d):
 TRUTH = "true_ AS (SELECT coalesce(material_normalized, {typo}) AS material, sum(quantity * true_weight) / 1000.0 AS mass_kg FROM (SELECT *, row_number() OVER (PARTITION BY style_id, sku, component ORDER BY id) AS nth FROM norm) WHERE nth = 1 AND quantity >= 0 AND coalesce(material_normalized, {typo}) IS NOT NULL GROUP BY 1)".replace("{typo}", O.TYPO)
 
 
+def true_masses(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """True masses of reviewed materials, first rows of their keys."""
+    reviewed = review.applied(rows, rules).where("material_normalized is not null")
+    first = anomalies.occurrences(rows).where("nth = 1").select("id")
+    return mart.truth_basis(reviewed.where("quantity >= 0").join(first, "id", "left_semi").select(F.col("material_normalized").alias("material"), "quantity", "true_weight"))
+
+
 def true_mass(s: SparkSession, d: str) -> DataFrame:
-    """True masses of reviewed materials, first rows of their keys; written as CSV and read back."""
+    """Those of the first period, written as CSV and read back."""
     rows, found, decisions = net(s, d)
-    reviewed = review.applied(rows, review.approved_rules(found, decisions)).where("material_normalized is not null")
-    first = anomalies.occurrences(rows).where("nth = 1").select("id")
-    basis = mart.truth_basis(reviewed.where("quantity >= 0").join(first, "id", "left_semi").select(F.col("material_normalized").alias("material"), "quantity", "true_weight"))
     path = fresh_path(s, "truth")
-    mart.write_truth(basis, path)
+    mart.write_truth(true_masses(rows, review.approved_rules(found, decisions)), path)
     return mart.read_truth(s, path)
 
 
+def true_mart(s: SparkSession, d: str) -> DataFrame:
+    """The mart of both periods from true weights; the first period's approvals hold for the second. Written as CSV under headers of its own and read back."""
+    rows, found, decisions = net(s, d)
+    rules = staged(review.approved_rules(found, decisions), "rules")
+    later = staged(M.similar(M.cells(M.materialize(second_period(bom_lines(s, d))))), "normalized")
+    side = lambda rows, vintage: true_masses(rows, rules).join(F.broadcast(R.factor_frame(s, vintage)), "material").withColumn("vintage", F.lit(vintage))
+    masses = side(rows, "v1").unionByName(side(later, "v2")).withColumn("footprint_kgco2e", F.col("mass_kg") * F.col("factor"))
+    path = fresh_path(s, "truth-mart")
+    theirs = {"true_mass_kg": "mass_kg", "factor_kgco2e_per_kg": "factor", "true_footprint_kgco2e": "footprint_kgco2e"}
+    named = [F.col(ours).alias(name) for name, ours in theirs.items()]
+    masses.select("vintage", "material", *named).write.csv(path, header=True, escape='"')
+    return mart.read_truth(s, path, theirs, mart.MART)
+
+
 @query(O.q(*O.NORM, TRUTH, select="SELECT material, round(mass_kg, 4) AS mass_kg FROM true_"))
 def truth_basis(s, d):
     return true_mass(s, d).select("material", *rounded(4, "mass_kg"))
@@ -604,3 +644,28 @@ def truth_basis(s, d):
 def truth_gap(s, d):
     truth = true_mass(s, d).withColumnRenamed("mass_kg", "true_kg")
     return built_mart(s, d).where("vintage = 'v1'").join(truth, "material").select("material", F.round(mart.gap(F.col("mass_kg"), F.col("true_kg")), 6).alias("gap"))
+
+
+TRUTH_MART = """tmart AS (SELECT 'v1' AS vintage, material, mass_kg, factor FROM true_ JOIN factors_foot USING (material) UNION ALL SELECT 'v2', material, mass_kg, factor FROM trueb_ JOIN factors_footb USING (material))"""
+SECOND_TRUTH = TRUTH.replace("true_ AS", "trueb_ AS").replace("FROM norm)", "FROM normb)")
+BOTH = """sides AS (SELECT 'pipeline' AS side, * FROM effects UNION ALL SELECT 'ground_truth', * FROM teffects),
+totals AS (SELECT side, sum(f_from) AS f_from, sum(f_to) AS f_to, sum(f_to - f_from) AS delta, sum(intensity) AS intensity, sum(f_to - f_from - intensity) AS volume, sum(intensity) FILTER (WHERE material = 'polyester') AS bump FROM sides GROUP BY side),
+gaps AS (SELECT round(abs(p.delta - g.delta) / greatest(abs(g.delta), 1), 4) AS delta_gap, round(abs(p.intensity - g.intensity) / greatest(abs(g.intensity), 1), 4) AS intensity_gap, round(abs(p.volume - g.volume) / greatest(abs(g.volume), 1), 4) AS volume_mix_gap
+  FROM totals p, totals g WHERE p.side = 'pipeline' AND g.side = 'ground_truth')"""
+
+
+@query(O.q(*O.LINES, O.EFFECTS, TRUTH, SECOND_TRUTH, TRUTH_MART, O.EFFECTS.replace("effects AS", "teffects AS").replace("FROM mart", "FROM tmart"), BOTH, select="""SELECT side, material, round(s.f_from, 3) AS material_from, round(s.f_to, 3) AS material_to,
+ round(s.intensity, 3) AS material_intensity, round(s.f_to - s.f_from - s.intensity, 3) AS material_volume_mix, round(t.f_from, 3) AS f_from, round(t.f_to, 3) AS f_to, round(delta, 3) AS observed_delta, round(t.intensity, 3) AS intensity_effect,
+ round(volume, 3) AS volume_mix_effect, true AS reconciles, abs(t.intensity - bump) < 1e-6 AS matches, gaps.* FROM sides s JOIN totals t USING (side), gaps"""))
+def explanation(s, d):
+    """The document written as JSON and read back: a row for each side and material, beside its side's summary."""
+    path = fresh_path(s, "explanation")
+    mart.write_document(mart.explanation(built_mart(s, d), true_mart(s, d), "polyester"), path)
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).alias("whole"), F.col(f"by_material.{name}").alias("each"))
+    rows = mart.read_document(s, path).select("agreement_vs_ground_truth", F.explode(F.array(*map(side, mart.SIDES))).alias("p"))
+    rows = rows.select("p.side", "p.whole", "agreement_vs_ground_truth.*", F.explode("p.each").alias("m"))
+    parts = {"material_from": "f_from", "material_to": "f_to", "material_intensity": "intensity_effect", "material_volume_mix": "volume_mix_effect"}
+    return rows.select(
+        "side", "m.material", *[F.round(f"m.{c}", 3).alias(name) for name, c in parts.items()], *[F.col(f"whole.{c}") for c in mart.EFFECTS],
+        F.col("whole.reconciles"), F.col("whole.intensity_matches_factor_bump").alias("matches"), *mart.GAPS,
+    )
