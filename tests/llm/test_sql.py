@@ -12,7 +12,7 @@ from weftline.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         con.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     found = con.execute(ORACLES[name])
     names = [c[0] for c in found.description]
