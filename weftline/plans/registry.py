@@ -348,11 +348,11 @@ def action_required(s, d):
     return filled(s, d).where("quality_status = 'action_required'").select("id", "record_id", "component")
 
 
-@query(O.q(*O.FILLED, "e_ AS (SELECT tier, abs(weight_g - true_weight) AS e, CASE WHEN true_weight <> 0 THEN abs(weight_g - true_weight) / abs(true_weight) END AS p FROM filled WHERE tier IS NOT NULL)", select="SELECT tier, count(*) AS n, round(avg(e), 3) AS mae, round(avg(p), 3) AS mape FROM e_ GROUP BY tier UNION ALL SELECT 'overall', count(*), round(coalesce(avg(e), 0), 3), round(coalesce(avg(p), 0), 3) FROM e_"))
+@query(O.q(*O.FILLED, "e_ AS (SELECT tier, abs(weight_g - true_weight) AS e, CASE WHEN true_weight <> 0 THEN abs(weight_g - true_weight) / abs(true_weight) END AS p FROM filled WHERE tier IS NOT NULL)", select="SELECT tier, count(*) AS n, round(avg(e), 4) AS mae, round(avg(p), 4) AS mape FROM e_ GROUP BY tier UNION ALL SELECT 'overall', count(*), round(coalesce(avg(e), 0), 4), round(coalesce(avg(p), 0), 4) FROM e_"))
 def fill_accuracy(s, d):
     source = bom_lines(s, d)
     out = fill.accuracy(filled(s, d).drop("true_weight"), source.select("id", "true_weight"))
-    return out.select("tier", "n", F.round("mae", 3).alias("mae"), F.round("mape", 3).alias("mape"))
+    return out.select("tier", "n", "mae", "mape")
 
 
 # ---- footprint
