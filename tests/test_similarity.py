@@ -44,7 +44,7 @@ def test_bound_and_matches(spark):
                 want[t] = (name, score)
         got = matched_spellings(rows, "raw", names, cutoff, "found").collect()
         assert {r["raw"]: (r["found"], r["found_ratio"]) for r in got} == want and len(got) == len(want) > 100
-        # Of some 3,000 spellings by 5 or 10 names a tenth of the pairs is measured at most.
+        # At most a tenth of the pairs is measured.
         assert candidates(rows.distinct(), "raw", names, cutoff).count() <= 0.1 * len(texts) * len(names)
 
 
