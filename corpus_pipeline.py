@@ -9,18 +9,32 @@ Null, empty, very long and repeated texts, ties, empty tables and further column
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from weftline.llm.common import discard, made, staged
+from weftline.llm.common import discard, folders, fresh_path, staged
 from weftline.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Folders that the last stage staged; its result is written before the next stage is called.
-_spent: list[str] = []
+
+
+class Spent(threading.local):
+    """Folders that the thread's last stage staged; its result is written before the next stage is called."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_spent = Spent()
+
+
+def clear(spark: SparkSession) -> None:
+    while _spent.paths:
+        discard(spark, _spent.paths.pop())
 
 
 def stage(work: Stage) -> Stage:
@@ -28,11 +42,10 @@ def stage(work: Stage) -> Stage:
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _spent:
-            discard(spark, _spent.pop())
-        first = len(made)
+        clear(spark)
+        first = len(folders.made)
         out = work(spark, docs, sf_dir)
-        _spent.extend(made[first:])
+        _spent.paths = folders.made[first:]
         return out
 
     return run_stage
@@ -81,7 +94,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; a stage's result is removed as soon as that of the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, work in STAGES:
-        docs = staged(work(spark, docs, sf_dir), name.replace(" ", "-"))
+        out = work(spark, docs, sf_dir)
+        path = fresh_path(spark, name.replace(" ", "-"))
+        docs = staged(out, name, path)
+        clear(spark)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

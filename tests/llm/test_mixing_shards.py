@@ -47,3 +47,23 @@ def test_every_pass_has_its_own_blocks(spark):
     rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(1).alias("crc"), F.lit(50).alias("blocks"))
     both = rows.select(mixing.in_pass(17, F.lit(0))[1].alias("a"), mixing.in_pass(17, F.lit(1))[1].alias("b")).collect()
     assert sum(r["a"] == r["b"] for r in both) < 30
+
+
+def test_sums_by_stretches_and_subtrees(spark, docs, monkeypatch):
+    """Small stretches and subtrees change where sums are made: the drawn rows are the same, and every drawn block has one shard."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    want = {(r["rid"], r["doc_id"], r["times"]) for r in mixing.draw(docs).collect()}
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    monkeypatch.setattr(mixing, "SUBTREE", 2)
+    drawn = mixing.staged(mixing.draw(docs), "mix-test")
+    assert {(r["rid"], r["doc_id"], r["times"]) for r in drawn.collect()} == want
+    got = mixing.placed(drawn, shards=12).collect()
+    assert Counter(r["rid"] for r in got) == Counter({rid: n for rid, _, n in want if n})
+    assert {r["shard"] for r in got} == set(range(12))
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 4)
+    rows = [(s, at, (at * 7) % 5) for s in (1, 2) for at in range(0, 40, s)]
+    got = mixing.running_sums(spark.createDataFrame(rows, "sid int, at long, n long"), "at", F.col("n"), "before").collect()
+    assert {(r["sid"], r["at"], r["before"]) for r in got} == {(s, at, sum(n for s2, a, n in rows if s2 == s and a < at)) for s, at, _ in rows}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders handed out in this process, oldest first: who knows that nothing reads them any more may discard them.
-made: list[str] = []
+class Folders(threading.local):
+    """Folders handed out in a thread, oldest first: who knows that nothing reads them any more may discard them."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+
+
+folders = Folders()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return made[-1]
+    folders.made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return folders.made[-1]
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -342,7 +342,8 @@ def balls(sets: DataFrame, homes: DataFrame, threshold: float) -> DataFrame:
     sizes = homes.groupBy("home").agg(F.count("*").alias("members"))
     # Map-side sums: near copies share their tokens.
     tokens = own.select("home", F.explode("set").alias("token")).groupBy("home", "token").agg(F.count("*").alias("n")).where("n > 1")
-    common = tokens.join(keys_of_rows(sizes), "home").where("2 * n > members").groupBy("home").agg(F.collect_list("token").alias("middle"))
+    # A home with many records has many tokens, so they are spread.
+    common = join_hot(tokens, staged(sizes, "jaccard-home-sizes"), ["home"], "members", total, "token").where("2 * n > members").groupBy("home").agg(F.collect_list("token").alias("middle"))
     middle = sizes.join(common, "home", "left").withColumn("middle", F.coalesce("middle", F.array().cast("array<bigint>")))
     middle = staged(middle, "jaccard-middles")
     t = (1 - threshold) / (1 + threshold)

@@ -11,7 +11,8 @@ taken in permuted order as far as they fit, and one more document, of all that a
 
 Output shards: the exact block quotas of all sources are split in two at every node of a binary tree by a
 multivariate hypergeometric draw; a leaf's quota says which run of each source's permuted blocks its shard
-gets. Runs are disjoint and cover every drawn block. Inside a shard, rows are ordered by a seeded hash. ``report``
+gets. Runs are disjoint and cover every drawn block. The driver draws the tree down to subtrees of ``SUBTREE`` shards at most,
+tasks draw the subtrees. Blocks are numbered per source in stretches, so that no task sees all blocks of a source. Inside a shard, rows are ordered by a seeded hash. ``report``
 counts the copies that the shards got; ``mix`` sends each copy to its shard and sorts there.
 
 Edge cases: null text has 0 words; null source is a source of its own, last in order; documents without words
@@ -23,20 +24,23 @@ through ``mix``.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keys_of_rows, release, staged, text_or_empty, unused, words_of
 
-#: Words a block should have, and the most blocks a source gets.
+#: Words a block should have, and how many blocks in a row one task numbers.
 BLOCK_WORDS = 20_000
-MOST_BLOCKS = 4096
+STRETCH = 4096
 #: Passes over the block in which a source's rest ends, and how many blocks after it they may take from.
 FITTING_PASSES = 4
 FITTING_BLOCKS = 3
 #: Output shards: this many words each, but so many shards at least.
 SHARD_WORDS = 200_000_000
 LEAST_SHARDS = 8
+#: Most shards of a subtree that one task draws.
+SUBTREE = 256
 #: Sources have one row each on the driver; more than this is refused.
 MOST_SOURCES = 1_000_000
 
@@ -67,9 +71,10 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
         rng = np.random.Generator(np.random.Philox(key=[seed, first * 1_000_003 + count]))
         drawn = np.zeros(len(quota), np.int64)
         rest, need = int(quota.sum()), take
-        for i, q in enumerate(quota.tolist()):  # the joint draw, one source after the other
+        for i in np.flatnonzero(quota).tolist():  # the joint draw, one source after the other; most have nothing in a low node
+            q = int(quota[i])
             rest -= q
-            drawn[i] = need if rest == 0 else rng.hypergeometric(q, rest, need) if q and need else 0
+            drawn[i] = need if rest == 0 else rng.hypergeometric(q, rest, need) if need else 0
             need -= int(drawn[i])
         node(first, left, drawn)
         node(first + left, count - left, quota - drawn)
@@ -78,6 +83,29 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def subtree_runs(shards: int, seed: int):
+    """(subtree, sid, quota, first) of one subtree of ``shards`` leaves to the runs (sid, shard, first, end) of its shards."""
+
+    def run(nodes: pd.DataFrame) -> pd.DataFrame:
+        subtree = int(nodes["subtree"].iloc[0])
+        leaves = split_tree(nodes["quota"].tolist(), shards, seed + subtree)
+        shard, source = np.nonzero(leaves)
+        ends = (nodes["first"].to_numpy() + np.cumsum(leaves, axis=0))[shard, source]
+        return pd.DataFrame({"sid": nodes["sid"].to_numpy()[source], "shard": subtree * shards + shard, "first": ends - leaves[shard, source], "end": ends})
+
+    return run
+
+
+def running_sums(blocks: DataFrame, at: str, what: Column, name: str) -> DataFrame:
+    """Staged ``blocks`` (sid, ``at``, ..) with the sum of ``what`` over the source's blocks before each, by stretches and within them."""
+    blocks = blocks.withColumn("stretch", F.floor(F.col(at) / STRETCH)).withColumn("counted", what.cast("long"))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy("sid", "stretch").agg(F.sum("counted").alias("counted"))
+    ahead = sums.select("sid", "stretch", F.coalesce(F.sum("counted").over(earlier("sid").orderBy("stretch")), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("counted").over(earlier("sid", "stretch").orderBy(at)), F.lit(0))
+    return blocks.join(ahead, ["sid", "stretch"]).withColumn(name, F.col("ahead") + inside).drop("stretch", "counted", "ahead")
+
+
 def in_pass(seed: int, number: Column) -> tuple[Column, Column]:
     """Place in the permutation of a pass, and block there."""
     h = F.xxhash64(F.lit(seed), number.cast("int"), "doc_id", "crc")
@@ -95,7 +123,7 @@ def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = No
     if len(found) > MOST_SOURCES:
         raise ValueError("more sources than the driver may hold")
     goal = targets([r["words"] for r in found], cap)
-    blocks = [int(min(MOST_BLOCKS, max(1, -(-r["words"] // BLOCK_WORDS)))) for r in found]
+    blocks = [int(max(1, -(-r["words"] // BLOCK_WORDS))) for r in found]
     facts = [(r["src"]["none"], r["src"]["name"], i, int(r["words"]), float(g), b, int(round(g) // max(r["words"], 1))) for i, (r, g, b) in enumerate(zip(found, goal, blocks, strict=True))]
     facts = spark.createDataFrame(facts, "none boolean, name string, sid int, source_size long, target double, blocks int, passes int")
     facts = facts.select(F.struct("none", "name").alias("src"), "sid", "source_size", "target", "blocks", "passes")
@@ -107,14 +135,13 @@ def draw(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = No
     """One row per document: rid, doc_id, crc, size, source_size, target, taken, times, last (drawn in the last, partial pass) and its block."""
     rows = plan(docs, seed, cap, rid)
     rest = F.round("target") - F.col("passes") * F.col("source_size")
-    by_block = rows.groupBy("sid", "block").agg(F.sum("size").alias("block_words"))
-    # Blocks per source are bounded, so is this window.
-    before = F.coalesce(F.sum("block_words").over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_block = by_block.withColumn("before", before)
+    by_block = staged(rows.groupBy("sid", "block").agg(F.sum("size").alias("block_words")), "mix-block-words")
+    by_block = running_sums(by_block, "block", F.col("block_words"), "before")
     inner = rows.join(by_block, ["sid", "block"]).withColumn("rest", rest.cast("long"))
-    # The block of a source in which its rest ends and the few after it: only these are ordered row by row.
+    # The block of a source in which its rest ends and the few after it: only these are ordered row by row. A row has a word
+    # at least, so they are no more than the words of some blocks, however large the source is.
     ends_later = F.col("before") + F.col("block_words") > F.col("rest")
-    partial = ends_later & (F.col("before") < F.col("rest") + FITTING_BLOCKS * F.col("source_size") / F.col("blocks"))
+    partial = (F.col("size") > 0) & ends_later & (F.col("before") < F.col("rest") + FITTING_BLOCKS * F.col("source_size") / F.col("blocks"))
     cut = inner.where(partial).withColumn("last", F.lit(False))
     here = Window.partitionBy("sid")
     cut = cut.withColumn("before", F.min("before").over(here))
@@ -145,16 +172,20 @@ def placed(drawn: DataFrame, shards: int | None = None, seed: int = 17) -> DataF
     if shards is None:
         words = drawn.agg(F.sum("taken")).first()[0] or 0
         shards = max(LEAST_SHARDS, -(-words // SHARD_WORDS))
+        shards = -(-shards // SUBTREE) * SUBTREE if shards > SUBTREE else shards  # whole subtrees
     copies = drawn.where("times > 0").select("rid", "doc_id", "crc", "sid", "blocks", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     # A source's drawn blocks, numbered along its permutations: pass after pass, those without a drawn row left out.
-    copies = copies.withColumn("serial", F.col("copy") * F.col("blocks") + in_pass(seed, F.col("copy"))[1])
-    numbered = copies.select("sid", "serial").distinct().withColumn("at", F.row_number().over(Window.partitionBy("sid").orderBy("serial")) - 1)
+    copies = copies.withColumn("serial", F.col("copy").cast("long") * F.col("blocks") + in_pass(seed, F.col("copy"))[1])
+    numbered = running_sums(staged(copies.select("sid", "serial").distinct(), "mix-serials"), "serial", F.lit(1), "at")
     numbered = staged(numbered, "mix-blocks")
     quotas = numbered.groupBy("sid").agg(F.count("*").alias("n")).orderBy("sid").collect()
-    leaves = split_tree([r["n"] for r in quotas], shards, seed)
-    ends = np.cumsum(leaves, axis=0)
-    runs = [(r["sid"], s, int(ends[s, i] - leaves[s, i]), int(ends[s, i])) for i, r in enumerate(quotas) for s in np.flatnonzero(leaves[:, i]).tolist()]
-    runs = drawn.sparkSession.createDataFrame(runs, "sid int, shard int, first long, end long").select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("at"))
+    each = max(k for k in range(1, min(shards, SUBTREE) + 1) if shards % k == 0)
+    top = split_tree([r["n"] for r in quotas], shards // each, seed + 2**32)
+    ends = np.cumsum(top, axis=0)
+    nodes = [(int(k), quotas[i]["sid"], int(top[k, i]), int(ends[k, i] - top[k, i])) for k, i in np.argwhere(top).tolist()]
+    nodes = drawn.sparkSession.createDataFrame(nodes, "subtree int, sid int, quota long, first long")
+    runs = nodes.groupBy("subtree").applyInPandas(subtree_runs(each, seed), "sid int, shard int, first long, end long")
+    runs = runs.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("at"))
     where = staged(numbered.join(runs, ["sid", "at"]).select("sid", "serial", "shard"), "mix-shards")
     return copies.join(keys_of_rows(where), ["sid", "serial"]).select("rid", "shard", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", "copy").alias("place"))
 
