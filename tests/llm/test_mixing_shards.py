@@ -67,3 +67,9 @@ def test_running_sums(spark, monkeypatch):
     rows = [(s, at, (at * 7) % 5) for s in (1, 2) for at in range(0, 40, s)]
     got = mixing.running_sums(spark.createDataFrame(rows, "sid int, at long, n long"), "at", F.col("n"), "before").collect()
     assert {(r["sid"], r["at"], r["before"]) for r in got} == {(s, at, sum(n for s2, a, n in rows if s2 == s and a < at)) for s, at, _ in rows}
+
+
+def test_many_sources_are_joined_alike(spark, docs, monkeypatch):
+    want = Counter(tuple(r) for r in mixing.report(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_FACTS", 2)
+    assert Counter(tuple(r) for r in mixing.report(docs).collect()) == want

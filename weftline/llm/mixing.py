@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keys_of_rows, release, staged, text_or_empty, unused, words_of
+from .common import BROADCAST_FACTS, join_hot, keys_of_rows, release, staged, text_or_empty, unused, words_of
 
 #: Words a block should have, and how many blocks in a row one task numbers.
 BLOCK_WORDS = 20_000
@@ -112,6 +112,12 @@ def in_pass(seed: int, number: Column) -> tuple[Column, Column]:
     return h, F.floor(F.shiftrightunsigned(h, 33) * F.col("blocks") / F.lit(2.0**31)).cast("int")
 
 
+def of_sources(rows: DataFrame, table: DataFrame, key: str, sources: int, total: int) -> DataFrame:
+    """``rows`` with what ``table`` has of their source (``members``: its rows): broadcast for a bounded number of sources, else hot ones are spread."""
+    joined = rows.join(F.broadcast(table), key) if sources <= BROADCAST_FACTS else join_hot(rows, table, [key], "members", total, "rid")
+    return joined.drop("members")
+
+
 def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = None) -> DataFrame:
     """Rows with size, source facts, place in the last pass's permutation (h) and block; ``rid``: the column of row ids, if there is one."""
     spark = docs.sparkSession
@@ -119,16 +125,17 @@ def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = No
     # Order of null last: sources sort by (is null, code points).
     rows = docs.select("doc_id", (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"), size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("crc"))
     rows = staged(rows, "mix-rows")
-    found = sorted(rows.groupBy("src").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect(), key=lambda r: (r["src"]["none"], r["src"]["name"]))
+    found = sorted(rows.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("members")).limit(MOST_SOURCES + 1).collect(), key=lambda r: (r["src"]["none"], r["src"]["name"]))
     if len(found) > MOST_SOURCES:
         raise ValueError("more sources than the driver may hold")
     goal = targets([r["words"] for r in found], cap)
     blocks = [int(max(1, -(-r["words"] // BLOCK_WORDS))) for r in found]
-    facts = [(r["src"]["none"], r["src"]["name"], i, int(r["words"]), float(g), b, int(round(g) // max(r["words"], 1))) for i, (r, g, b) in enumerate(zip(found, goal, blocks, strict=True))]
-    facts = spark.createDataFrame(facts, "none boolean, name string, sid int, source_size long, target double, blocks int, passes int")
-    facts = facts.select(F.struct("none", "name").alias("src"), "sid", "source_size", "target", "blocks", "passes")
+    facts = [(r["src"]["none"], r["src"]["name"], i, int(r["words"]), float(g), b, int(round(g) // max(r["words"], 1)), r["members"]) for i, (r, g, b) in enumerate(zip(found, goal, blocks, strict=True))]
+    facts = spark.createDataFrame(facts, "none boolean, name string, sid int, source_size long, target double, blocks int, passes int, members long")
+    facts = facts.select(F.struct("none", "name").alias("src"), "sid", "source_size", "target", "blocks", "passes", "members")
     h, block = in_pass(seed, F.col("passes"))
-    return rows.join(facts, "src").withColumn("h", h).withColumn("block", block)
+    placed_rows = of_sources(rows, facts, "src", len(found), sum(r["members"] for r in found))
+    return placed_rows.withColumn("h", h).withColumn("block", block)
 
 
 def draw(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = None) -> DataFrame:
@@ -154,10 +161,13 @@ def draw(docs: DataFrame, seed: int = 17, cap: float = 3.0, rid: str | None = No
     cut = cut.drop("short")
     whole = inner.where(~partial).withColumn("last", F.col("before") + F.col("block_words") <= F.col("rest"))
     chosen = staged(whole.unionByName(cut), "mix-chosen")
-    missing = chosen.groupBy("sid").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("last"), F.col("size")).otherwise(0)).alias("got"))
-    short = missing.select("sid", (F.col("rest") - F.col("got")).alias("short")).where("short > 0")
+    missing = chosen.groupBy("sid").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("last"), F.col("size")).otherwise(0)).alias("got"), F.count("*").alias("members"))
+    short = missing.select("sid", (F.col("rest") - F.col("got")).alias("short"), "members").where("short > 0")
+    short = staged(short, "mix-short")
+    sources, total = short.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
     order = F.struct(F.abs(F.col("size") - F.col("short")).alias("gap"), "h", "doc_id", "crc", "rid")
-    open_rows = chosen.where(~F.col("last") & (F.col("size") > 0)).join(short, "sid")
+    # Not dealt by source, so each task keeps only its own best row of a source.
+    open_rows = of_sources(chosen.where(~F.col("last") & (F.col("size") > 0)), short, "sid", sources, total)
     closing = open_rows.groupBy("sid").agg(F.min(order).alias("o"), F.first("short").alias("short"))
     # Closes the gap only if that brings the source nearer to its target.
     closing = closing.where("o.gap < short").select(F.col("o.rid").alias("rid"), F.lit(True).alias("closes"))
