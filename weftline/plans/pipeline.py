@@ -1,4 +1,4 @@
-"""The whole run; normalized and filled rows are staged once, the frames that read them are lazy."""
+"""The whole run; normalizing stages the parsed rows once, the frames that read them are lazy."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from ..functions.parsing import run_id
 from ..operators import anomalies, fill, footprint, ledger, review
 from ..operators.materialize import CANONICAL, RULESET, materialize, normalize
 
-from ..staging import staged
-
 
 @dataclass
 class Run:
@@ -53,9 +51,9 @@ def empty_input(rows: DataFrame) -> DataFrame:
 
 def run(raw: DataFrame, mapping: dict[str, str] | None = None, content_hash: str = "", created_at: str = "", factor_version: str = "v1", approvals: DataFrame | None = None) -> Run:
     """Materialize, normalize, re-apply approvals, fill, cost; anomalies are read before filling."""
-    normalized = staged(normalize(materialize(raw, mapping)), "normalized")
+    normalized = normalize(materialize(raw, mapping))
     reviewed = review.applied(normalized, approvals) if approvals is not None else normalized
-    filled = staged(fill.fill(reviewed), "filled")
+    filled = fill.fill(reviewed)
     costed = footprint.components(filled, factor_version)
     found = [anomalies.emitted(normalized, anomalies.row_checks()[:1]), anomalies.emitted(reviewed, anomalies.row_checks()[1:]), anomalies.duplicates(reviewed), anomalies.distribution(reviewed), fill.fill_findings(filled), footprint.unmapped_findings(costed), empty_input(normalized)]
     events = [ledger.normalize_events(normalized), ledger.fill_events(filled), ledger.footprint_events(costed)]
