@@ -96,6 +96,17 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str], size: str, total:
     return many.join(one.withColumn("_salt", F.explode(salts)).hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
 
 
+def join_listed(many: DataFrame, one: DataFrame, key: str, size: str, total: int, by: str) -> DataFrame:
+    """``join_hot`` for a long key of a staged table whose sizes sum up to ``total`` at most: the hot keys, ``HOT_PART`` at most, are a list in an
+    expression, so rows without a partner pass no join but the one that drops them.
+    """
+    listed = [k for (k,) in one.where(F.col(size) * HOT_PART > total).select(F.col(key).cast("long")).distinct().collect()]
+    is_hot = F.coalesce(F.col(key).isin(listed), F.lit(False)) if listed else F.lit(False)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return many.withColumn("_salt", salt).join(one.withColumn("_salt", F.explode(salts)).hint("shuffle_hash"), [key, "_salt"]).drop("_salt")
+
+
 #: Rows of text in an Arrow batch: bounds the buffers of a task and of its Python worker.
 BATCH_ROWS = 1000
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_hot, keys_of_rows, let, staged, text_or_empty, unused, words_of
+from .common import bounded_batches, join_hot, join_listed, keys_of_rows, let, staged, text_or_empty, unused, words_of
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -46,7 +46,7 @@ BRANCHES = 2
 PER_PATH = 1 + BRANCHES * (LEVELS - 1)
 #: Bytes of a signature, one per sampled token. Records of similarity 0.8 agree in fewer than ``LEAST_AGREED`` of them with a chance below 1e-9.
 LEAST_AGREED = 20
-#: Samples of a record's differences from the middle of a home, and the run numbers of their leaves and of a home's own blocks.
+#: Most samples of a record's differences from the middle of a home, and the run numbers of their leaves and of a home's own blocks.
 DIFFERENCE_RUNS = 32
 FIRST_DIFFERENCE, HOME_BLOCKS = 24, 60
 LINKS = "rid long, node long, links long, root long"
@@ -315,7 +315,7 @@ def homes_of(large: DataFrame) -> DataFrame:
     Where a first record lies in the leaf of an earlier one, its own leaves move there.
     """
     firsts = staged(large.groupBy("leaf").agg(F.min("rid").alias("home"), F.count("*").alias("members")), "jaccard-firsts")
-    homes = staged(join_hot(large.select("leaf", "rid"), firsts, ["leaf"], "members", large.count(), "rid").select("rid", "home").distinct(), "jaccard-homes")
+    homes = staged(join_listed(large.select("leaf", "rid"), firsts, "leaf", "members", large.count(), "rid").select("rid", "home").distinct(), "jaccard-homes")
     for _ in range(2):
         up = homes.groupBy(F.col("rid").alias("home")).agg(F.min("home").alias("up"))
         sized = staged(homes.groupBy("home").agg(F.count("*").alias("members")).join(up, "home"), "jaccard-up")
@@ -328,31 +328,64 @@ def leaf_id(run: Column, *parts) -> Column:
     return F.shiftleft(run.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*parts), 7))
 
 
+def majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (home, block, set), sorted by block, to (home, held, tokens): the records of a block, and the tokens that more than half of them have."""
+    schema = pa.schema([("home", pa.int64()), ("held", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    for parts in runs_of_rows(batches, 2):
+        held = sum(p.num_rows for p in parts)
+        token, times = np.unique(np.concatenate([p.column(2).flatten().to_numpy(zero_copy_only=False) for p in parts]), return_counts=True)
+        yield pa.record_batch([pa.array([parts[0].column(0)[0].as_py()], pa.int64()), pa.array([held], pa.int64()), pa.array([token[2 * times > held]], pa.list_(pa.int64()))], schema=schema)
+
+
+def votes(own: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """(home, token, n): how many records lie in blocks of the home whose majority has the token.
+
+    All records of a home are dealt into blocks of some ``BLOCK``. A block tells the tokens of most of its records, so rows of tokens are made for
+    each block, not for each record.
+    """
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("bigint")
+    dealt = join_hot(own.select("rid", "home", "set"), sizes, ["home"], "members", total, "rid").select("home", F.pmod(F.xxhash64("rid"), blocks).alias("block"), "set")
+    told = dealt.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(majorities, "home long, held long, tokens array<long>")
+    return told.select("home", "held", F.explode("tokens").alias("token")).groupBy("home", "token").agg(F.sum("held").alias("n"))
+
+
+def difference_runs(n: Column, d: Column, threshold: float) -> Column:
+    """Samples that a record of n tokens, d of them or of the middle's in its difference, needs, at most ``DIFFERENCE_RUNS``.
+
+    Another record linked with it differs in x <= n (1 - s) / s tokens, and so do their differences, whose similarity is then 1 - x / d at least.
+    Of two linked records the one that takes fewer samples takes enough for both.
+    """
+    apart = (1 - threshold) / threshold * n / d
+    needed = F.ceil(F.lit(math.log(1 - TARGET_RECALL)) / F.ln(apart))
+    return F.when((d > 0) & (apart < 1), F.least(F.greatest(needed, F.lit(1)), F.lit(DIFFERENCE_RUNS))).otherwise(DIFFERENCE_RUNS).cast("int")
+
+
 def balls(sets: DataFrame, homes: DataFrame, threshold: float) -> DataFrame:
     """Staged (rid, home, weight, inside, far, samples), a row per record and home.
 
-    The middle of a home is the set of the tokens that more than half of its records have. With t = (1 - s) / (1 + s) two
+    The middle of a home is the set of the tokens that more than half of its records have, by the ``votes`` of its blocks; what follows holds for
+    any set as middle. With t = (1 - s) / (1 + s) two
     sets a, b are linked at s if and only if their symmetric difference is at most t (|a| + |b|). So all records within t |a| of a middle
     are linked with each other (``inside``; in the first of a record's homes only), and a record farther than t |a| + 2 t |middle| / (1 - t)
-    is linked with none of them (``far``). Differences from the middle of two linked far records have a similarity above
-    a half, so sampled ones bring them together, and records that have nothing but the middle in common stay apart.
+    is linked with none of them (``far``). Differences from the middle of two linked far records are alike, the more so the larger they are
+    (``difference_runs``), so sampled ones bring them together, and records that have nothing but the middle in common stay apart.
     """
     own = sets.where("homes is not null").select("rid", "weight", "set", F.explode("homes").alias("home"), (F.array_min("homes")).alias("main"))
     total = homes.count()
-    sizes = homes.groupBy("home").agg(F.count("*").alias("members"))
-    # Map-side sums: near copies share their tokens.
-    tokens = own.select("home", F.explode("set").alias("token")).groupBy("home", "token").agg(F.count("*").alias("n")).where("n > 1")
-    # A home with many records has many tokens, so they are spread.
-    common = join_hot(tokens, staged(sizes, "jaccard-home-sizes"), ["home"], "members", total, "token").where("2 * n > members").groupBy("home").agg(F.collect_list("token").alias("middle"))
+    sizes = staged(homes.groupBy("home").agg(F.count("*").alias("members")), "jaccard-home-sizes")
+    # A home's middle may have many tokens, so they are spread.
+    common = join_hot(votes(own, sizes, total), sizes, ["home"], "members", total, "token").where("2 * n > members").groupBy("home").agg(F.collect_list("token").alias("middle"))
     middle = sizes.join(common, "home", "left").withColumn("middle", F.coalesce("middle", F.array().cast("array<bigint>")))
     middle = staged(middle, "jaccard-middles")
     t = (1 - threshold) / (1 + threshold)
     n, d = F.size("set"), F.size("set") + F.size("middle") - 2 * F.size(F.array_intersect("set", "middle"))
+    near = join_hot(own, middle, ["home"], "members", total, "rid").withColumns({"_n": n, "_d": d})
+    n, d = F.col("_n"), F.col("_d")
     inside = (F.col("home") == F.col("main")) & (d <= t * n - 1e-9)
     far = d > t * n + 2 * t / (1 - t) * F.size("middle") + 1e-9
     lacking = F.transform(F.array_except("middle", "set"), lambda x: F.xxhash64(F.lit(1), x))
-    samples = let(F.concat(F.array_except("set", "middle"), lacking), lambda v: F.transform(F.sequence(F.lit(0), F.lit(DIFFERENCE_RUNS - 1)), lambda r: F.array_min(F.transform(v, lambda x: F.xxhash64(r, x)))))
-    near = join_hot(own, middle, ["home"], "members", total, "rid")
+    upto = difference_runs(n, d, threshold)
+    samples = let(F.concat(F.array_except("set", "middle"), lacking), lambda v: F.transform(F.sequence(F.lit(0), upto - 1), lambda r: F.array_min(F.transform(v, lambda x: F.xxhash64(r, x)))))
     near = near.select("rid", "home", "weight", inside.alias("inside"), far.alias("far"), F.when(~inside & (d > 0), samples).alias("samples"))
     return staged(near.dropDuplicates(["rid", "home"]), "jaccard-balls")
 
@@ -371,7 +404,7 @@ def difference_leaves(judged: DataFrame) -> DataFrame:
     rows = rows.select(leaf_id(F.col("run") + FIRST_DIFFERENCE, "home", "run", "token").alias("leaf"), "rid")
     rows = staged(rows, "jaccard-differences")
     counts = staged(rows.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-difference-sizes")
-    return staged(join_hot(rows, counts, ["leaf"], "size", rows.count(), "rid"), "jaccard-difference-leaves")
+    return staged(join_listed(rows, counts, "leaf", "size", rows.count(), "rid"), "jaccard-difference-leaves")
 
 
 def chunked(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
@@ -392,7 +425,7 @@ def chunked(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     among = F.transform(upto(chunks(others)), lambda k: block(F.least(own, k), F.greatest(own, k), own))
     to_core = F.transform(upto(chunks(core)), lambda j: block(-1 - own, j, F.lit(-1)))
     from_core = F.transform(upto(chunks(others)), lambda q: block(-1 - q, chunk_of(core), F.lit(-2)))
-    dealt = join_hot(rows, sizes, ["leaf"], "size", total, "rid")
+    dealt = join_listed(rows, sizes, "leaf", "size", total, "rid")
     return dealt.select("rid", "leaf", F.inline(F.when(F.col("core"), from_core).otherwise(F.concat(among, to_core))), "n", "sign")
 
 
