@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged, text_or_empty
-from .tokens import encoded
+from .tokens import encoded, give_back
 
 CAPACITY = 2048
 GROUP = 20_000
+#: Characters encoded at a time: bounds what a task holds besides the pieces it remembers.
+CHARS_AT_ONCE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,7 +41,7 @@ def cutter(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, each in encoded(texts, path, end_id):
+            for first, each in encoded(texts, path, end_id, CHARS_AT_ONCE):
                 rows, cuts = [], []
                 for doc, ids in zip(docs[first:], each, strict=False):
                     head = (len(ids) - 1) % capacity + 1
@@ -49,6 +51,7 @@ def cutter(path: str, capacity: int, end_id: int, with_ids: bool):
                             cuts.append(ids[a:b].tolist())
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]
                 yield pa.record_batch([*columns, *([pa.array(cuts, schema.field(5).type)] if with_ids else [])], schema=schema)
+        give_back()
 
     return run
 

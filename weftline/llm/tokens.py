@@ -5,15 +5,19 @@ follows it, when another non-space character comes next. Cutting there gives pie
 text, so a batch's distinct pieces are found by Arrow, and each is encoded once and looked up afterwards. A piece that is a word of letters, perhaps with one mark
 after it, is one pre-token and that mark: such words go to the library's BPE many at a time, as a list already cut into
 words, in its byte alphabet. Any other piece goes to the tokenizer as it is, and so do whole texts if the tokenizer is of another kind.
+A worker that gets no text for ``IDLE_S`` seconds forgets its pieces, as Spark keeps it waiting beside the stages that follow.
 The file's added tokens are matched in the text, as the library does by default; one that could reach over a cut or lie inside a
 word makes the tokenizer one of another kind.
 """
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
+import threading
+import time
 from array import array
 from collections.abc import Iterator
 
@@ -24,6 +28,8 @@ import pyarrow.compute as pc
 #: Pieces held before the memory starts anew (some 250 bytes each with their words), and characters encoded at a time.
 MOST_PIECES = 800_000
 CHARS_AT_ONCE = 4_000_000
+#: Seconds without a text after which an encoder forgets its pieces.
+IDLE_S = 2
 
 UNEVEN = re.compile(r"\s\s")
 EDGE = re.compile(r"(?<=\S) (?=\S)")
@@ -69,8 +75,17 @@ def spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return values[np.repeat(starts - (done - sizes), sizes) + np.arange(total)]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which the allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 class Encoder:
     def __init__(self, path: str):
+        self.lock, self.used = threading.Lock(), time.monotonic()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,6 +101,7 @@ class Encoder:
             self.widths = np.zeros(self.by_word.get_vocab_size(with_added_tokens=True), np.int64)
             for token, i in self.by_word.get_vocab().items():
                 self.widths[i] = len(token)
+        del said  # large, and clear() gives back what is free
         self.clear()
 
     def clear(self) -> None:
@@ -98,6 +114,12 @@ class Encoder:
             newline, *marks = self.plain(["\n", *MARKS])
             self.newline, self.break_entry = newline, self.entry(newline)
             self.marks = {m: self.entry(ids) for m, ids in zip(MARKS, marks, strict=True)}
+        give_back()
+
+    def forget_if_idle(self) -> None:
+        with self.lock:
+            if self.pieces and time.monotonic() - self.used > IDLE_S:
+                self.clear()
 
     def entry(self, ids: list[int]) -> int:
         self.ids.extend(ids)
@@ -154,6 +176,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends in them."""
+        with self.lock:
+            found = self.looked_up(texts)
+            self.used = time.monotonic()
+            return found
+
+    def looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_piece:
             each = self.plain(texts)
             return np.array([i for ids in each for i in ids], np.int32), np.cumsum([len(ids) for ids in each]).astype(np.int64)
@@ -184,20 +212,27 @@ class Encoder:
 _held: dict[str, Encoder] = {}
 
 
+def forget_when_idle(tool: Encoder) -> None:
+    while True:
+        time.sleep(IDLE_S)
+        tool.forget_if_idle()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
     if path not in _held:
         _held[path] = Encoder(path)
+        threading.Thread(target=forget_when_idle, args=[_held[path]], daemon=True).start()
     return _held[path]
 
 
-def encoded(texts: list[str], path: str, end_id: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def encoded(texts: list[str], path: str, end_id: int, chars_at_once: int = CHARS_AT_ONCE) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(index of the first text, ids of each text with ``end_id`` appended), a bounded number of characters at a time."""
     tool = encoder(path)
     first = 0
     while first < len(texts):
         last, chars = first, 0
-        while last < len(texts) and (last == first or chars + len(texts[last]) <= CHARS_AT_ONCE):
+        while last < len(texts) and (last == first or chars + len(texts[last]) <= chars_at_once):
             chars += len(texts[last])
             last += 1
         ids, ends = tool.encode(texts[first:last])
