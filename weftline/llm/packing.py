@@ -25,12 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged, text_or_empty
-from .tokens import encoded, give_back
+from .tokens import encoded, gathered, give_back
 
 CAPACITY = 2048
 GROUP = 20_000
-#: Characters encoded at a time: bounds what a task holds besides the pieces it remembers.
-CHARS_AT_ONCE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,9 +37,9 @@ def cutter(path: str, capacity: int, end_id: int, with_ids: bool):
     schema = pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, each in encoded(texts, path, end_id, CHARS_AT_ONCE):
+        for batch in gathered(batches, 1):
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for first, each in encoded(texts, path, end_id):
                 rows, cuts = [], []
                 for doc, ids in zip(docs[first:], each, strict=False):
                     head = (len(ids) - 1) % capacity + 1

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh_path, staged, text_or_empty
-from .tokens import encoded
+from .tokens import encoded, gathered
 
 MAX_BITS = 18
 BLOCK_TOKENS = 65_536
@@ -46,8 +46,8 @@ def ids_stager(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, press = np.zeros(1 << 16, np.int64), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            docs, texts = batch.column(0), batch.column(1).to_pylist()
+        for batch in gathered(batches, 1):
+            docs, texts = batch.column(0), batch.column(1)
             for first, each in encoded(texts, path, end_id):
                 whole = np.concatenate(each)
                 if len(whole):
